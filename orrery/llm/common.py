@@ -49,6 +49,8 @@ def sentinel(df: DataFrame, column: str, dtype: str) -> Column:
 
 _WS_BYTES = np.zeros(256, bool)
 _WS_BYTES[[32, 9, 10, 11, 12, 13]] = True
+#: 0 white space and controls, 1 letters, digits and bytes of other scripts, 2 punctuation.
+_KINDS = np.array([0 if b <= 32 or b == 127 else 1 if b > 127 or chr(b).isalnum() or b == 95 else 2 for b in range(256)], np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,8 +97,11 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words of all rows, in order, and n+1 word offsets by row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space separated words of all rows, in order, and n+1 word offsets by row.
+
+    With punctuation, runs of ASCII punctuation are words of their own.
+    """
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
@@ -105,7 +110,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     solid = ~_WS_BYTES[data]
     first = np.empty(len(data), bool)
     first[0] = True
-    np.logical_not(solid[:-1], out=first[1:])
+    if punctuation:
+        kind = _KINDS[data]
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+    else:
+        np.logical_not(solid[:-1], out=first[1:])
     inner = offsets[1:-1]
     first[inner[inner < len(data)]] = True
     first &= solid
