@@ -55,6 +55,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text less its repeated lines, n_removed) of every document."""
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import link_embeddings
 
@@ -73,7 +80,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op4_embedding_dedup, op5_html_text, op7_url_filter, op8_mixing, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_line_dedup, op4_embedding_dedup, op5_html_text, op7_url_filter, op8_mixing, op9_bpe, op10_exact_dedup)}
 
 ORACLES = {
     "op4_embedding_dedup": """
