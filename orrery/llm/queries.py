@@ -31,6 +31,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chat(both))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -80,7 +86,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_line_dedup, op4_embedding_dedup, op5_html_text, op7_url_filter, op8_mixing, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_line_dedup, op4_embedding_dedup, op5_html_text, op6_jaccard_join, op7_url_filter, op8_mixing, op9_bpe, op10_exact_dedup)}
 
 ORACLES = {
     "op4_embedding_dedup": """
