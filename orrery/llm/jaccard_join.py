@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap, chunks, mix64, shingle_hashes, stage, text_buffers, word_hashes
+from .common import BITMAP_BITS, bitmap, chunks, in_bitmap, mix64, shingle_hashes, stage, text_buffers, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -144,7 +144,7 @@ def _block_task(table: pa.Table) -> pa.Table:
 
 
 def document_sets(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, node, prefix, point) of every row; node is the set's fingerprint, 0 for the empty set."""
+    """(doc_id, row, n_shingles, node, prefix, point) of every row; row is a hash of id and text, node the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,15 +152,16 @@ def document_sets(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array([s[: len(s) - (len(s) * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1].view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "prefix", "point"],
+                names=["doc_id", "row", "n_shingles", "node", "prefix", "point"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>, point binary")
+    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, prefix array<bigint>, point binary")
 
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
@@ -260,8 +261,8 @@ def _texts(documents: DataFrame, sets: DataFrame, nodes: DataFrame, ranks: np.nd
     return found.unionByName(nameless).dropDuplicates(["node"])
 
 
-def link_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; kept marks the row of the component's smallest id."""
+def grouped(documents: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, group) of every row; rows of one group are linked, and group 0 is the rows without words."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = rarity_ranks(documents)
     sets = stage(document_sets(documents, ranks), "sets")
@@ -291,8 +292,32 @@ def link_documents(documents: DataFrame) -> DataFrame:
     more = verified(pairs, texts, ranks)
     final = components(links.unionByName(more)).withColumnRenamed("component_id", "group")
 
-    told = sets.select("doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    told = sets.select("doc_id", "row", "n_shingles", "node").join(final, "node", "left")
+    return stage(told.select("doc_id", "row", "n_shingles", F.coalesce("group", "node").alias("group")), "groups")
+
+
+def link_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; kept marks the row of the component's smallest id."""
+    told = grouped(documents)
     least = told.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = told.join(least, "group", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One document of each component, all columns: the smallest id's (nulls last, then by a hash of the row).
+
+    Identical repeated rows are one document; rows without words all stay otherwise.
+    """
+    told = grouped(documents)
+    order = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")
+    best = told.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("best")).select("group", "best.row")
+    gone = told.where("n_shingles > 0").join(best, ["group", "row"], "left_anti").select("row").distinct().withColumn("gone", F.lit(True))
+    again = told.groupBy("row").count().where("count > 1").select("row", F.lit(False).alias("gone"))
+    marked = stage(gone.unionByName(again).groupBy("row").agg(F.max("gone").alias("_gone")).withColumnRenamed("row", "_row"), "dropped")
+    touched = in_bitmap(F.col("_row"), bitmap(marked, "_row"))
+    keyed = documents.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    some = keyed.where(touched).join(marked, "_row", "left").where(~F.coalesce("_gone", F.lit(False)))
+    once = some.where("_gone is null").unionByName(some.where("_gone is not null").dropDuplicates(["_row"]))
+    return keyed.where(~touched).select(*documents.columns).unionByName(once.select(*documents.columns))

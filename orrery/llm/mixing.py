@@ -166,17 +166,17 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED)
 def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as documents: for each document and epoch a row with the words taken, in the document's order, joined by spaces.
 
-    Columns as in documents, n_chars counted anew. A document taken in neither epoch is left out. doc_id must be unique.
+    Columns as in documents, n_chars counted anew. A document taken in neither epoch is left out. Repeated rows (same id and
+    text) must have been removed before.
     """
-    sized = stage(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    key = F.xxhash64("doc_id", F.col("text").cast("string"))
+    sized = stage(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("row")), "mix-sizes")
     rows, pieces, slots = plan(sized, block_words, seed)
-    drawn = slots.join(pieces, ["source_id", "block"]).groupBy("source_id", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("word", "words"))).alias("parts"))
-    chosen = rows.where("size > 0").join(drawn, ["source_id", "start"]).select(F.col("doc_id").alias("_id"), "parts")
-    words = F.regexp_extract_all(F.col("text"), F.lit(NON_WS), F.lit(0))
-    cut = F.flatten(F.transform("parts", lambda p: F.slice(F.col("_w"), (p["word"] + 1).cast("int"), p["words"].cast("int"))))
-    joined = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_w", words)
-    text = F.array_join(cut, " ")
-    out = joined.withColumn("text", text)
+    drawn = slots.join(pieces, ["source_id", "block"]).groupBy("source_id", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts"))
+    chosen = rows.where("size > 0").join(drawn, ["source_id", "start"]).select(F.col("row").alias("_row"), "_parts")
+    joined = documents.withColumn("_row", key).join(chosen, "_row").withColumn("_words", F.regexp_extract_all(F.col("text"), F.lit(NON_WS), F.lit(0)))
+    cut = F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["word"] + 1).cast("int"), p["words"].cast("int"))))
+    out = joined.withColumn("text", F.array_join(cut, " "))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
     return out.select(*documents.columns)
