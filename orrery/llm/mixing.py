@@ -143,7 +143,8 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
 
     place = F.xxhash64(F.lit(seed), "shard", "source_id", "k")
     slots = slots.select("shard", "source_id", "epoch", block_of("k", "blocks", "source_id", "epoch").alias("block"), place.alias("place"))
-    return rows, pieces, slots
+    # Spark takes slots for as small as the table that it is exploded from; unhinted, it would be broadcast
+    return rows, pieces, slots.hint("merge")
 
 
 def _running(by: list[str], order: list[str]):
