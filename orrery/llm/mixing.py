@@ -175,9 +175,11 @@ def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed:
     rows, pieces, slots = plan(sized, block_words, seed)
     drawn = slots.join(pieces, ["source_id", "block"]).groupBy("source_id", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts"))
     chosen = rows.where("size > 0").join(drawn, ["source_id", "start"]).select(F.col("row").alias("_row"), "_parts")
-    joined = documents.withColumn("_row", key).join(chosen, "_row").withColumn("_words", F.regexp_extract_all(F.col("text"), F.lit(NON_WS), F.lit(0)))
-    cut = F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["word"] + 1).cast("int"), p["words"].cast("int"))))
-    out = joined.withColumn("text", F.array_join(cut, " "))
+    joined = documents.withColumn("_row", key).join(chosen, "_row")
+    cut = lambda words: F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["word"] + 1).cast("int"), p["words"].cast("int"))))
+    # the one-element array binds the words, which would else be split anew for each part
+    once = F.transform(F.array(F.regexp_extract_all(F.col("text"), F.lit(NON_WS), F.lit(0))), lambda words: F.array_join(cut(words), " "))
+    out = joined.withColumn("text", F.element_at(once, 1))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
     return out.select(*documents.columns)
