@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.bpe import encode_documents
-from orrery.llm.common import stage
+from orrery.llm.common import small_batches, stage
 from orrery.llm.jaccard_join import keep_one
 from orrery.llm.line_dedup import dedup_lines
 from orrery.llm.mixing import mixed_documents
@@ -34,16 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, a row for each document and epoch."""
+    small_batches(spark)
     return mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row's whole text, and digests of them and of their decoding."""
+    small_batches(spark)
     return encode_documents(docs, tokenizer_path())
 
 

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 #: The split pattern of byte-level BPE. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers before it forgets them all; bounds its memory.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Characters are encoded in blocks of about this many, cut at rows.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 500_000
 
 
 def byte_characters() -> dict[str, int]:

@@ -15,7 +15,7 @@ NON_WS = "[^\\x20\\x09-\\x0D]+"
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: numpy works on texts in pieces of about this many bytes, so a task's memory doesn't follow the batch.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +32,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark drops the shuffle files of a plan that has ended only when the driver's garbage is collected
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, so that a batch of long texts stays a few MB in the JVM and in Python.
+TEXT_BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to TEXT_BATCH_ROWS, unless they are smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    if rows <= 0 or rows > TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def long_array(values) -> Column:
     """An array<bigint> constant. Folds to one literal, where an array of literals would bloat the plan."""
     return F.split(F.lit(",".join(map(str, map(int, values)))), ",").cast("array<bigint>")
