@@ -32,14 +32,12 @@ SHINGLE = 5
 #: Similarity as a fraction, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS = 1 << 16
-_ODD_SPACE = ("\t", "\r", "\x0b", "\x0c")
+#: White space other than the blank and the line feed.
+_ODD_SPACE = r"[\x09\x0B-\x0D]"
 
 
 def _words(line: Column) -> Column:
-    odd = line.contains(_ODD_SPACE[0])
-    for c in _ODD_SPACE[1:]:
-        odd = odd | line.contains(c)
-    plain = F.when(odd, F.regexp_replace(line, r"[\x09\x0B-\x0D]", " ")).otherwise(line)
+    plain = F.when(line.rlike(_ODD_SPACE), F.regexp_replace(line, _ODD_SPACE, " ")).otherwise(line)
     return F.array_remove(F.split(plain, " "), "")
 
 
@@ -52,7 +50,8 @@ def line_words(documents: DataFrame, wanted: Column | None = None) -> DataFrame:
     rows = documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     if wanted is not None:
         rows = rows.where(wanted)
-    return rows.select("row", "doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= SHINGLE)
+    # a generator keeps the filter above it, which would else split every line twice
+    return rows.select("row", "doc_id", "line_no", F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") >= SHINGLE)
 
 
 def _hashes() -> Column:
@@ -119,8 +118,11 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     tokens = entries.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
     tokens = stage(tokens, "tokens")
     bits = bitmap(tokens, "token")
-    shared = entries.where(in_bitmap(F.col("token"), bits)).distinct().join(tokens, "token")
-    shared = stage(shared, "shared")
+    shared = stage(entries.where(in_bitmap(F.col("token"), bits)).join(tokens, "token").distinct(), "shared")
+    # of tokens that the same sets have, the first in the order stands for all: the first common token of a pair is always kept
+    print1, print2 = F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2))
+    told = shared.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(print1).alias("h1"), F.bit_xor(print2).alias("h2"))
+    shared = stage(shared.join(told.groupBy("h1", "h2", "size").agg(F.min("token").alias("token")).select("token"), "token"), "blocks")
 
     # tokens of the sets that share some, from the line that each is first on
     nodes = shared.select("node").distinct().join(firsts, "node").select("node", F.col("first.r").alias("row"), F.col("first.l").alias("line_no"))
@@ -139,13 +141,14 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     later = F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("node")
     gone = stage(ranked(verified(tried, sets)).select(later).distinct(), "gone")
 
-    left = shared.join(gone, "node", "left_anti")
-    x = shared.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    pairs = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "hub").join(x, "token").where("a <> b and b <> hub and a <> hub")
-    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    pairs = pairs.where(_length_fits(F.col("na"), F.col("nb")) & (most >= _needed(F.col("na"), F.col("nb")))).select("a", "b").distinct()
-    earlier = ranked(pairs).where("fb < fa").select("a", "b")
-    more = verified(earlier, sets).select(F.col("a").alias("node"))
+    placed = shared.where("node <> hub").join(place.withColumnRenamed("first", "f"), F.col("node") == F.col("_n")).drop("_n")
+    left = placed.join(gone, "node", "left_anti")
+    x = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("f").alias("fb"))
+    y = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("f").alias("fa"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("fb") < F.col("fa")) & _length_fits(F.col("na"), F.col("nb")) & (most >= _needed(F.col("na"), F.col("nb")))
+    pairs = y.join(x, (y["token"] == x["token"]) & fits).select("a", "b").distinct()
+    more = verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets).select(F.col("a").alias("node"))
     gone = gone.unionByName(more).distinct().withColumn("whole", F.lit(True))
 
     here = F.struct(F.col("row").alias("r"), F.col("line_no").alias("l"))
