@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap, chunks, in_bitmap, mix64, shingle_hashes, stage, text_buffers, word_hashes
+from .common import bitmap, chunks, in_bitmap, mix64, shingle_hashes, stage, text_buffers, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -42,8 +42,10 @@ GROUPS = 128
 #: Points in a leaf of the tree, and sets in a tile of a shingle.
 LEAF = 32
 TILE = 1024
+#: Candidates of a set that are verified first, before all that are still needed.
+NEAREST = 4
 #: Prefix entries combined in a map task at a time.
-COMBINE = 1_000_000
+COMBINE = 500_000
 
 
 def raw_shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -100,8 +102,8 @@ def fingerprint(s: np.ndarray) -> int:
 # --- the tree -------------------------------------------------------------------------------------
 
 
-def tree_pairs(size: np.ndarray, points: np.ndarray, side: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) that may link: of the two sides if there are two, else i < j. Pairs within one component are left out."""
+def tree_pairs(size: np.ndarray, points: np.ndarray, side: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) that may link, with bound over need: of the two sides if there are two, else i < j. Pairs within one component are left out."""
     order = np.lexsort((points[:, 0], size))
     size, points, side, component = size[order], points[order], side[order], component[order]
     leaves = [np.flatnonzero(side == s)[k : k + LEAF] for s in np.unique(side) for k in range(0, int((side == s).sum()), LEAF)]
@@ -122,53 +124,77 @@ def tree_pairs(size: np.ndarray, points: np.ndarray, side: np.ndarray, component
         for j in near:
             y = leaves[j]
             bound = np.minimum(points[x][:, None, :], points[y][None, :, :]).sum(2)
-            a, b = np.nonzero((bound >= needed(size[x][:, None], size[y][None, :])) & (component[x][:, None] != component[y][None, :]))
+            need = needed(size[x][:, None], size[y][None, :])
+            a, b = np.nonzero((bound >= need) & (component[x][:, None] != component[y][None, :]))
             if i == j:
                 a, b = a[a < b], b[a < b]
             if len(a):
-                yield order[x[a]], order[y[b]]
+                yield order[x[a]], order[y[b]], bound[a, b] / need[a, b]
 
 
-def _block_task(table: pa.Table) -> pa.Table:
-    node, component, tile = (table.column(c).to_numpy() for c in ("node", "component", "tile"))
-    if table.column("lo")[0] != table.column("hi")[0] and len(np.unique(tile)) < 2:
-        node = node[:0]
-    points = np.stack([np.frombuffer(p, "<u4") for p in table.column("point").to_pylist()]).astype(np.int64)
-    found = list(tree_pairs(points.sum(1), points, tile, component)) if len(node) else []
-    a = np.concatenate([node[i] for i, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([node[j] for _, j in found]) if found else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _best(node: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are among their node's most best scores."""
+    order = np.lexsort((-score, node))
+    start = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
+    place = np.arange(len(node)) - np.repeat(start, np.diff(np.append(start, len(node))))
+    out = np.zeros(len(node), bool)
+    out[order] = place < most
+    return out
+
+
+def _block_task(most: int | None):
+    """One pair of tiles: its tree's pairs; with most, only those among the most best of one of their nodes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, component, tile = (table.column(c).to_numpy() for c in ("node", "component", "tile"))
+        if table.column("lo")[0] != table.column("hi")[0] and len(np.unique(tile)) < 2:
+            node = node[:0]
+        points = np.stack([np.frombuffer(p, "<u4") for p in table.column("point").to_pylist()]).astype(np.int64)
+        found = list(tree_pairs(points.sum(1), points, tile, component)) if len(node) else []
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if most is not None and len(i):
+            keep = _best(i, score, most) | _best(j, score, most)
+            i, j = i[keep], j[keep]
+        a, b = node[i], node[j]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
 
 
 # --- stages ---------------------------------------------------------------------------------------
 
 
 def document_sets(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, row, n_shingles, node, prefix, point) of every row; row is a hash of id and text, node the set's fingerprint."""
+    """(doc_id, row, n_shingles, node, prefix, last, point) of every row.
+
+    row is a hash of id and text, node the set's fingerprint, last the prefix's last shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text"), ranks)
+            prefixes = [s[: len(s) - (len(s) * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("row"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.int64()),
-                    pa.array([s[: len(s) - (len(s) * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array([p[-1] if len(p) else None for p in prefixes], pa.int64()),
                     pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "row", "n_shingles", "node", "prefix", "point"],
+                names=["doc_id", "row", "n_shingles", "node", "prefix", "last", "point"],
             )
 
-    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, prefix array<bigint>, point binary")
+    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, prefix array<bigint>, last bigint, point binary")
 
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
-    """(key, node, hub, shingle): prefix entries, at most one for a shingle from a task's run of entries.
+    """(shingle, node, hub): prefix entries, combined within a task's runs of entries.
 
-    The smallest node of a shingle in the run stands for it: its entry has key = shingle and no hub. The others' entries have
-    that node as hub and a key of their own, so no key is hot after the shuffle.
+    The smallest node of a shingle in a run stands for it, without hub; the others have it as their hub, and needn't be
+    shuffled to find one. So after the shuffle a shingle has one entry for each run at most, and none is hot.
     """
 
     def combine(nodes: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -179,10 +205,7 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
         node, key = node[~again], key[~again]
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         hub = node[first][np.cumsum(first) - 1] if len(key) else node
-        own = mix64(mix64(key.view(np.uint64)) ^ node.view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.where(first, key, own)), pa.array(node), pa.array(hub, mask=first), pa.array(key)], names=["key", "node", "hub", "shingle"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(hub, mask=first)], names=["shingle", "node", "hub"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, keys, held = [], [], 0
@@ -198,7 +221,16 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
         if held:
             yield combine(nodes, keys)
 
-    return sets.where("n_shingles > 0").select("node", "prefix").mapInArrow(run, "key bigint, node bigint, hub bigint, shingle bigint")
+    return sets.where("n_shingles > 0").select("node", "prefix").mapInArrow(run, "shingle bigint, node bigint, hub bigint")
+
+
+def _overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum()) if len(q) else 0
 
 
 def verified(pairs: DataFrame, texts: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -209,24 +241,57 @@ def verified(pairs: DataFrame, texts: DataFrame, ranks: np.ndarray) -> DataFrame
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                x, y = shingle_sets(part.column("x"), ranks), shingle_sets(part.column("y"), ranks)
-                shared = np.array([len(p) + len(q) - len(np.union1d(p, q)) for p, q in zip(x, y, strict=True)], np.int64)
+                ids = np.concatenate([part.column("a").to_numpy(), part.column("b").to_numpy()])
+                # a text that is in many pairs of the batch is cut once
+                _, first, again = np.unique(ids, return_index=True, return_inverse=True)
+                sets = shingle_sets(pa.concat_arrays([part.column("x"), part.column("y")]).take(pa.array(first)), ranks)
+                x, y = ([sets[i] for i in half] for half in (again[: len(part)], again[len(part) :]))
+                shared = np.array([_overlap(p, q) for p, q in zip(x, y, strict=True)], np.int64)
                 good = shared >= needed(np.array([len(p) for p in x], np.int64), np.array([len(q) for q in y], np.int64))
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _near_in_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs of sets whose sizes allow the similarity."""
+    side = lambda k, v: sizes.select(F.col("node").alias(k), F.col("n_shingles").alias(v))
+    both = pairs.join(side("a", "m"), "a").join(side("b", "n"), "b")
+    return both.where(F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR).select("a", "b")
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray, last_p: int, last_q: int, rest_p: int, rest_q: int) -> int:
+    """Most shingles that two sets can share, from their prefixes p and q, the prefixes' last shingles and what follows them.
+
+    Shared shingles up to the lower of the two last ones are in both prefixes; the others are in the rest of the set whose prefix ends there.
+    """
+    rest = min(rest_p, rest_q) if last_p == last_q else rest_p if last_p < last_q else rest_q
+    return int(np.isin(p, q).sum()) + rest
+
+
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs whose points' minima reach the overlap that they need."""
-    both = pairs.join(points.select(F.col("node").alias("a"), F.col("point").alias("x")), "a").join(points.select(F.col("node").alias("b"), F.col("point").alias("y")), "b")
+    """The pairs whose points' minima reach the overlap that they need, and whose prefixes leave room for it."""
+    side = lambda k, v: points.select(F.col("node").alias(k), F.struct("point", "prefix", "last").alias(v))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (np.stack([np.frombuffer(p, "<u4") for p in batch.column(c).to_pylist()]).astype(np.int64) for c in "xy")
-                good = np.minimum(x, y).sum(1) >= needed(x.sum(1), y.sum(1))
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+            if not len(batch):
+                continue
+            points, prefixes, lasts = [], [], []
+            for c in "xy":
+                column = batch.column(c)
+                points.append(np.stack([np.frombuffer(p, "<u4") for p in column.field("point").to_pylist()]).astype(np.int64))
+                flat, ends = column.field("prefix").flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.field("prefix").value_lengths().to_numpy())])
+                prefixes.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+                lasts.append(column.field("last").to_numpy().view(np.uint64).tolist())
+            m, n = points[0].sum(1), points[1].sum(1)
+            need = needed(m, n)
+            good = np.minimum(*points).sum(1) >= need
+            for k in np.flatnonzero(good).tolist():
+                p, q = prefixes[0][k], prefixes[1][k]
+                good[k] = overlap_bound(p, q, lasts[0][k], lasts[1][k], int(m[k]) - len(p), int(n[k]) - len(q)) >= need[k]
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -236,62 +301,88 @@ def _texts(documents: DataFrame, sets: DataFrame, nodes: DataFrame, ranks: np.nd
     chosen = stage(sets.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
     chosen, lost = chosen.where("doc_id is not null"), chosen.where("doc_id is null").select("node")
     bits = bitmap(chosen.select("doc_id"), "doc_id")
-    table = np.frombuffer(bits, np.int64)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(s) for s in shingle_sets(batch.column("text"), ranks)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], names=["node", "text"])
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            at = ids % BITMAP_BITS
-            yield batch.filter(pa.array((table[at // 64] >> (at % 64)) & 1 == 1))
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(s) for s in shingle_sets(batch.column("text"), ranks)], np.int64)
             yield batch.select(["node", "text"]).filter(pa.array(found == batch.column("node").to_numpy()))
 
-    some = documents.where("doc_id is not null").mapInArrow(sift, "doc_id bigint, text string")
+    some = documents.where(in_bitmap(F.col("doc_id"), bits))
     # an id may repeat with another text, so the node of each text is checked
     found = some.join(chosen, "doc_id").select("node", "text").mapInArrow(check, "node bigint, text string")
     nameless = documents.where("doc_id is null").mapInArrow(label, "node bigint, text string").join(lost, "node", "left_semi")
     return found.unionByName(nameless).dropDuplicates(["node"])
 
 
+def _blocks(everyone: DataFrame) -> DataFrame:
+    """(shingle, node, size) of one shingle of each set of members: copies share a hundred shingles, and need one."""
+    print1, print2 = F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2))
+    told = everyone.groupBy("shingle").agg(F.count("*").alias("size"), F.bit_xor(print1).alias("h1"), F.bit_xor(print2).alias("h2"))
+    one = told.groupBy("h1", "h2", "size").agg(F.min("shingle").alias("shingle")).select("shingle", "size")
+    return stage(everyone.join(one, "shingle"), "blocks")
+
+
+def _open_pairs(blocks: DataFrame, found: DataFrame, points: DataFrame, most: int | None) -> DataFrame:
+    """Candidate pairs (a, b) of different components in a block: a tree's survivors, or all of a block of one leaf.
+
+    With most, only of blocks larger than a leaf, and of each node's pairs the most best: links among them join components, which
+    spares the full round their pairs.
+    """
+    wide = F.col("size") > LEAF
+    member = (blocks.where(wide) if most is not None else blocks).join(found, "node", "left")
+    member = member.select("shingle", "node", "size", F.coalesce("component_id", "node").alias("component"))
+    open_ = member.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
+    dealt = stage(member.join(open_, "shingle"), "open")
+    large = dealt.where(wide).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("bigint")).join(points, "node")
+    large = large.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    paired = large.select("shingle", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "component", "point")
+    pairs = paired.groupBy("shingle", "lo", "hi").applyInArrow(_block_task(most), "a bigint, b bigint").distinct()
+    if most is not None:
+        return pairs
+    # pairs of one leaf meet their points' bounds in the next step
+    x, y = (dealt.where(~wide).select("shingle", F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
+    small = x.join(y, "shingle").where("a < b and ca <> cb").select("a", "b").distinct()
+    return pairs.unionByName(small).distinct()
+
+
 def grouped(documents: DataFrame) -> DataFrame:
     """(doc_id, row, n_shingles, group) of every row; rows of one group are linked, and group 0 is the rows without words."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = rarity_ranks(documents)
     sets = stage(document_sets(documents, ranks), "sets")
 
-    w = Window.partitionBy("key")
-    entries = prefix_entries(sets).withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
-    # entries of shingles of several sets: those that share their key, and those combined within a task
-    several = stage(entries.where("low <> high or hub is not null").select("shingle", "node", F.coalesce("hub", "low").alias("hub")), "entries")
+    w = Window.partitionBy("shingle")
+    entries = prefix_entries(sets)
+    crossing = entries.where("hub is null").select("shingle", "node").withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
+    crossing = crossing.where("low <> high").select("shingle", "node", F.col("low").alias("hub"))
+    several = stage(crossing.unionByName(entries.where("hub is not null")), "entries")
     several_nodes = several.select("node").distinct()
     local_hubs = several.where("node <> hub").select("shingle", F.col("hub").alias("node"), "hub").distinct()
-    points = stage(sets.select("node", "point").join(several_nodes.unionByName(local_hubs.select("node")).distinct(), "node").groupBy("node").agg(F.first("point").alias("point")), "points")
-    texts = stage(_texts(documents, sets, points.select("node"), ranks), "texts")
-
-    tried = several.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = stage(verified(_bounded(tried, points), texts, ranks), "links")
-    first = components(links)
-
-    member = several.select("shingle", "node").unionByName(local_hubs.select("shingle", "node")).distinct().join(first, "node", "left")
-    member = stage(member.select("shingle", "node", F.coalesce("component_id", "node").alias("component")), "members")
-    open_ = member.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where("p <> q")
-    open_ = open_.select("shingle", F.ceil(F.col("size") / TILE).cast("bigint").alias("tiles"))
-    dealt = member.join(open_, "shingle").join(points, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
-    paired = paired.select("shingle", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "component", "point")
-    pairs = paired.groupBy("shingle", "lo", "hi").applyInArrow(_block_task, "a bigint, b bigint").distinct()
-    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, texts, ranks)
-    final = components(links.unionByName(more)).withColumnRenamed("component_id", "group")
-
+    shared_nodes = several_nodes.unionByName(local_hubs.select("node")).distinct()
+    points = stage(sets.select("node", "point", "prefix", "last").join(shared_nodes, "node").dropDuplicates(["node"]), "points")
+
+    tried = stage(several.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "tried")
+
+    sizes = sets.where("n_shingles > 0").select("node", "n_shingles").distinct()
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only texts of pairs that pass the bounds are fetched."""
+        left = stage(_bounded(_near_in_size(pairs, sizes), points), "bounded")
+        nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+        return verified(left, stage(_texts(documents, sets, nodes, ranks), "texts"), ranks)
+
+    links = stage(check(tried), "links")
+    blocks = _blocks(several.select("shingle", "node").unionByName(local_hubs.select("shingle", "node")).distinct())
+    for most in (NEAREST, None):
+        pairs = stage(_open_pairs(blocks, components(links), points, most).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = stage(links.unionByName(check(pairs)), "links")
+        tried = tried.unionByName(pairs)
+    final = components(links).withColumnRenamed("component_id", "group")
     told = sets.select("doc_id", "row", "n_shingles", "node").join(final, "node", "left")
     return stage(told.select("doc_id", "row", "n_shingles", F.coalesce("group", "node").alias("group")), "groups")
 

@@ -62,7 +62,7 @@ def test_tree_finds_every_pair_within_bound():
     points[100:200] = points[:100] + (rng.random((100, 16)) < 0.1)
     size, component, side = points.sum(1), rng.integers(0, 250, 300), rng.integers(0, 2, 300)
     for sides in (np.zeros(300, int), side):
-        got = {(min(a, b), max(a, b)) for x, y in j.tree_pairs(size, points, sides, component) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        got = {(min(a, b), max(a, b)) for x, y, _ in j.tree_pairs(size, points, sides, component) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
         want = {
             (a, b) for a in range(300) for b in range(a + 1, 300)
             if np.minimum(points[a], points[b]).sum() >= j.needed(size[a], size[b]) and component[a] != component[b] and (sides is not side or side[a] != side[b])
@@ -88,6 +88,7 @@ def test_near_copies(spark, monkeypatch):
             w[rng.integers(0, len(w))] = f"e{rng.integers(0, 5)}"
         docs.append((i * 3 % 260, " ".join(["common passage of five words in many documents"] * (i % 2) + w)))
     monkeypatch.setattr(j, "TILE", 16)
+    monkeypatch.setattr(j, "LEAF", 4)
     monkeypatch.setattr(j, "COMBINE", 500)
     assert rows(j.link_documents(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))) == brute(docs)
 
