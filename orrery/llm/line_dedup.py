@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join of the lines of all documents, in DataFrame operations only.
 
-A line's tokens are its distinct runs of five words. Lines whose token sets have a Jaccard similarity of 0.8 or more match, and of
-matching lines the later one (by document id, then place) goes. Lines under five words have no token and always stay.
+A line's tokens are its distinct runs of five words; a line of one to four words has one token, all its words. Lines whose token
+sets have a Jaccard similarity of 0.8 or more match, and of matching lines the later one (by document id, then place) goes. Lines
+without words have no token and always stay.
 
 1. Rarity: all tokens are counted in 65,536 hash buckets. Tokens are 64-bit values whose top 16 bits are their bucket's rank by
    count, so sorting a line's tokens orders them by rarity, and equal sets are equal arrays.
@@ -46,17 +47,18 @@ def _row_key() -> Column:
 
 
 def line_words(documents: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """(row, doc_id, line_no, words) of lines of five words or more; wanted is a condition on row and line_no."""
+    """(row, doc_id, line_no, words) of lines that have words; wanted is a condition on row and line_no."""
     rows = documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     if wanted is not None:
         rows = rows.where(wanted)
     # a generator keeps the filter above it, which would else split every line twice
-    return rows.select("row", "doc_id", "line_no", F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") >= SHINGLE)
+    return rows.select("row", "doc_id", "line_no", F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") > 0)
 
 
 def _hashes() -> Column:
     at = lambda i, j: F.get(F.col("words"), i + j)
-    return F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.xxhash64(*[at(i, j) for j in range(SHINGLE)]))
+    # of a shorter line the missing words are nulls, which the hash passes over
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[at(i, j) for j in range(SHINGLE)]))
 
 
 def rarity_ranks(documents: DataFrame) -> np.ndarray:
