@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, a row for each document and epoch."""
+    """The texts that the mix takes, a row for each document, epoch and run of neighbouring blocks."""
     small_batches(spark)
     return mixed_documents(docs)
 

@@ -37,6 +37,8 @@ BUCKET_ROWS = 500
 MAX_BUCKETS = 4096
 SEED = 17
 _STEP = 65_536
+#: A word and the white space after it.
+_UNIT = "[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"
 
 
 def word_count(text: Column) -> Column:
@@ -165,8 +167,9 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED)
 
 
 def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as documents: for each document and epoch a row with the words taken, in the document's order, joined by spaces.
+    """The mix as documents: for each document, epoch and run of neighbouring blocks a row with the text of the words taken.
 
+    Texts are slices of the original, white space between their words included; a document taken whole keeps its text as it is.
     Columns as in documents, n_chars counted anew. A document taken in neither epoch is left out. Repeated rows (same id and
     text) must have been removed before.
     """
@@ -174,12 +177,28 @@ def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed:
     sized = stage(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("row")), "mix-sizes")
     rows, pieces, slots = plan(sized, block_words, seed)
     drawn = slots.join(pieces, ["source_id", "block"]).groupBy("source_id", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts"))
-    chosen = rows.where("size > 0").join(drawn, ["source_id", "start"]).select(F.col("row").alias("_row"), "_parts")
+    chosen = rows.where("size > 0").join(drawn, ["source_id", "start"]).select(F.col("row").alias("_row"), F.col("size").alias("_size"), _runs().alias("_runs"))
     joined = documents.withColumn("_row", key).join(chosen, "_row")
-    cut = lambda words: F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["word"] + 1).cast("int"), p["words"].cast("int"))))
-    # the one-element array binds the words, which would else be split anew for each part
-    once = F.transform(F.array(F.regexp_extract_all(F.col("text"), F.lit(NON_WS), F.lit(0))), lambda words: F.array_join(cut(words), " "))
-    out = joined.withColumn("text", F.element_at(once, 1))
+    # the one-element array binds the words, which would else be split anew for each run
+    once = F.transform(F.array(F.regexp_extract_all(F.col("text"), F.lit(_UNIT), F.lit(0))), lambda units: F.transform("_runs", lambda r: _cut(units, r)))
+    # unlike explode, explode_outer gets no filter that would cut all texts a second time; no row is without runs
+    out = joined.withColumn("text", F.explode_outer(F.element_at(once, 1)))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
     return out.select(*documents.columns)
+
+
+def _runs() -> Column:
+    """Parts that follow on one another as one: (word, words) of each run of _parts."""
+    at = lambda i: F.get("_parts", i)
+    end = lambda p: p["word"] + p["words"]
+    firsts = F.filter("_parts", lambda p, i: F.coalesce(end(at(i - 1)) != p["word"], F.lit(True)))
+    lasts = F.filter("_parts", lambda p, i: F.coalesce(at(i + 1)["word"] != end(p), F.lit(True)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["word"].alias("word"), (end(b) - a["word"]).alias("words")))
+
+
+def _cut(units: Column, run: Column) -> Column:
+    """The text of a run; units are words with the white space after them, of which the last word's is left out."""
+    first, n = (run["word"] + 1).cast("int"), run["words"].cast("int")
+    body, last = F.array_join(F.slice(units, first, n - 1), ""), F.regexp_extract(F.get(units, first + n - 2), NON_WS, 0)
+    return F.when(run["words"] == F.col("_size"), F.col("text")).otherwise(F.concat(body, last))
