@@ -98,12 +98,13 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.withColumn("_h", hash_order(seed, key)).orderBy("_h", key).limit(n).drop("_h")
 
 
-def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n draws, a row number by hash for each; draw is its number. Rows are numbered by key, so one task numbers them: for pools of bounded size."""
-    total = df.count()
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).cast("int").alias("_i"))
-    return draws.join(numbered, "_i").drop("_i")
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """n draws of each group, a row number by hash for each; draw is its number. Rows are numbered by key, a group in one task: for pools of bounded size."""
+    total = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
+    row = F.pmod(F.xxhash64(F.lit(seed), *by, "id"), F.greatest("_n", F.lit(1))).cast("int")
+    draws = total.crossJoin(df.sparkSession.range(n)).select(*by, F.col("id").alias("draw"), row.alias("_i"))
+    return draws.join(numbered, [*by, "_i"]).drop("_i")
 
 
 def thin_random(obs: DataFrame, fraction: float, seed: int, floor: int = 6) -> DataFrame:

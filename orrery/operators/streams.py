@@ -201,25 +201,25 @@ def permutation_null(orbits: DataFrame, seed: int, by: Sequence[str] = ()) -> Da
     return mixed.where(is_valid(orbit()))
 
 
-def kde_null(orbits: DataFrame, size: int, seed: int, bandwidth: float = 0.5) -> DataFrame:
-    """A sample of a Gaussian kernel density in whitened elements: orbits picked by hash, plus noise. Valid ones, size at most.
+def kde_null(orbits: DataFrame, size: int, seed: int, bandwidth: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """A sample of a Gaussian kernel density in whitened elements: orbits picked by hash, plus noise. Valid ones, size at most in a group.
 
     Sampling a kernel density needs no density: pick a point, add the kernel's noise. Each pick's tries differ in noise.
     """
     from .relational import sample_with_replacement
 
-    picks = sample_with_replacement(orbits.dropna(subset=list(ELEMENTS)).select("traj_id", *ELEMENTS), "traj_id", size, seed)
-    tries = picks.select("draw", *[c.alias(n) for n, c in whiten(orbit()).items()], F.explode(F.sequence(F.lit(0), F.lit(7))).alias("try"))
-    noise = lambda n, k: F.sqrt(-2.0 * F.log(_uniform(seed, n, k, 0))) * F.cos(6.283185307179586 * _uniform(seed, n, k, 1))
-    moved = tries.select("draw", "try", *[(F.col(n) + bandwidth * noise("draw", i)).alias(n) for i, n in enumerate(("wq", "we", "wi", "wnx", "wny", "wpx", "wpy"))])
-    back = moved.select("draw", "try", *[c.alias(n) for n, c in unwhiten({n: F.col(n) for n in ("wq", "we", "wi", "wnx", "wny", "wpx", "wpy")}).items()]).where(is_valid(orbit()))
-    first = Window.partitionBy("draw").orderBy("try")
+    picks = sample_with_replacement(orbits.dropna(subset=list(ELEMENTS)).select(*by, "traj_id", *ELEMENTS), "traj_id", size, seed, by)
+    tries = picks.select(*by, "draw", *[c.alias(n) for n, c in whiten(orbit()).items()], F.explode(F.sequence(F.lit(0), F.lit(7))).alias("try"))
+    noise = lambda n, k: F.sqrt(-2.0 * F.log(_uniform(seed, [*by, n], k, 0))) * F.cos(6.283185307179586 * _uniform(seed, [*by, n], k, 1))
+    moved = tries.select(*by, "draw", "try", *[(F.col(n) + bandwidth * noise("draw", i)).alias(n) for i, n in enumerate(("wq", "we", "wi", "wnx", "wny", "wpx", "wpy"))])
+    back = moved.select(*by, "draw", "try", *[c.alias(n) for n, c in unwhiten({n: F.col(n) for n in ("wq", "we", "wi", "wnx", "wny", "wpx", "wpy")}).items()]).where(is_valid(orbit()))
+    first = Window.partitionBy(*by, "draw").orderBy("try")
     return back.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "try").withColumnRenamed("draw", "traj_id")
 
 
-def _uniform(seed: int, column: str, k: int, part: int) -> Column:
+def _uniform(seed: int, columns: Sequence[str], k: int, part: int) -> Column:
     """(0, 1) by hash of a draw, its try and a coordinate."""
-    h = F.xxhash64(F.lit(seed), F.col(column), F.col("try"), F.lit(k), F.lit(part))
+    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in columns], F.col("try"), F.lit(k), F.lit(part))
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / 9007199254740992.0
 
 

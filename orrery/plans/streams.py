@@ -137,6 +137,11 @@ def hop_windows(spark, d):
     return h.groupBy("window_start").agg(F.count("*").alias("n"), F.min("traj_id").alias("first_id"))
 
 
+def _circle(spark, d):
+    """Orbits once for each window of 20 degrees, every 10 degrees around the circle, that holds them."""
+    return st.hop_windows(orbits(spark, d), 20.0, 10.0)
+
+
 CENTRES = [5.0, 110.0, 200.0, 355.0]
 
 
@@ -160,12 +165,12 @@ def sideband_null(spark, d):
 
 @query()
 def permutation_null(spark, d):
-    return st.permutation_null(orbits(spark, d).where(ARC), 5).select("traj_id", *ob.ELEMENTS)
+    return st.permutation_null(_circle(spark, d), 5, ["window_start"]).select("window_start", "traj_id", *ob.ELEMENTS)
 
 
 @query()
 def kde_null(spark, d):
-    return st.kde_null(orbits(spark, d).where(ARC), 2000, 5)
+    return st.kde_null(_circle(spark, d), 2000, 5, by=["window_start"])
 
 
 STREAM_CENTRE = "ctr AS (SELECT iau_code AS centre_id, median(q) AS q, median(e) AS e, median(i) AS i, median(node) AS node, median(peri) AS peri FROM orb WHERE iau_code <> '...' GROUP BY 1)"
@@ -263,7 +268,7 @@ def dbscan(spark, d):
 
 @query()
 def consensus(spark, d):
-    return st.consensus(orbits(spark, d).where(ARC), EPS, LEAST)
+    return st.consensus(_circle(spark, d), EPS, LEAST, ["window_start"])
 
 
 @query(f"""WITH {ORB_SQL}, s AS (SELECT unnest([100, 200, 300]) AS win), g AS (SELECT iau_code AS grp, win, q, e, i, node, peri FROM orb JOIN s ON sol_lon >= win AND sol_lon < win + 20 WHERE iau_code <> '...'),
