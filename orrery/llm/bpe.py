@@ -1,9 +1,9 @@
 """Byte-level BPE by a pair occurrence index, equal to the tokenizers library for the same vocabulary file.
 
-Texts are split into pre-tokens; those not seen before by this worker are laid out together as one linked list of symbols.
-An index maps each adjacent pair that has a rank to all its positions. The active ranks are taken in ascending order: a
-rank's pair is merged at all its positions, left to right, and the lists of the pairs next to them are updated. Every merge
-makes a token that no other merge makes, later than its parts, so this order gives each pre-token what merging it alone gives.
+Texts are split into pre-tokens; those not seen before by this worker are laid out together as one array of symbols. An index
+holds, for every position of the array, the rank of the pair that begins there. Active ranks are applied in ascending order and
+the index entries next to each merge are updated. Pre-tokens don't touch each other, so a step takes the lowest active rank
+of every pre-token at once, at its leftmost position, in numpy; each pre-token gets what merging it alone gives.
 
 Edge cases: null and empty texts have no tokens. Strings of added tokens inside a text become those tokens. Texts are
 encoded whole. An empty table gives an empty result. The vocabulary's path must be readable on every executor.
@@ -12,10 +12,10 @@ encoded whole. An empty table gives an empty result. The vocabulary's path must
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 #: The split pattern of byte-level BPE. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens a worker remembers before it forgets them all; bounds its memory.
+#: Pre-tokens of a generation; a worker remembers two, which bounds its memory.
 CACHE_ENTRIES = 200_000
 #: Characters are encoded in blocks of about this many, cut at rows.
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 1_000_000
+#: Above all ranks.
+NO_RANK = 1 << 30
 
 
 def byte_characters() -> dict[str, int]:
@@ -46,101 +48,110 @@ class Codec:
         vocab = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         raw = {i: bytes(letters[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
-        self.pieces = [raw.get(i, b"") for i in range(max(raw) + 1)]
-        self.start = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.rank: dict[int, int] = {}  # left << 32 | right -> rank
-        self.pair: list[tuple[int, int, int]] = []
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            left, right = vocab[a], vocab[b]
-            self.rank[left << 32 | right] = rank
-            self.pair.append((left, right, vocab[a + b]))
+        pieces = [raw.get(i, b"") for i in range(max(raw) + 1)]
+        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.piece_size = np.array([len(x) for x in pieces], np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.start = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32)
+        parts = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in parts], np.int32)
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in parts], np.int64)
+        self.key_ranks = np.argsort(keys, kind="stable")
+        self.keys = keys[self.key_ranks]
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, bytes] = {}
+        #: Pre-tokens met lately, and those of the generation before, which are forgotten unless they are met again.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, NO_RANK where it has none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.key_ranks[at], NO_RANK)
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct pre-tokens together and remember their ids as little-endian 32-bit bytes."""
-        start, rank, pairs = self.start, self.rank, self.pair
-        symbols: list[int] = []
-        bounds = [0]
-        for w in words:
-            symbols += [start[b] for b in w.encode("utf-8", "surrogatepass")]
-            symbols.append(-1)  # between pre-tokens; has no rank with anything
-            bounds.append(len(symbols))
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}
-        get = rank.get
-        last = symbols[0] if n else -1
-        for i in range(1, n):
-            now = symbols[i]
-            if last >= 0 and now >= 0 and (r := get(last << 32 | now)) is not None:
-                if r in where:
-                    where[r].append(i - 1)
-                else:
-                    where[r] = [i - 1]
-            last = now
-        active = list(where)
-        heapq.heapify(active)
-        while active:
-            r = heapq.heappop(active)
-            left, right, made = pairs[r]
-            positions = where.pop(r)
-            positions.sort()
-            for i in positions:
-                j = after[i]
-                if symbols[i] != left or j >= n or symbols[j] != right:
-                    continue  # an earlier merge took one of the two
-                symbols[i], symbols[j] = made, -2
-                after[i] = k = after[j]
-                if k < n:
-                    before[k] = i
-                    if symbols[k] >= 0 and (q := get(made << 32 | symbols[k])) is not None:
-                        if q in where:
-                            where[q].append(i)
-                        else:
-                            where[q] = [i]
-                            heapq.heappush(active, q)
-                h = before[i]
-                if h >= 0 and symbols[h] >= 0 and (q := get(symbols[h] << 32 | made)) is not None:
-                    if q in where:
-                        where[q].append(h)
-                    else:
-                        where[q] = [h]
-                        heapq.heappush(active, q)
-        flat = np.array(symbols, np.int32)
-        keep = flat >= 0
-        ends = np.concatenate([[0], np.cumsum(keep)])[bounds] * 4
-        data = flat[keep].astype("<u4").tobytes()
-        for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            self.cache[w] = data[a:b]
+        raw = [w.encode("utf-8") for w in words]
+        size = np.array([len(x) for x in raw], np.int64)
+        symbols = self.start[np.frombuffer(b"".join(raw), np.uint8)]
+        word = np.arange(len(words))
+        rank = np.full(len(symbols), NO_RANK, np.int64)
+        if len(symbols) > 1:
+            rank[:-1] = self.ranks(symbols[:-1], symbols[1:])
+        rank[np.cumsum(size) - 1] = NO_RANK  # no pair goes beyond a pre-token
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            first = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            active = best >> 32 < NO_RANK
+            if not active.all():
+                of = np.repeat(active, size)
+                done.append((word[~active], size[~active], symbols[~of]))
+                shift = np.cumsum(np.where(active, 0, size))[active]
+                word, size, symbols, rank, best = word[active], size[active], symbols[of], rank[of], best[active] - shift
+                if not len(word):
+                    break
+            at = best & 0xFFFFFFFF
+            symbols[at] = self.made[best >> 32]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, rank = symbols[keep], rank[keep]
+            size = size - 1
+            at -= np.arange(len(at))
+            last, first = np.cumsum(size) - 1, np.cumsum(size) - size
+            inner = at < last
+            rank[at[~inner]] = NO_RANK
+            i = at[inner]
+            rank[i] = self.ranks(symbols[i], symbols[i + 1])
+            i = at[at > first]
+            rank[i - 1] = self.ranks(symbols[i - 1], symbols[i])
+        word, size, flat = (np.concatenate(x) for x in zip(*done, strict=True))
+        ends = np.cumsum(size) * 4
+        data, young = flat.astype("<u4").tobytes(), self.young
+        for w, a, b in zip(word.tolist(), (ends - size * 4).tolist(), ends.tolist(), strict=True):
+            young[words[w]] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
-        find, cache = self.split.findall, self.cache
-        split: list[list] = []
+        find = self.split.findall
+        split: list[list[str]] = []
+        marked: dict[int, list] = {}
         for text in texts:
             if self.cut and any(s in text for s in self.added):
-                parts: list = []
-                for piece in self.cut.split(text):
-                    parts += [self.added[piece]] if piece in self.added else find(piece)
-                split.append(parts)
+                # pre-tokens and ids of added tokens, in order
+                parts = [x for piece in self.cut.split(text) for x in ([self.added[piece]] if piece in self.added else find(piece))]
+                marked[len(split)] = parts
+                split.append([x for x in parts if isinstance(x, str)])
             else:
                 split.append(find(text))
-        new = {w for parts in split for w in parts if w not in cache and isinstance(w, str)}
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = {w for parts in split for w in parts if isinstance(w, str)}
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        new = set(chain.from_iterable(split)).difference(self.young)
+        old = self.old
+        self.young.update((w, old[w]) for w in new.intersection(old))
+        new.difference_update(old)
         if new:
             self.learn(sorted(new))
-        look = cache.__getitem__
-        return [b"".join([x.to_bytes(4, "little") if isinstance(x, int) else look(x) for x in parts] if self.cut and any(isinstance(x, int) for x in parts) else map(look, parts)) for parts in split]
+        look = self.young.__getitem__
+        out = [b"".join(map(look, parts)) for parts in split]
+        for i, parts in marked.items():
+            out[i] = b"".join([x.to_bytes(4, "little") if isinstance(x, int) else look(x) for x in parts])
+        return out
 
     def decode(self, ids: bytes) -> str:
-        """The text of little-endian 32-bit ids; bytes that aren't UTF-8 become U+FFFD."""
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """The texts of little-endian 32-bit ids; bytes that aren't UTF-8 become U+FFFD."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = self.piece_size[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.piece_start[flat] - ends[:-1], size) + np.arange(ends[-1])
+        data = self.piece_bytes[at].tobytes()
+        cuts = ends[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -179,7 +190,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, id_col: str = "doc_i
                     "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                     **({"ids": pa.array(ids, pa.binary())} if keep_ids else {}),
                     "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in bpe.decode_all(ids)], pa.string()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
 
