@@ -7,7 +7,6 @@ ratio) never exceed the distance, so orbits within eps of each other lie in the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,22 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.orbits import CRITERIA, ELEMENTS, is_valid, orbit, southworth_hawkins, unwhiten, whiten
 from ..functions.scalars import circular_difference, in_arc, separation, wrap
+from ..staging import stage
 from .relational import hash_order, permute_columns
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder named in spark.checkpoint.dir (a local one where none is named) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    path = f"{folder.rstrip('/')}/orrery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # lets Spark drop the shuffle files of the plan that has ended
-    spark.sparkContext._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hop_windows(orbits: DataFrame, width: float, step: float) -> DataFrame:
     """A row for each window [start, start + width) on the circle, start a multiple of step, that holds the orbit."""
     reach = int(-(-width // step))
@@ -82,13 +68,13 @@ def connected(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), rounds
     chains. Each round is written to the shared folder.
     """
     keys = list(by)
-    labels = staged(nodes.select(*keys, "node", F.col("node").alias("component")))
-    both = staged(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stage(nodes.select(*keys, "node", F.col("node").alias("component")))
+    both = stage(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     for _ in range(rounds):
         heard = both.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("component").alias("m")).withColumnRenamed("a", "node")
         spread = labels.join(heard, [*keys, "node"], "left").select(*keys, "node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         up = spread.select(*keys, F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = staged(spread.join(up, [*keys, "component"], "left").select(*keys, "node", "old", F.least("component", "further").alias("component")))
+        jumped = stage(spread.join(up, [*keys, "component"], "left").select(*keys, "node", "old", F.least("component", "further").alias("component")))
         done = jumped.where("component <> old").limit(1).count() == 0
         labels = jumped.drop("old")
         if done:
@@ -102,11 +88,11 @@ def dbscan(orbits: DataFrame, eps: float, least: int, criterion: str = "d_sh", b
     least counts the point itself. A border point joins the cluster with the smallest id among its core neighbours'.
     """
     keys = list(by)
-    pairs = staged(neighbour_pairs(orbits, eps, criterion, by))
+    pairs = stage(neighbour_pairs(orbits, eps, criterion, by))
     many = pairs.groupBy(*keys, "a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(*keys, F.col("a").alias("node"))
     if least <= 1:
         many = orbits.select(*keys, F.col("traj_id").alias("node"))
-    core = staged(many)
+    core = stage(many)
     edges = pairs.join(core.withColumnRenamed("node", "a"), [*keys, "a"], "left_semi").join(core.withColumnRenamed("node", "b"), [*keys, "b"], "left_semi")
     labels = connected(edges.where("a < b"), core, by).withColumnRenamed("component", "cluster")
     border = pairs.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
