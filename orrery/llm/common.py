@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,33 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import discard, shared_dir, stage  # noqa: F401
+
 WS = "[\\x20\\x09-\\x0D]+"
 NON_WS = "[^\\x20\\x09-\\x0D]+"
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: numpy works on texts in pieces of about this many bytes, so a task's memory doesn't follow the batch.
 CHUNK_BYTES = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark drops the shuffle files of a plan that has ended only when the driver's garbage is collected
-    spark.sparkContext._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch, so that a batch of long texts stays a few MB in the JVM and in Python.
 TEXT_BATCH_ROWS = 1000
 
@@ -49,9 +29,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def long_array(values) -> Column:
-    """An array<bigint> constant. Folds to one literal, where an array of literals would bloat the plan."""
-    return F.split(F.lit(",".join(map(str, map(int, values)))), ",").cast("array<bigint>")
+def dense(rows: DataFrame, size: int, at: str, value: str, default: int = 0) -> Column:
+    """An array<bigint> of a fixed size as a scalar subquery: value at each position of rows, default elsewhere.
+
+    Plans hold the subquery, not its values. rows has a bigint position below size, at most once each, and a bigint value.
+    """
+    every = rows.sparkSession.range(0, size, 1, 1).select(F.col("id").alias("_at"), F.lit(None).cast("bigint").alias("_value"))
+    both = rows.select(F.col(at).alias("_at"), F.col(value).alias("_value")).unionByName(every).groupBy("_at").agg(F.max("_value").alias("_value"))
+    whole = both.agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_value", F.lit(default)).alias("_value")))).alias("_all"))
+    return whole.select(F.col("_all")["_value"]).scalar()
 
 
 def sentinel(df: DataFrame, column: str, dtype: str) -> Column:
@@ -166,25 +152,22 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
 
 # --- a bitmap of fixed size, to leave out before a shuffle rows that can't join --------------------
 
-#: 128 KB, whatever the data; where it fills up, more rows pass and the join after it decides alone.
-BITMAP_BITS = 1 << 20
+#: 1 MB, whatever the data; where it fills up, more rows pass and the join after it decides alone.
+BITMAP_BITS = 1 << 23
 
 
-def bitmap(keys: DataFrame, key: str) -> bytes:
-    """A bitmap of the 64-bit keys modulo BITMAP_BITS: at most BITMAP_BITS / 64 words reach the driver."""
+def bitmap(keys: DataFrame, key: str) -> Column:
+    """A bitmap of the 64-bit keys modulo BITMAP_BITS, as a scalar subquery."""
     at = F.pmod(F.col(key), F.lit(BITMAP_BITS))
     words = (
-        keys.select((at / 64).cast("bigint").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))").alias("bit"))
+        keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
     )
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
-    for word, bits in words.toLocalIterator():
-        out[word] = bits
-    return out.tobytes()
+    return dense(words, BITMAP_BITS // 64, "word", "bits")
 
 
-def in_bitmap(key: Column, bits: bytes) -> Column:
+def in_bitmap(key: Column, bits: Column) -> Column:
     """False only where the key is surely not among the bitmap's keys; false for null."""
     at = F.pmod(key, F.lit(BITMAP_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bits), (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    word = F.get(bits, F.shiftright(at, 6).cast("int"))
+    return F.coalesce(F.call_function("shiftright", word, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(1) == 1, F.lit(False))

@@ -4,18 +4,19 @@ A line's tokens are its distinct runs of five words; a line of one to four words
 sets have a Jaccard similarity of 0.8 or more match, and of matching lines the later one (by document id, then place) goes. Lines
 without words have no token and always stay.
 
-1. Rarity: all tokens are counted in 65,536 hash buckets. Tokens are 64-bit values whose top 16 bits are their bucket's rank by
-   count, so sorting a line's tokens orders them by rarity, and equal sets are equal arrays.
-2. Prefix filter: two sets of n tokens can reach 0.8 only if they share one of their first n - ceil(0.8 n) + 1 tokens. Prefix
-   tokens that only one set has are dropped after one aggregation.
-3. First pass: every set is verified against one set (the hub) of each shared token. Copies of a line, near ones too, fall
-   here, without pairs inside their group.
-4. Second pass: sets that no earlier set has removed meet all other sets of their shared tokens, under the length and the
-   positional filter, and are verified. So no match is missed, and pairs are made only for lines that stay.
-
-Equal sets are one node with the place of its first line; its later lines go at once. Order of places: document id (nulls
-last), then row (by a hash of id and text), then line number. Words are separated by white space (the line feed ends the line) and
-compared as they are.
+1. Rarity: all tokens of all lines are counted in 65,536 hash buckets. A token's top 16 bits are its bucket's rank by count, so
+   sorting a line's tokens orders them by rarity, and equal sets are equal arrays.
+2. Equal sets become one node, with the place of its first line; its later lines go.
+3. Prefix filter: two sets of n tokens can reach 0.8 only if they share one of their first n - ceil(0.8 n) + 1 tokens. Prefix
+   tokens that only one node has are dropped; of tokens that the same nodes have, the first stands for all.
+4. First pass: every node is held against the earliest node (the hub) of each shared token, under the length and the
+   positional filter. Near copies of an earlier line fall here, without pairs inside their group.
+5. Second pass: nodes that no earlier node has removed meet all earlier nodes of their shared tokens, under the same
+   filters. So no match is missed, and pairs are made only for lines that stay.
+
+Survivors of the filters are verified by their whole sets. Order of places: document id (nulls last), then row (by a hash of
+id and text), then line number. Words are separated by white space (the line feed ends the line) and compared as they are.
+A set is told by 128 bits of hash, a token by 64.
 
 Edge cases: null text stays null, empty text stays empty. Identical repeated rows count as one row, and keep the same lines. Lines
 that stay are joined by line feeds as before. An empty table gives an empty result. Other columns pass through unused.
@@ -23,11 +24,10 @@ that stay are joined by line feeds as before. An empty table gives an empty resu
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, long_array, stage
+from .common import bitmap, dense, discard, in_bitmap, stage
 
 SHINGLE = 5
 #: Similarity as a fraction, so that comparisons are exact.
@@ -38,48 +38,48 @@ _ODD_SPACE = r"[\x09\x0B-\x0D]"
 
 
 def _words(line: Column) -> Column:
-    plain = F.when(line.rlike(_ODD_SPACE), F.regexp_replace(line, _ODD_SPACE, " ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    return F.array_remove(F.split(F.when(odd, F.regexp_replace(line, _ODD_SPACE, " ")).otherwise(line), " "), "")
 
 
 def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def line_words(documents: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """(row, doc_id, line_no, words) of lines that have words; wanted is a condition on row and line_no."""
-    rows = documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    if wanted is not None:
-        rows = rows.where(wanted)
-    # a generator keeps the filter above it, which would else split every line twice
-    return rows.select("row", "doc_id", "line_no", F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") > 0)
+def lines_of(documents: DataFrame) -> DataFrame:
+    """(row, doc_id, line_no, line) of every line."""
+    return documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _hashes() -> Column:
-    at = lambda i, j: F.get(F.col("words"), i + j)
-    # of a shorter line the missing words are nulls, which the hash passes over
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[at(i, j) for j in range(SHINGLE)]))
+def rarity_ranks(documents: DataFrame) -> Column:
+    """Of each hash bucket the rank by count over all tokens of all lines, in a token's top 16 bits. A scalar subquery."""
+    # generators keep the work in compiled code: first a line's words, then a row for each token
+    words = lines_of(documents).select(F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") > 0)
+    each = words.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
+    at = lambda j: F.col("i") + j
+    token = F.xxhash64(*[F.when(at(j) < F.size("words"), F.xxhash64(F.get("words", at(j)))) for j in range(SHINGLE)])
+    found = each.groupBy(F.shiftrightunsigned(token, 48).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = dense(stage(found, "rarity"), BUCKETS, "bucket", "n")
+    one = documents.sparkSession.range(1).select(counts.alias("counts")).select(F.array_sort(F.transform("counts", lambda n, i: F.struct(n.alias("n"), i.cast("bigint").alias("i")))).alias("order"))
+    ranked = one.select(F.posexplode("order").alias("rank", "x")).select(F.col("x.i").alias("bucket"), F.shiftleft(F.col("rank").cast("bigint") - BUCKETS // 2, 48).alias("top"))
+    return dense(stage(ranked, "ranks"), BUCKETS, "bucket", "top")
 
 
-def rarity_ranks(documents: DataFrame) -> np.ndarray:
-    """Rank by count of each hash bucket, over all tokens of all lines."""
-    tokens = line_words(documents).select(F.explode(_hashes()).alias("t"))
-    found = tokens.groupBy(F.shiftrightunsigned("t", 48).cast("int").alias("bucket")).count()
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in found.toLocalIterator():
-        counts[r.bucket] = r["count"]
-    ranks = np.empty(BUCKETS, np.int64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
-    return ranks
+def _hashes(words: Column) -> Column:
+    """The tokens of a line's words: hashes of runs of SHINGLE word hashes, or of all where there are fewer."""
+    runs = lambda h: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))),
+        # of a shorter line the missing words are nulls, which the hash passes over
+        lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]),
+    )
+    # the one-element array binds the word hashes
+    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 1)
 
 
-def token_sets(lines: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """Replaces words by tokens, sorted by rarity."""
-    top = long_array((ranks - BUCKETS // 2) << 48)
+def _by_rarity(tokens: Column, ranks: Column) -> Column:
     low = F.lit((1 << 48) - 1)
-    raw = lines.withColumn("raw", F.array_distinct(_hashes())).drop("words")
-    place = lambda t: F.get(top, F.shiftrightunsigned(t, 48).cast("int"))
-    return raw.withColumn("tokens", F.sort_array(F.transform("raw", lambda t: place(t).bitwiseOR(t.bitwiseAND(low))))).drop("raw")
+    ranked = lambda r: F.transform(F.array_distinct(tokens), lambda t: F.get(r, F.shiftrightunsigned(t, 48).cast("int")).bitwiseOR(t.bitwiseAND(low)))
+    return F.sort_array(F.element_at(F.transform(F.array(ranks), ranked), 1))
 
 
 def _needed(m: Column, n: Column) -> Column:
@@ -101,62 +101,90 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared >= _needed(F.size("x"), F.size("y"))).select("a", "b")
 
 
-def removed_lines(documents: DataFrame) -> DataFrame:
-    """(row, line_no) of every line that goes."""
-    documents = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    ranks = rarity_ranks(documents)
+def nodes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, line_no, h1, h2) of every line with words, and nodes: (id, h1, h2, place, copies, n, prefix)."""
+    tokens = lines_of(documents).select("row", "doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    # a subquery may not stand within a higher-order function; the optimiser puts it there, so no row carries it
+    tokens = tokens.select("row", "doc_id", "line_no", "words", rarity_ranks(documents).alias("ranks"))
+    tokens = tokens.select("row", "doc_id", "line_no", _by_rarity(_hashes(F.col("words")), F.col("ranks")).alias("tokens"))
     n = F.size("tokens")
     prefix = (n - F.floor((n * NUMERATOR + (DENOMINATOR - 1)) / DENOMINATOR) + 1).cast("int")
-    node = F.xxhash64("tokens")
-    lines = stage(
-        token_sets(line_words(documents), ranks).select("row", "doc_id", "line_no", node.alias("node"), n.alias("n"), F.slice("tokens", F.lit(1), prefix).alias("prefix")),
+    whole = stage(
+        tokens.select("row", "doc_id", "line_no", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), n.alias("n"), F.slice("tokens", F.lit(1), prefix).alias("prefix")),
         "lines",
     )
+    place = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("line_no").alias("l"))
+    best = whole.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "prefix")).alias("best"), F.count("*").alias("copies"))
+    nodes = stage(best.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "best.place", "copies", "best.n", "best.prefix"), "nodes")
+    lines = stage(whole.select("row", "doc_id", "line_no", "h1", "h2"), "lines")
+    discard(whole)
+    return lines, nodes
+
+
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """(token, id, n, pos, place) of prefix tokens that several nodes have, one token for each set of nodes."""
+    entries = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = stage(entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "tokens")
+    shared = stage(entries.where(in_bitmap(F.col("token"), bitmap(tokens, "token"))).join(tokens, "token"), "shared")
+    discard(tokens)
+    # of tokens that the same nodes have, the first in the order stands for all: the first common token of a pair is always kept
+    print1, print2 = F.xxhash64("id", F.lit(1)), F.xxhash64("id", F.lit(2))
+    told = shared.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(print1).alias("x1"), F.bit_xor(print2).alias("x2"))
+    one = told.groupBy("x1", "x2", "size").agg(F.min("token").alias("token")).select("token")
+    blocks = stage(shared.join(one, "token").join(nodes.select("id", "place"), "id").select("token", "id", "n", "pos", "place"), "blocks")
+    discard(shared)
+    return blocks
+
+
+def token_sets(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, tokens) of the blocks' nodes, cut again from the line that each is first on."""
+    wanted = blocks.select("id", F.col("place.d").alias("doc"), F.col("place.r").alias("row"), F.col("place.l").alias("line_no")).distinct()
+    wanted = stage(wanted.withColumn("key", F.xxhash64("row", "line_no")), "wanted")
+    rows = documents.where(in_bitmap(_row_key(), bitmap(wanted, "row")))
+    chosen = lines_of(rows).where(in_bitmap(F.xxhash64("row", "line_no"), bitmap(wanted, "key")))
+    cut = chosen.select("row", "doc_id", "line_no", F.array_distinct(_hashes(_words(F.col("line")))).alias("tokens"))
+    met = cut.join(wanted, ["row", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("doc")))
+    return stage(met.dropDuplicates(["id"]).select("id", "tokens"), "sets")
 
-    order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("line_no").alias("l"))
-    firsts = stage(lines.groupBy("node").agg(F.min(order).alias("first")), "firsts")
-
-    entries = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = entries.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
-    tokens = stage(tokens, "tokens")
-    bits = bitmap(tokens, "token")
-    shared = stage(entries.where(in_bitmap(F.col("token"), bits)).join(tokens, "token").distinct(), "shared")
-    # of tokens that the same sets have, the first in the order stands for all: the first common token of a pair is always kept
-    print1, print2 = F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2))
-    told = shared.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(print1).alias("h1"), F.bit_xor(print2).alias("h2"))
-    shared = stage(shared.join(told.groupBy("h1", "h2", "size").agg(F.min("token").alias("token")).select("token"), "token"), "blocks")
-
-    # tokens of the sets that share some, from the line that each is first on
-    nodes = shared.select("node").distinct().join(firsts, "node").select("node", F.col("first.r").alias("row"), F.col("first.l").alias("line_no"))
-    nodes = stage(nodes.withColumn("key", F.xxhash64("row", "line_no")), "nodes")
-    by_row, by_line = bitmap(nodes, "row"), bitmap(nodes, "key")
-    candidates = documents.where(in_bitmap(_row_key(), by_row))
-    chosen = line_words(candidates, in_bitmap(F.xxhash64("row", "line_no"), by_line))
-    sets = token_sets(chosen, ranks).select("row", "line_no", "tokens").join(nodes, ["row", "line_no"]).dropDuplicates(["node"]).select("node", "tokens")
-    sets = stage(sets, "sets")
-
-    place = firsts.select(F.col("node").alias("_n"), "first")
-    ranked = lambda pairs: (
-        pairs.join(place.withColumnRenamed("first", "fa"), F.col("a") == F.col("_n")).drop("_n").join(place.withColumnRenamed("first", "fb"), F.col("b") == F.col("_n")).drop("_n")
-    )
-    tried = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    later = F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("node")
-    gone = stage(ranked(verified(tried, sets)).select(later).distinct(), "gone")
-
-    placed = shared.where("node <> hub").join(place.withColumnRenamed("first", "f"), F.col("node") == F.col("_n")).drop("_n")
-    left = placed.join(gone, "node", "left_anti")
-    x = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("f").alias("fb"))
-    y = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("f").alias("fa"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = (F.col("fb") < F.col("fa")) & _length_fits(F.col("na"), F.col("nb")) & (most >= _needed(F.col("na"), F.col("nb")))
-    pairs = y.join(x, (y["token"] == x["token"]) & fits).select("a", "b").distinct()
-    more = verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets).select(F.col("a").alias("node"))
-    gone = gone.unionByName(more).distinct().withColumn("whole", F.lit(True))
-
-    here = F.struct(F.col("row").alias("r"), F.col("line_no").alias("l"))
-    told = lines.join(firsts, "node").join(gone, "node", "left")
-    first = F.struct(F.col("first.r").alias("r"), F.col("first.l").alias("l"))
-    return told.where(F.col("whole").isNotNull() | (here != first)).select("row", "line_no").distinct()
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose token sets have the similarity."""
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(shared >= _needed(F.size("x"), F.size("y"))).select("a", "b")
+
+
+def _passes(x: str, y: str) -> Column:
+    """Length and positional filter of two entries of one token."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
+    return _length_fits(nx, ny) & (most >= _needed(nx, ny))
+
+
+def removed_lines(documents: DataFrame) -> DataFrame:
+    """(row, doc_id, line_no) of every line that goes."""
+    documents = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    lines, nodes = nodes_of(documents)
+    blocks = shared_prefixes(nodes)
+    sets = token_sets(documents, blocks)
+
+    hubs = blocks.groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos")).alias("hub")).select("token", "hub.*")
+    x = blocks.select("token", "id", "n", "pos").alias("x")
+    tried = stage(x.join(hubs.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _passes("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "tried")
+    gone = stage(verified(tried, sets).select(F.col("a").alias("id")).distinct(), "gone")
+
+    left = blocks.join(gone, "id", "left_anti")
+    fits = (F.col("x.token") == F.col("y.token")) & (F.col("y.place") < F.col("x.place")) & _passes("x", "y")
+    pairs = left.alias("x").join(blocks.alias("y"), fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets).select(F.col("a").alias("id"))
+    gone = stage(gone.unionByName(more).distinct().withColumn("whole", F.lit(True)), "gone")
+    discard(sets, blocks, tried)
+
+    # nodes of one line that stays need no look at their lines
+    some = nodes.select("id", "h1", "h2", "place", "copies").join(gone, "id", "left").where("copies > 1 or whole")
+    first = (F.col("row") == F.col("place.r")) & F.col("doc_id").eqNullSafe(F.col("place.d")) & (F.col("line_no") == F.col("place.l"))
+    return lines.join(some.select("h1", "h2", "place", "whole"), ["h1", "h2"]).where(F.col("whole").isNotNull() | ~first).select("row", "doc_id", "line_no").distinct()
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -164,13 +192,15 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
     Only rows that lose lines are shuffled to meet them, as far as a bitmap of fixed size can tell.
     """
-    gone = stage(removed_lines(documents).groupBy("row").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("row", "_row"), "removed")
-    bits = bitmap(gone, "_row")
-    keyed = documents.withColumn("_row", F.xxhash64("doc_id", F.col("text").cast("string")))
-    touched = in_bitmap(F.col("_row"), bits)
+    lost = removed_lines(documents).groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = stage(lost, "removed")
     columns = [c for c in documents.columns if c != "n_removed"]
-    some = keyed.where(touched).join(gone, "_row", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    some = some.withColumn("text", text).select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
-    return keyed.where(~touched).select(*columns, F.lit(0).alias("n_removed")).unionByName(some)
+    # the caller's columns travel in one struct, so no name of theirs can clash with ours
+    text = F.col("text").cast("string")
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("_own"), F.col("doc_id").alias("_id"), text.alias("_text"), F.xxhash64("doc_id", text).alias("_key"))
+    touched = in_bitmap(F.col("_key"), bitmap(gone, "_row"))
+    some = keyed.where(touched).join(gone, (F.col("_key") == F.col("_row")) & F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    kept = F.filter(F.split("_text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    some = some.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")))
+    out = lambda df, left, n: df.select(*[left.alias("text") if c == "text" else F.col("_own").getField(c).alias(c) for c in columns], n.cast("int").alias("n_removed"))
+    return out(keyed.where(~touched), F.col("_text"), F.lit(0)).unionByName(out(some, F.col("_left"), F.coalesce(F.size("_gone"), F.lit(0))))
