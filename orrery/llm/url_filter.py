@@ -1,6 +1,7 @@
 """URL filters: explicit rules first, then a logistic regression on hashed character n-grams of host and path.
 
-The model is trained on the driver from LABELLED_URLS, a small table of invented URLs; its weights have a fixed size.
+The model is trained on the driver from a small table of labelled URLs, of at most MAX_LABELLED rows, that a caller may give; the
+default is invented by rule. Its weights have a fixed size.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, no rule, and the model's verdict on nothing
 (allow). An empty table gives an empty result. Other columns of the input are ignored.
@@ -27,29 +28,61 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Invented URLs for training: hosts and paths of unwanted and of ordinary sites.
-BAD_HOSTS = (
-    "casino-win casino-royal free-bets best-bets online-bets cheap-pills buy-pills pills-shop spam-farm link-farm ads-track ad-track "
-    "track-clicks click-ads free-casino win-big win-money poker-bets poker-win cheap-meds cheap-loans fast-loans xxx-cams hot-cams "
-    "free-spins spam-links spam-ads bet-now betting-tips casino-bonus pills-online payday-loans clickfarm adserver"
+#: Words from which the default table of labelled URLs is made. Fixed values.
+UNWANTED_WORDS = (
+    "casino poker bingo jackpot slots roulette blackjack betting bet wager lottery gamble pills pill pharmacy meds viagra tablets steroids "
+    "adult porn xxx sex cams nude escort erotic dating ads adserver adclick banner popup tracker tracking pixel affiliate clicks "
+    "spam scam phishing linkfarm farm clickbait malware warez crack loans payday cash credit cheap free win winner bonus prize discount replica"
 ).split()
-GOOD_HOSTS = (
-    "news library school museum garden weather kitchen history river mountain science physics music theatre gallery travel cities "
+ORDINARY_WORDS = (
+    "news library school museum garden weather kitchen history river mountain science physics music theatre gallery travel city "
     "health nursing forum docs wiki archive journal review letters research university college teacher reading writing stories "
     "nature animals forest ocean island harbour station market bakery village council parish football cricket tennis running "
-    "software compiler database network hardware engine motor bicycle railway thread stitch therapy ether thing tions thand erthe ingre"
+    "software compiler database network hardware engine motor bicycle railway thread stitch therapy address roads winter window "
+    "freedom farmer trackside spanish adults clinic credits cashmere better alphabet pillow cheese prized bonfire sextant "
+    "cooking painting housing morning building singing sewing knitting sailing hiking printing engineering"
 ).split()
-BAD_PATHS = "/en/1?win=1 /offer /bonus/free /buy/cheap /click?ad=1 /win /de/2".split()
-GOOD_PATHS = "/en/12 /de/417 /fr/88.html /es/903/ / /2020/05/post /about.html /en/345 /fr/6".split()
-LABELLED_URLS = [
-    (f"https://{('', 'www.', 'm.')[i % 3]}{h}.example.{('com', 'org', 'net')[i % 3]}{BAD_PATHS[i % len(BAD_PATHS)]}", 1) for i, h in enumerate(BAD_HOSTS)
-] + [
-    (f"https://{('', 'www.', 'm.', 'blog.')[i % 4]}{h}.example.{('com', 'org', 'net')[i % 3]}{GOOD_PATHS[i % len(GOOD_PATHS)]}", 0) for i, h in enumerate(GOOD_HOSTS)
-]
+NEUTRAL_PATHS = ("/", "/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/{}/index.html", "/2020/05/{}", "/about", "/it/{}", "/item?id={}")
+UNWANTED_PATHS = ("/offer/{}", "/bonus/claim", "/buy/cheap-{}", "/click?ad={}", "/win/prize", "/xxx/{}", "/free/spins")
+_TOPS = ("com", "org", "net", "info")
+_SUBDOMAINS = ("", "www.", "m.", "blog.")
+
+
+def _plain_name(i: int) -> str:
+    """An invented name of two to four syllables, from the number i by a fixed rule."""
+    x = (i + 1) * 2654435761 % 2**32
+    out = ""
+    for _ in range(2 + x % 3):
+        x = (x * 1103515245 + 12345) % 2**31
+        out += "bcdfghjklmnprstvwz"[x >> 8 & 15] + ("h" if x >> 12 & 7 == 0 else "") + "aeiou"[(x >> 16) % 5] + ("nrstl"[(x >> 24) % 5] if x >> 20 & 1 else "")
+    return out
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The default table: (url, 1 unwanted or 0 ordinary), invented by rule. Paths are dealt alike to both, so hosts decide."""
+    n, out = len(UNWANTED_WORDS), []
+
+    def add(i: int, name: str, label: int, path: str) -> None:
+        host = f"{_SUBDOMAINS[i % 4]}{name}.{('example.' if i % 3 else '')}{_TOPS[i // 4 % 4]}"
+        out.append((f"https://{host}{path.format(100 + i * 37 % 9000)}", label))
+
+    for i, w in enumerate(UNWANTED_WORDS):
+        for k, join in ((0, ""), (7, "-"), (20, ""), (31, "-"), (45, "-")):
+            name = w if not k else w + join + UNWANTED_WORDS[(i + k) % n]
+            add(len(out), name, 1, NEUTRAL_PATHS[len(out) % len(NEUTRAL_PATHS)])
+    for i in range(len(out)):
+        a, b = ORDINARY_WORDS[i % len(ORDINARY_WORDS)], ORDINARY_WORDS[i * 7 % len(ORDINARY_WORDS)]
+        add(i, (a, f"{a}-{b}", f"{a}{b}", _plain_name(i), f"{_plain_name(i)}-{_plain_name(i + 5000)}")[i % 5] if i % 2 else _plain_name(i), 0, NEUTRAL_PATHS[i % len(NEUTRAL_PATHS)])
+    for i in range(4 * len(UNWANTED_PATHS)):
+        add(i, _plain_name(i + 9000), 1, UNWANTED_PATHS[i % len(UNWANTED_PATHS)])
+    return out
+
 
 BUCKETS_LOG2 = 15
 SIZES = (3, 4, 5)
 THRESHOLD = 0.5
+#: Rows of a table of labelled URLs at most.
+MAX_LABELLED = 20_000
 _CODE = mix64(np.arange(2001, 2001 + 2 * max(SIZES) + 2, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -102,19 +135,27 @@ def features(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return row, bucket, 1 / np.sqrt(np.maximum(count, 1))[row]
 
 
+def _split(url: str) -> tuple[str, str]:
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    n = min([rest.find(c) for c in "/?#" if c in rest] + [len(rest)])
+    return rest[:n].lower(), rest[n:].split("#", 1)[0].split("?", 1)[0]
+
+
 @lru_cache(maxsize=4)
-def train(steps: int = 400, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent over LABELLED_URLS; deterministic."""
-    urls = [u for u, _ in LABELLED_URLS]
-    y = np.array([v for _, v in LABELLED_URLS], float)
-    rest = [u.split("://", 1)[1] for u in urls]
-    host = pa.array([r.split("/", 1)[0] for r in rest])
-    path = pa.array(["/" + r.split("/", 1)[1].split("?")[0] for r in rest])
+def train(labelled: tuple[tuple[str, int], ...], steps: int = 400, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient descent over (url, label) rows, both classes weighing the same; deterministic."""
+    if len(labelled) > MAX_LABELLED:
+        raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
+    y = np.array([v for _, v in labelled], float)
+    if not 0 < y.sum() < len(y):
+        raise ValueError("labelled URLs of both classes are needed")
+    host, path = (pa.array(x) for x in zip(*(_split(u) for u, _ in labelled), strict=True))
     row, bucket, value = features(host, path)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, b = np.zeros(1 << BUCKETS_LOG2), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(row, value * w[bucket], minlength=len(y)) + b)))
-        g = (p - y) / len(y)
+        g = (p - y) * weight
         w -= rate * (np.bincount(bucket, value * g[row], minlength=len(w)) + l2 * w)
         b -= rate * g.sum()
     return w, float(b)
@@ -125,12 +166,15 @@ def scores(host: pa.Array, path: pa.Array, model: tuple[np.ndarray, float]) -> n
     return 1 / (1 + np.exp(-(np.bincount(row, value * model[0][bucket], minlength=len(host)) + model[1])))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD, labelled: DataFrame | list[tuple[str, int]] | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, score): the longest fitting rule's verdict, else block where score >= threshold.
 
+    labelled has the URLs to train on with their labels (1 unwanted, 0 ordinary), as a list or as a DataFrame of url and label.
     A map-only job: parsing and rules are JVM expressions, only host and path go to Python, in Arrow batches.
     """
-    model = train()
+    if isinstance(labelled, DataFrame):
+        labelled = [(r.url, int(r.label)) for r in labelled.where("url is not null and label is not null").select("url", "label").orderBy("url", "label").limit(MAX_LABELLED + 1).collect()]
+    model = train(tuple(labelled_urls() if labelled is None else labelled))
     host, path = host_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("_given"))
