@@ -1,16 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Every page is cut into text blocks (lines). Pages are paired with the page nearest in URL path on the same host: of the two
-neighbours in the order of (host, path, id) the one that shares the longer path prefix. The two pages' lines are
-aligned by their longest common subsequence, and lines of the page that are shared are template, and deleted.
+Every page is cut into text blocks (lines). The distinct line lists of a host are put in the order of their URL paths (copies of
+a page by their first path), and each is paired with the nearest other: of the two neighbours the one that shares the
+longer path prefix. The two pages' lines are aligned by their longest common subsequence, and shared lines are
+template, and deleted.
 
 Two corrections follow, as pages may share real text and templates may differ between neighbours: lines inside the page's article
 (<article>, <main>) stay even if shared, for copies of an article are still its text; and lines inside navigation, headers, footers,
 sidebars, forms, notices, adverts or comments go even if not shared. Where a page has an article, only lines within it are its text.
 
 Edge cases: null html is empty; a page without text has text "" and n_chars 0. A null url counts as host and path "". Repeated rows
-are neighbours of each other, so of pages without an article all but structure is then shared; a page whose neighbour is an exact
-copy is compared with no one, so it keeps its text. Unclosed and stray tags are tolerated. An empty table gives an empty
+and copies on one host are one line list, so they are compared with the nearest page that differs; a list alone on its host is
+compared with no one. Unclosed and stray tags are tolerated. An empty table gives an empty
 result. Other columns are ignored.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bitmap, discard, in_bitmap, stage
 from .url_filter import host_path
 
 #: Elements by what they do to text.
@@ -222,10 +223,10 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     joined = joined.select(*columns, F.coalesce("before", "b").alias("before"), F.coalesce("after", "a").alias("after"))
 
     def prefix(other: str):
-        n = F.least(F.length("path"), F.length(f"{other}.path"))
-        steps = F.sequence(F.lit(1), n)
-        same = F.size(F.filter(steps, lambda k: F.substring(F.col("path"), F.lit(1), k) == F.substring(F.col(f"{other}.path"), F.lit(1), k)))
-        return F.when(F.col(f"{other}.host") == F.col("host"), F.when(n > 0, same).otherwise(0)).otherwise(-1)
+        letters = lambda c: F.split(F.col(c), "")
+        same = F.transform(F.arrays_zip(letters("path").alias("x"), letters(f"{other}.path").alias("y")), lambda z: z["x"].eqNullSafe(z["y"]))
+        first = F.array_position(same, False)
+        return F.when(F.col(f"{other}.host") == F.col("host"), F.when(first > 0, first - 1).otherwise(F.length("path"))).otherwise(-1)
 
     p, q = F.coalesce(prefix("before"), F.lit(-1)), F.coalesce(prefix("after"), F.lit(-1))
     return joined.select("uid", F.when((p >= q) & (p >= 0), F.col("before.uid")).when(q >= 0, F.col("after.uid")).alias("near"))
@@ -237,24 +238,30 @@ def extract(pages: DataFrame) -> DataFrame:
     # rows are told apart by id and content, so repeated rows have one result
     uid = F.xxhash64("page_id", "url", "html")
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), uid.alias("uid"))
-    places = pages.select(host.alias("host"), path.alias("path"), uid.alias("uid")).distinct()
-    near = nearest_pages(places)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = [_line_hashes(page_lines(h.as_py())[0]).tolist() for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(lines, pa.list_(pa.int64()))], names=["uid", "lines"])
-
-    hashed = stage(rows.select("uid", "html").mapInArrow(hashes, "uid bigint, lines array<bigint>"), "page-lines").dropDuplicates(["uid"])
-    other = hashed.select(F.col("uid").alias("near"), F.col("lines").alias("other"))
-    paired = near.join(hashed, "uid").join(other, "near").where(F.col("lines") != F.col("other"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "host", "path")), pa.array(lines, pa.list_(pa.int64()))], names=["uid", "host", "path", "lines"])
+
+    places = pages.select(uid.alias("uid"), host.alias("host"), path.alias("path"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    hashed = places.mapInArrow(hashes, "uid bigint, host string, path string, lines array<bigint>")
+    hashed = stage(hashed.withColumn("list", F.xxhash64("lines")), "page-lines")
+    # one page stands for all of its host with the same lines
+    lists = hashed.groupBy("host", "list").agg(F.min(F.struct("path", "uid")).alias("first")).select("host", "first.path", "first.uid", "list")
+    near = stage(nearest_pages(lists).where("near is not null"), "page-pairs")
+    once = hashed.select("uid", "host", "list", "lines").dropDuplicates(["uid"])
+    other = once.select(F.col("uid").alias("near"), F.col("lines").alias("other"))
+    paired = near.join(once, "uid").join(other, "near")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.flatnonzero(shared_lines(np.array(a.as_py(), np.int64), np.array(b.as_py(), np.int64))).tolist() for a, b in zip(batch.column("lines"), batch.column("other"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(found, pa.list_(pa.int32()))], names=["uid", "shared"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("list"), pa.array(found, pa.list_(pa.int32()))], names=["host", "list", "shared"])
 
-    shared = paired.select("uid", "lines", "other").mapInArrow(align, "uid bigint, shared array<int>").where(F.size("shared") > 0)
+    aligned = paired.select("host", "list", "lines", "other").mapInArrow(align, "host string, list bigint, shared array<int>").where(F.size("shared") > 0)
+    shared = stage(hashed.select("uid", "host", "list").distinct().join(aligned, ["host", "list"]).select("uid", "shared"), "page-shared")
+    discard(hashed, near)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,5 +274,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 many.append(int(mark.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out), pa.array([len(t) for t in out], pa.int64()), pa.array(many, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    joined = rows.join(shared, "uid", "left").select("page_id", "url", "html", "shared")
-    return joined.mapInArrow(texts, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars bigint, n_shared bigint")
+    # only pages that may have shared lines are shuffled to meet them
+    touched = in_bitmap(F.col("uid"), bitmap(shared, "uid"))
+    some = rows.where(touched).join(shared, "uid", "left").select("page_id", "url", "html", "shared")
+    rest = rows.where(~touched).select("page_id", "url", "html", F.lit(None).cast("array<int>").alias("shared"))
+    return rest.unionByName(some).mapInArrow(texts, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars bigint, n_shared bigint")

@@ -1,4 +1,6 @@
 import itertools
+import os
+import re
 
 import numpy as np
 import pytest
@@ -65,3 +67,56 @@ def test_query_keeps_every_page(spark, smoke):
     out = queries.op5_html_text(spark, smoke).collect()
     assert len(out) == spark.read.parquet(f"{smoke}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in out)
     assert not any("<p>" in r.text or "©" in r.text for r in out)
+
+
+def brute(pages):
+    """{(id, url, html): (text, shared lines)} by plain loops: nearest other line list on the host, then the common subsequence."""
+    lists = {}
+    for i, url, html in pages:
+        host, path = host_path(url)
+        lists.setdefault(host, {}).setdefault(tuple(h.page_lines(html or "")[0]), []).append((path, i))
+    out = {}
+    for i, url, html in pages:
+        host = host_path(url)[0]
+        lines, zones = h.page_lines(html or "")
+        order = sorted((min(where)[0], k) for k, where in lists[host].items())
+        at = [k for _, k in order].index(tuple(lines))
+        mine = order[at][0]
+        common = lambda n: len(os.path.commonprefix([mine, order[n][0]]))
+        near = max((n for n in (at - 1, at + 1) if 0 <= n < len(order)), key=common, default=None)
+        ids = {t: k for k, t in enumerate(dict.fromkeys([*lines, *(order[near][1] if near is not None else ())]))}
+        mark = np.zeros(len(lines), bool) if near is None else h.shared_lines(np.array([ids[t] for t in lines], np.int64), np.array([ids[t] for t in order[near][1]], np.int64))
+        out[i, url, html] = (h.main_text(lines, zones, mark), int(mark.sum()))
+    return out
+
+
+def host_path(url):
+    rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+    host = re.match("[^/?#]*", rest)[0]
+    return host.lower(), re.match("[^?#]*", rest[len(host) :])[0]
+
+
+def test_query_equals_brute_force(spark, smoke):
+    pages = [tuple(r) for r in spark.read.parquet(f"{smoke}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: (r.text, r.n_shared) for r in queries.op5_html_text(spark, smoke).collect()}
+    want = brute(pages)
+    assert got == {p[0]: want[p] for p in pages}
+
+
+def test_pages_without_article_are_decided_by_differencing(spark):
+    """Menus, notices and footers that no tag or name tells: they differ between hosts, and copies don't protect them."""
+    rng = np.random.default_rng(3)
+    pages = []
+    for i in range(60):
+        host = i % 4
+        body = "".join(f"<p>text {rng.integers(0, 10**9)} of {i}</p>" for _ in range(rng.integers(1, 6)))
+        pages.append((i, f"http://h{host}.org/{'ab'[i % 2]}/{i:03d}?q", f"<div>menu of {host}</div><p>home {host}</p>{body}<p>rights {host}</p>"))
+    pages += [(100 + i, f"http://h0.org/a/{i:03d}", pages[0][2]) for i in range(8)] + [(200, "http://h9.org/" + "x/" * 20_000, "<p>long</p>"), (201, "http://h9.org/" + "x/" * 20_000 + "y", "<p>long</p><p>own</p>")]
+    out = {r.page_id: r for r in h.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(7)).collect()}
+    want = brute(pages)
+    for p in pages:
+        assert (out[p[0]].text, out[p[0]].n_shared) == want[p]
+    for i in [*range(60), *range(100, 108)]:
+        assert out[i].n_shared == 3 and not any(w in out[i].text for w in ("menu", "home", "rights")) and out[i].text
+        lines, zones = h.page_lines(dict((p[0], p[2]) for p in pages)[i])
+        assert h.main_text(lines, zones, np.zeros(len(lines), bool)) != out[i].text
