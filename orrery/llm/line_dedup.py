@@ -47,16 +47,17 @@ def _row_key() -> Column:
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, line_no, line) of every line."""
-    return documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(row, doc_id, line_no, line) of every line that isn't empty."""
+    return documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
 
 
 def rarity_ranks(documents: DataFrame) -> Column:
     """Of each hash bucket the rank by count over all tokens of all lines, in a token's top 16 bits. A scalar subquery."""
     # generators keep the work in compiled code: first a line's words, then a row for each token
-    words = lines_of(documents).select(F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") > 0)
+    words = lines_of(documents).select(F.explode(F.array(_words(F.col("line")))).alias("words"))
     each = words.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
     at = lambda j: F.col("i") + j
+    # of a line of white space the one row has no words, and its bucket is counted for nothing
     token = F.xxhash64(*[F.when(at(j) < F.size("words"), F.xxhash64(F.get("words", at(j)))) for j in range(SHINGLE)])
     found = each.groupBy(F.shiftrightunsigned(token, 48).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
     counts = dense(stage(found, "rarity"), BUCKETS, "bucket", "n")
@@ -72,14 +73,15 @@ def _hashes(words: Column) -> Column:
         # of a shorter line the missing words are nulls, which the hash passes over
         lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]),
     )
-    # the one-element array binds the word hashes
-    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 1)
+    # the one-element array binds the word hashes; a line of white space has none
+    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(F.array().cast("array<bigint>"))), 1)
 
 
 def _by_rarity(tokens: Column, ranks: Column) -> Column:
     low = F.lit((1 << 48) - 1)
-    ranked = lambda r: F.transform(F.array_distinct(tokens), lambda t: F.get(r, F.shiftrightunsigned(t, 48).cast("int")).bitwiseOR(t.bitwiseAND(low)))
-    return F.sort_array(F.element_at(F.transform(F.array(ranks), ranked), 1))
+    # arrays without nulls are sorted as primitives, and what stands around a higher-order function is compiled
+    ranked = lambda r: F.transform(tokens, lambda t: F.coalesce(F.get(r, F.shiftrightunsigned(t, 48).cast("int")).bitwiseOR(t.bitwiseAND(low)), F.lit(0)))
+    return F.array_distinct(F.sort_array(F.element_at(F.transform(F.array(ranks), ranked), 1)))
 
 
 def _needed(m: Column, n: Column) -> Column:
@@ -103,20 +105,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def nodes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, line_no, h1, h2) of every line with words, and nodes: (id, h1, h2, place, copies, n, prefix)."""
-    tokens = lines_of(documents).select("row", "doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
     # a subquery may not stand within a higher-order function; the optimiser puts it there, so no row carries it
-    tokens = tokens.select("row", "doc_id", "line_no", "words", rarity_ranks(documents).alias("ranks"))
-    tokens = tokens.select("row", "doc_id", "line_no", _by_rarity(_hashes(F.col("words")), F.col("ranks")).alias("tokens"))
+    tokens = lines_of(documents).select("row", "doc_id", "line_no", "line", rarity_ranks(documents).alias("ranks"))
+    tokens = tokens.select("row", "doc_id", "line_no", _by_rarity(_hashes(_words(F.col("line"))), F.col("ranks")).alias("tokens"))
     n = F.size("tokens")
     prefix = (n - F.floor((n * NUMERATOR + (DENOMINATOR - 1)) / DENOMINATOR) + 1).cast("int")
     whole = stage(
         tokens.select("row", "doc_id", "line_no", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), n.alias("n"), F.slice("tokens", F.lit(1), prefix).alias("prefix")),
         "lines",
     )
+    found = whole.where("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("line_no").alias("l"))
-    best = whole.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "prefix")).alias("best"), F.count("*").alias("copies"))
+    best = found.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "prefix")).alias("best"), F.count("*").alias("copies"))
     nodes = stage(best.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "best.place", "copies", "best.n", "best.prefix"), "nodes")
-    lines = stage(whole.select("row", "doc_id", "line_no", "h1", "h2"), "lines")
+    lines = stage(found.select("row", "doc_id", "line_no", "h1", "h2"), "lines")
     discard(whole)
     return lines, nodes
 
