@@ -4,18 +4,21 @@ A document's set is its distinct runs of five words. Two documents link when 5 *
 shingle hashes. The shingles are hashed into GROUPS groups; a set's counts by group are a point, and the sum of coordinate minima of two
 points bounds their overlap from above.
 
-Distribution. Two linked sets of n shingles share one of their first n - ceil(0.8 n) + 1 in any common order, so documents meet
-only under shared prefix shingles. The order is by rarity (counts of all shingles of all documents in 65,536 hash buckets), which
-puts the passages that many documents share last.
-
-1. Hubs: every set is held against the smallest set of each prefix shingle. Equal shingles are combined within each map task
-   before the shuffle. Pairs that pass the count bound are verified; their links give first components, which take in groups of
-   copies without pairs inside the group.
-2. R-tree: under each prefix shingle that still joins different components, the sets are dealt over tiles of bounded size. In a pair of
-   tiles, points sorted by size are packed into leaves with minimum bounding boxes; leaf pairs, then points, are pruned by the
-   sum of minima against the overlap that their sizes need, and pairs within one component are skipped. Survivors are verified.
-
-Every link between different components is found, so components are exact. Equal sets are one node.
+1. Partition. A tree over all points prunes little, as every box of many documents covers them all. Two linked sets of n
+   shingles share one of their first n - ceil(0.8 n) + 1 in any common order, so points are dealt into blocks by prefix
+   shingle. The order is by rarity (counts of all shingles of all documents in 65,536 hash buckets), which puts the passages
+   that many documents share last. Shingles with the same members make one block.
+2. Index. The points of a block, in tiles of bounded size, are packed into a tree: halved along the coordinate of the widest
+   spread down to leaves, each node with the maxima of its coordinates and the range of its sizes. The tree is joined with
+   itself; pairs of nodes, then of points, are pruned by the sum of minima against the overlap that their sizes need. All
+   candidates come from here. A pair is emitted only in the first of the blocks that its two sets share.
+3. Verification of the surviving pairs by their whole sets.
+4. Rounds. At first a point proposes only its NEAREST best pairs in a block and a tile meets only itself and its block's first tile, so
+   a group of copies yields about as many pairs as members. Links make components; the next rounds skip pairs within one
+   component, and the last takes all pairs that are left, with members outside a block's largest component as queries.
+
+Every link between different components is found, so components are exact. Equal sets (by 128 bits) are one node. Links within
+a component are not all enumerated, so the result names components and not numbers of links.
 
 Edge cases: null or wordless text has an empty set, links with nothing, and is its own component. One to four words are one
 shingle. A null doc_id takes part but can't be a component's smallest id; if all ids of a component are null it is null. Repeated
@@ -28,25 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, chunks, in_bitmap, mix64, shingle_hashes, stage, text_buffers, word_hashes
+from .common import bitmap, chunks, discard, in_bitmap, mix64, shingle_hashes, stage, text_buffers, word_hashes
 from .graph import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS = 1 << 16
 #: Coordinates of a point.
-GROUPS = 128
-#: Points in a leaf of the tree, and sets in a tile of a shingle.
-LEAF = 32
+GROUPS = 256
+#: Points in a leaf of the tree, and sets in a tile of a block.
+LEAF = 16
 TILE = 1024
-#: Candidates of a set that are verified first, before all that are still needed.
-NEAREST = 4
-#: Prefix entries combined in a map task at a time.
-COMBINE = 500_000
-
+#: Pairs that a set proposes in a block, by round; None is all.
+NEAREST = (1, 4, None)
 
 def raw_shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, shingle hashes, and row offsets into them."""
@@ -88,53 +88,137 @@ def needed(m, n):
     return ((m + n) * NUMERATOR + d - 1) // d
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set: sums of remixed members, so of any order; 0 for the empty set."""
+    out = []
+    size = np.diff(offsets)
+    for salt in (77, 1_000_003):
+        total = np.zeros(len(size), np.uint64)
+        if len(flat):
+            total[size > 0] = np.add.reduceat(mix64(flat + np.uint64(salt)), offsets[:-1][size > 0])
+        out.append(np.where(size > 0, mix64(total + size.astype(np.uint64)), np.uint64(0)).view(np.int64))
+    return out[0], out[1]
+
+
+def flat_sets(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of shingle_sets one after the other, and offsets by row."""
+    sets = shingle_sets(texts, ranks)
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
+
 
+def packed(points: np.ndarray) -> list[bytes]:
+    """Points as bytes: one for each coordinate, or four where a count is above 255."""
+    small = points.max(1) < 256 if len(points) else np.zeros(0, bool)
+    return [(p.astype(np.uint8) if s else p.astype("<u4")).tobytes() for p, s in zip(points, small, strict=True)]
 
-def fingerprint(s: np.ndarray) -> int:
-    """64 bits of a set: a sum of remixed members, so of any order; 0 only for the empty set."""
-    with np.errstate(over="ignore"):
-        h = mix64(mix64(s + np.uint64(77)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0] if len(s) else np.uint64(0)
-    return int(h.view(np.int64))
+
+def unpacked(column: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4") for p in column]).astype(np.int32) if column else np.zeros((0, GROUPS), np.int32)
 
 
 # --- the tree -------------------------------------------------------------------------------------
 
 
-def tree_pairs(size: np.ndarray, points: np.ndarray, side: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i, j) that may link, with bound over need: of the two sides if there are two, else i < j. Pairs within one component are left out."""
-    order = np.lexsort((points[:, 0], size))
-    size, points, side, component = size[order], points[order], side[order], component[order]
-    leaves = [np.flatnonzero(side == s)[k : k + LEAF] for s in np.unique(side) for k in range(0, int((side == s).sum()), LEAF)]
-    if not leaves:
+class Tree:
+    """A binary tree over points, in arrays: rows first to last of order, children, upper corner, least and most size, roles below."""
+
+    def __init__(self, points: np.ndarray, size: np.ndarray, query: np.ndarray, member: np.ndarray):
+        self.order = np.arange(len(points))
+        self.nodes: list[tuple[int, int, int, int]] = []  # first, last, left child, right child
+        todo = [(0, len(points), -1, 0)]
+        while todo:
+            i, j, parent, place = todo.pop()
+            me = len(self.nodes)
+            self.nodes.append((i, j, -1, -1))
+            if parent >= 0:
+                a, b, left, right = self.nodes[parent]
+                self.nodes[parent] = (a, b, me, right) if place == 0 else (a, b, left, me)
+            if j - i > LEAF:
+                own = points[self.order[i:j]]
+                widest = int(np.argmax(own.max(0) - own.min(0)))
+                self.order[i:j] = self.order[i:j][np.lexsort((size[self.order[i:j]], own[:, widest]))]
+                half = (i + j) // 2
+                todo += [(half, j, me, 1), (i, half, me, 0)]
+        rows = [self.order[i:j] for i, j, _, _ in self.nodes]
+        self.corner = np.stack([points[r].max(0) for r in rows])
+        self.low, self.high = np.array([size[r].min() for r in rows]), np.array([size[r].max() for r in rows])
+        self.query, self.member = np.array([query[r].any() for r in rows]), np.array([member[r].any() for r in rows])
+
+
+def tree_pairs(points: np.ndarray, query: np.ndarray, member: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a query and a member, either first, that may link, with bound over need; each pair once."""
+    if len(points) < 2:
         return
-    top = np.stack([points[x].max(0) for x in leaves])
-    low, high = np.array([size[x].min() for x in leaves]), np.array([size[x].max() for x in leaves])
-    of = np.array([side[x[0]] for x in leaves])
-    one = len(np.unique(side)) == 1
-    root = np.array([component[x[0]] for x in leaves])
-    whole = np.array([(component[x] == component[x[0]]).all() for x in leaves])
-    for i, x in enumerate(leaves):
-        # boxes: sizes must fit, and the minima of the upper corners must reach the overlap that the smallest sizes need
-        fits = (np.arange(len(leaves)) >= i) & ((of == of[i]) if one else (of != of[i])) & (low * NUMERATOR <= high[i] * DENOMINATOR) & (low[i] * NUMERATOR <= high * DENOMINATOR)
-        near = np.flatnonzero(fits)
-        near = near[np.minimum(top[near], top[i]).sum(1) >= needed(low[near], low[i])]
-        near = near[~(whole[near] & whole[i] & (root[near] == root[i]))]
-        for j in near:
-            y = leaves[j]
-            bound = np.minimum(points[x][:, None, :], points[y][None, :, :]).sum(2)
-            need = needed(size[x][:, None], size[y][None, :])
-            a, b = np.nonzero((bound >= need) & (component[x][:, None] != component[y][None, :]))
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            if len(a):
-                yield order[x[a]], order[y[b]], bound[a, b] / need[a, b]
-
-
-def _best(node: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """Which rows are among their node's most best scores."""
-    order = np.lexsort((-score, node))
+    size = points.sum(1)
+    tree = Tree(points, size, query, member)
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        (i, j, left, right), (k, m, left2, right2) = tree.nodes[x], tree.nodes[y]
+        if not (tree.query[x] & tree.member[y] | tree.query[y] & tree.member[x]):
+            continue
+        if tree.low[x] * NUMERATOR > tree.high[y] * DENOMINATOR or tree.low[y] * NUMERATOR > tree.high[x] * DENOMINATOR:
+            continue
+        if x != y and np.minimum(tree.corner[x], tree.corner[y]).sum() < needed(tree.low[x], tree.low[y]):
+            continue
+        if x == y and left >= 0:
+            todo += [(left, left), (left, right), (right, right)]
+        elif left >= 0 and (left2 < 0 or j - i >= m - k):
+            todo += [(left, y), (right, y)]
+        elif left2 >= 0:
+            todo += [(x, left2), (x, right2)]
+        else:
+            a, b = tree.order[i:j], tree.order[k:m]
+            bound = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(2)
+            need = needed(size[a][:, None], size[b][None, :])
+            good = bound >= need
+            if x == y:
+                good = np.triu(good, 1)
+            u, v = np.nonzero(good)
+            if len(u):
+                yield a[u], b[v], bound[u, v] / need[u, v]
+
+
+#: Roles of a row in a tile task: it looks for members, is found, or both; a member that looks elsewhere too is met by smaller ids only.
+QUERY, MEMBER, BOTH, MEMBER_TOO = 0, 1, 2, 3
+
+
+def task_pairs(shingle: int, ids: np.ndarray, component: np.ndarray, side: np.ndarray, points: np.ndarray, lists: list[np.ndarray], most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a < b, of one tile task: the tree's, of different components, whose first shared block this is.
+
+    With most, only pairs among the most best of their query.
+    """
+    query, member, also = (side == QUERY) | (side == BOTH), side != QUERY, side >= BOTH
+    found = list(tree_pairs(points, query, member))
+    none = np.zeros(0, np.int64)
+    if not found:
+        return none, none
+    i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    forward = query[i] & member[j] & (~also[j] | (ids[i] < ids[j]))
+    back = query[j] & member[i] & (~also[i] | (ids[j] < ids[i])) & ~forward
+    i, j, score = np.concatenate([i[forward], j[back]]), np.concatenate([j[forward], i[back]]), np.concatenate([score[forward], score[back]])
+    keep = (ids[i] != ids[j]) & (component[i] != component[j])
+    i, j, score = i[keep], j[keep], score[keep]
+    if len(i):
+        # smaller blocks that rows have: a pair with a common one is emitted there
+        earlier = [x[: np.searchsorted(x, shingle)] for x in lists]
+        names, at = np.unique(np.concatenate(earlier), return_inverse=True)
+        if len(names):
+            held = np.zeros((len(ids), len(names)), np.float32)
+            held[np.repeat(np.arange(len(ids)), [len(x) for x in earlier]), at] = 1
+            common = held @ held.T > 0
+            keep = ~common[i, j]
+            i, j, score = i[keep], j[keep], score[keep]
+    if most is not None and len(i):
+        # a pair is among the best of either of its ends
+        keep = _best(ids[i], score, ids[j], most) | _best(ids[j], score, ids[i], most)
+        i, j = i[keep], j[keep]
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+
+def _best(node: np.ndarray, score: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are among their node's most best scores; of equal ones the smallest others."""
+    order = np.lexsort((other, -score, node))
     start = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
     place = np.arange(len(node)) - np.repeat(start, np.diff(np.append(start, len(node))))
     out = np.zeros(len(node), bool)
@@ -142,86 +226,35 @@ def _best(node: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _block_task(most: int | None):
-    """One pair of tiles: its tree's pairs; with most, only those among the most best of one of their nodes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, component, tile = (table.column(c).to_numpy() for c in ("node", "component", "tile"))
-        if table.column("lo")[0] != table.column("hi")[0] and len(np.unique(tile)) < 2:
-            node = node[:0]
-        points = np.stack([np.frombuffer(p, "<u4") for p in table.column("point").to_pylist()]).astype(np.int64)
-        found = list(tree_pairs(points.sum(1), points, tile, component)) if len(node) else []
-        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        if most is not None and len(i):
-            keep = _best(i, score, most) | _best(j, score, most)
-            i, j = i[keep], j[keep]
-        a, b = node[i], node[j]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return run
-
-
 # --- stages ---------------------------------------------------------------------------------------
 
 
 def document_sets(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, row, n_shingles, node, prefix, last, point) of every row.
-
-    row is a hash of id and text, node the set's fingerprint, last the prefix's last shingle.
-    """
+    """(doc_id, row, n_shingles, f1, f2, prefix, point) of every row; row is a hash of id and text, f1 and f2 the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), ranks)
-            prefixes = [s[: len(s) - (len(s) * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1].view(np.int64) for s in sets]
+            flat, offsets = flat_sets(batch.column("text"), ranks)
+            size = np.diff(offsets)
+            first = size - (size * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + (size > 0)
+            at = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
+            prefix = flat[at < np.repeat(first, size)].view(np.int64)
+            f1, f2 = fingerprints(flat, offsets)
+            points: list[bytes] = []
+            for i in range(0, len(size), 256):
+                j = min(i + 256, len(size))
+                cell = np.repeat(np.arange(j - i), size[i:j]) * GROUPS + (flat[offsets[i] : offsets[j]] % np.uint64(GROUPS)).astype(np.int64)
+                points += packed(np.bincount(cell, minlength=(j - i) * GROUPS).reshape(j - i, GROUPS))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("row"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([fingerprint(s) for s in sets], pa.int64()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array([p[-1] if len(p) else None for p in prefixes], pa.int64()),
-                    pa.array([point(s).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    batch.column("doc_id"), batch.column("row"), pa.array(size), pa.array(f1), pa.array(f2),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(prefix)), pa.array(points, pa.binary()),
                 ],
-                names=["doc_id", "row", "n_shingles", "node", "prefix", "last", "point"],
-            )
-
-    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, prefix array<bigint>, last bigint, point binary")
-
-
-def prefix_entries(sets: DataFrame) -> DataFrame:
-    """(shingle, node, hub): prefix entries, combined within a task's runs of entries.
-
-    The smallest node of a shingle in a run stands for it, without hub; the others have it as their hub, and needn't be
-    shuffled to find one. So after the shuffle a shingle has one entry for each run at most, and none is hot.
-    """
-
-    def combine(nodes: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
-        node, key = np.concatenate(nodes), np.concatenate(keys)
-        order = np.lexsort((node, key))
-        node, key = node[order], key[order]
-        again = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
-        node, key = node[~again], key[~again]
-        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        hub = node[first][np.cumsum(first) - 1] if len(key) else node
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(hub, mask=first)], names=["shingle", "node", "hub"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, keys, held = [], [], 0
-        for batch in batches:
-            prefix = batch.column("prefix")
-            size = prefix.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            nodes.append(np.repeat(batch.column("node").to_numpy(), size))
-            keys.append(prefix.flatten().to_numpy())
-            held += len(keys[-1])
-            if held >= COMBINE:
-                yield combine(nodes, keys)
-                nodes, keys, held = [], [], 0
-        if held:
-            yield combine(nodes, keys)
+                names=["doc_id", "row", "n_shingles", "f1", "f2", "prefix", "point"],
+            )
 
-    return sets.where("n_shingles > 0").select("node", "prefix").mapInArrow(run, "shingle bigint, node bigint, hub bigint")
+    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, f1 bigint, f2 bigint, prefix array<bigint>, point binary")
 
 
 def _overlap(p: np.ndarray, q: np.ndarray) -> int:
@@ -235,7 +268,7 @@ def _overlap(p: np.ndarray, q: np.ndarray) -> int:
 
 def verified(pairs: DataFrame, texts: DataFrame, ranks: np.ndarray) -> DataFrame:
     """The pairs (a, b) of nodes that link, by their whole sets."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,138 +286,143 @@ def verified(pairs: DataFrame, texts: DataFrame, ranks: np.ndarray) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_in_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs of sets whose sizes allow the similarity."""
-    side = lambda k, v: sizes.select(F.col("node").alias(k), F.col("n_shingles").alias(v))
-    both = pairs.join(side("a", "m"), "a").join(side("b", "n"), "b")
-    return both.where(F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR).select("a", "b")
+def _texts(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(id, text) of the pairs' nodes. A bitmap of fixed size holds back most other texts before the shuffle."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    chosen = stage(nodes.join(wanted, "id").select("id", "row", "f1", "f2"), "chosen")
+    keyed = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text")
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f1, f2 = fingerprints(*flat_sets(batch.column("text"), ranks))
+            same = (f1 == batch.column("f1").to_numpy()) & (f2 == batch.column("f2").to_numpy())
+            yield batch.select(["id", "text"]).filter(pa.array(same))
+
+    some = keyed.where(in_bitmap(F.col("row"), bitmap(chosen, "row")))
+    # a hash of id and text may be another row's too, so the set of each text is checked
+    return some.join(chosen, "row").select("id", "f1", "f2", "text").mapInArrow(check, "id bigint, text string").dropDuplicates(["id"])
+
+
+def shared_blocks(nodes: DataFrame) -> DataFrame:
+    """(shingle, id, size): prefix shingles that several nodes have, one for each set of members, with the number of members."""
+    entries = nodes.select("id", F.explode("prefix").alias("shingle"))
+    several = stage(entries.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"), "several")
+    shared = stage(entries.where(in_bitmap(F.col("shingle"), bitmap(several, "shingle"))).join(several, "shingle"), "shared")
+    discard(several)
+    print1, print2 = F.xxhash64("id", F.lit(1)), F.xxhash64("id", F.lit(2))
+    told = shared.groupBy("shingle").agg(F.count("*").alias("size"), F.bit_xor(print1).alias("h1"), F.bit_xor(print2).alias("h2"))
+    one = told.groupBy("h1", "h2", "size").agg(F.min("shingle").alias("shingle")).select("shingle", "size")
+    blocks = stage(shared.join(one, "shingle"), "blocks")
+    discard(shared)
+    return blocks
 
-def overlap_bound(p: np.ndarray, q: np.ndarray, last_p: int, last_q: int, rest_p: int, rest_q: int) -> int:
-    """Most shingles that two sets can share, from their prefixes p and q, the prefixes' last shingles and what follows them.
-
-    Shared shingles up to the lower of the two last ones are in both prefixes; the others are in the rest of the set whose prefix ends there.
-    """
-    rest = min(rest_p, rest_q) if last_p == last_q else rest_p if last_p < last_q else rest_q
-    return int(np.isin(p, q).sum()) + rest
 
+def _tasks(tile: str, tiles: str, full: bool) -> Column:
+    """(q, m, side) of the tile tasks that a row takes part in.
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs whose points' minima reach the overlap that they need, and whose prefixes leave room for it."""
-    side = lambda k, v: points.select(F.col("node").alias(k), F.struct("point", "prefix", "last").alias(v))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    Not full: each tile with itself and with the block's first. Full: queries are the rows outside the block's largest component
+    (query tile qt of qts, null for the others), against all tiles.
+    """
+    span = lambda n: f"sequence(0L, {n} - 1)"
+    if not full:
+        own = f"array(struct({tile} as q, {tile} as m, {BOTH} as side))"
+        hub = f"if({tile} > 0, array(struct({tile} as q, 0L as m, {QUERY} as side)), transform(filter({span(tiles)}, x -> x > 0), x -> struct(x as q, 0L as m, {MEMBER} as side)))"
+        return F.expr(f"concat({own}, {hub})")
+    looks = f"transform({span(tiles)}, x -> struct(qt as q, x as m, if(x = {tile}, {BOTH}, {QUERY}) as side))"
+    met = f"transform(filter({span('qts')}, x -> x <> qt), x -> struct(x as q, {tile} as m, {MEMBER_TOO} as side))"
+    rest = f"transform({span('qts')}, x -> struct(x as q, {tile} as m, {MEMBER} as side))"
+    return F.expr(f"if(qt is null, {rest}, concat({looks}, {met}))")
+
+
+def open_pairs(blocks: DataFrame, found: DataFrame | None, members: DataFrame, most: int | None) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from the trees of the blocks that join several components."""
+    if found is None:
+        dealt = blocks.withColumn("component", F.col("id"))
+    else:
+        labelled = blocks.join(found.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "size", F.coalesce("component_id", "id").alias("component"))
+        open_ = labelled.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
+        dealt = stage(labelled.join(open_, "shingle"), "open")
+    tiles = F.ceil(F.col("size") / TILE).cast("bigint")
+    dealt = dealt.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("id"), tiles)})
+    if most is None:
+        largest = dealt.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"))
+        dealt = dealt.join(largest.select("shingle", "top.main", "top.n"), "shingle")
+        qts = F.ceil((F.col("size") - F.col("n")) / TILE).cast("bigint")
+        dealt = dealt.withColumn("qts", qts).withColumn("qt", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("qts"))))
+    dealt = dealt.select("shingle", "id", "component", F.explode(_tasks("tile", "tiles", most is None)).alias("task"))
+    keys = ["shingle", "q", "m"]
+    rows = dealt.select("shingle", "task.q", "task.m", "task.side", "id", "component").join(members, "id")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "id", "component", "point", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = np.stack([table.column(c).to_numpy() for c in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(table)]
+            ids, component, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+            points = unpacked(table.column("point").to_pylist())
+            lists = table.column("shingles").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            left, right = [], []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                a, b = task_pairs(key[0, i], ids[i:j], component[i:j], side[i:j], points[i:j], [flat[ends[k] : ends[k + 1]] for k in range(i, j)], most)
+                left.append(a)
+                right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the last task's rows so far, of three tiles at most
         for batch in batches:
             if not len(batch):
                 continue
-            points, prefixes, lasts = [], [], []
-            for c in "xy":
-                column = batch.column(c)
-                points.append(np.stack([np.frombuffer(p, "<u4") for p in column.field("point").to_pylist()]).astype(np.int64))
-                flat, ends = column.field("prefix").flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.field("prefix").value_lengths().to_numpy())])
-                prefixes.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
-                lasts.append(column.field("last").to_numpy().view(np.uint64).tolist())
-            m, n = points[0].sum(1), points[1].sum(1)
-            need = needed(m, n)
-            good = np.minimum(*points).sum(1) >= need
-            for k in np.flatnonzero(good).tolist():
-                p, q = prefixes[0][k], prefixes[1][k]
-                good[k] = overlap_bound(p, q, lasts[0][k], lasts[1][k], int(m[k]) - len(p), int(n[k]) - len(q)) >= need[k]
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def _texts(documents: DataFrame, sets: DataFrame, nodes: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(node, text) of one document of each node. A bitmap of fixed size holds back most other texts before the shuffle."""
-    chosen = stage(sets.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    chosen, lost = chosen.where("doc_id is not null"), chosen.where("doc_id is null").select("node")
-    bits = bitmap(chosen.select("doc_id"), "doc_id")
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(s) for s in shingle_sets(batch.column("text"), ranks)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], names=["node", "text"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(s) for s in shingle_sets(batch.column("text"), ranks)], np.int64)
-            yield batch.select(["node", "text"]).filter(pa.array(found == batch.column("node").to_numpy()))
-
-    some = documents.where(in_bitmap(F.col("doc_id"), bits))
-    # an id may repeat with another text, so the node of each text is checked
-    found = some.join(chosen, "doc_id").select("node", "text").mapInArrow(check, "node bigint, text string")
-    nameless = documents.where("doc_id is null").mapInArrow(label, "node bigint, text string").join(lost, "node", "left_semi")
-    return found.unionByName(nameless).dropDuplicates(["node"])
-
-
-def _blocks(everyone: DataFrame) -> DataFrame:
-    """(shingle, node, size) of one shingle of each set of members: copies share a hundred shingles, and need one."""
-    print1, print2 = F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2))
-    told = everyone.groupBy("shingle").agg(F.count("*").alias("size"), F.bit_xor(print1).alias("h1"), F.bit_xor(print2).alias("h2"))
-    one = told.groupBy("h1", "h2", "size").agg(F.min("shingle").alias("shingle")).select("shingle", "size")
-    return stage(everyone.join(one, "shingle"), "blocks")
-
-
-def _open_pairs(blocks: DataFrame, found: DataFrame, points: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of different components in a block: a tree's survivors, or all of a block of one leaf.
+            last = [batch.column(c)[len(batch) - 1].as_py() for c in keys]
+            same = np.all([batch.column(c).to_numpy() == v for c, v in zip(keys, last, strict=True)], axis=0)
+            if held and [held[0].column(c)[0].as_py() for c in keys] == last:
+                held.append(batch)
+                continue
+            start = int(np.argmax(same))
+            if held or start:
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, start)]))
+            held = [batch.slice(start)]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
-    With most, only of blocks larger than a leaf, and of each node's pairs the most best: links among them join components, which
-    spares the full round their pairs.
-    """
-    wide = F.col("size") > LEAF
-    member = (blocks.where(wide) if most is not None else blocks).join(found, "node", "left")
-    member = member.select("shingle", "node", "size", F.coalesce("component_id", "node").alias("component"))
-    open_ = member.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
-    dealt = stage(member.join(open_, "shingle"), "open")
-    large = dealt.where(wide).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("bigint")).join(points, "node")
-    large = large.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
-    paired = large.select("shingle", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "component", "point")
-    pairs = paired.groupBy("shingle", "lo", "hi").applyInArrow(_block_task(most), "a bigint, b bigint").distinct()
-    if most is not None:
-        return pairs
-    # pairs of one leaf meet their points' bounds in the next step
-    x, y = (dealt.where(~wide).select("shingle", F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
-    small = x.join(y, "shingle").where("a < b and ca <> cb").select("a", "b").distinct()
-    return pairs.unionByName(small).distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def grouped(documents: DataFrame) -> DataFrame:
-    """(doc_id, row, n_shingles, group) of every row; rows of one group are linked, and group 0 is the rows without words."""
+    """(doc_id, row, n_shingles, group) of every row; rows of one group are linked. Rows without words have a null group."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = rarity_ranks(documents)
-    sets = stage(document_sets(documents, ranks), "sets")
-
-    w = Window.partitionBy("shingle")
-    entries = prefix_entries(sets)
-    crossing = entries.where("hub is null").select("shingle", "node").withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
-    crossing = crossing.where("low <> high").select("shingle", "node", F.col("low").alias("hub"))
-    several = stage(crossing.unionByName(entries.where("hub is not null")), "entries")
-    several_nodes = several.select("node").distinct()
-    local_hubs = several.where("node <> hub").select("shingle", F.col("hub").alias("node"), "hub").distinct()
-    shared_nodes = several_nodes.unionByName(local_hubs.select("node")).distinct()
-    points = stage(sets.select("node", "point", "prefix", "last").join(shared_nodes, "node").dropDuplicates(["node"]), "points")
-
-    tried = stage(several.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "tried")
-
-    sizes = sets.where("n_shingles > 0").select("node", "n_shingles").distinct()
-
-    def check(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only texts of pairs that pass the bounds are fetched."""
-        left = stage(_bounded(_near_in_size(pairs, sizes), points), "bounded")
-        nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-        return verified(left, stage(_texts(documents, sets, nodes, ranks), "texts"), ranks)
-
-    links = stage(check(tried), "links")
-    blocks = _blocks(several.select("shingle", "node").unionByName(local_hubs.select("shingle", "node")).distinct())
-    for most in (NEAREST, None):
-        pairs = stage(_open_pairs(blocks, components(links), points, most).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = stage(links.unionByName(check(pairs)), "links")
-        tried = tried.unionByName(pairs)
-    final = components(links).withColumnRenamed("component_id", "group")
-    told = sets.select("doc_id", "row", "n_shingles", "node").join(final, "node", "left")
-    return stage(told.select("doc_id", "row", "n_shingles", F.coalesce("group", "node").alias("group")), "groups")
+    whole = stage(document_sets(documents, ranks).withColumn("rid", F.monotonically_increasing_id()), "sets")
+    told = whole.select("doc_id", "row", "n_shingles", "f1", "f2", "rid")
+    names = told.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("rid").alias("id"))
+    told = stage(told.join(names, ["f1", "f2"], "left"), "told")
+
+    # one row of each set; only rows that may be repeats are shuffled to be left out
+    again = stage(told.where("rid <> id").select("rid"), "again")
+    touched = in_bitmap(F.col("rid"), bitmap(again, "rid"))
+    some = whole.where("n_shingles > 0")
+    nodes = some.where(~touched).unionByName(some.where(touched).join(again, "rid", "left_anti"))
+    nodes = stage(nodes.withColumnRenamed("rid", "id").select("id", "row", "f1", "f2", "prefix", "point"), "nodes")
+    discard(whole, again)
+
+    blocks = shared_blocks(nodes)
+    lists = blocks.groupBy("id").agg(F.sort_array(F.collect_list("shingle")).alias("shingles"))
+    members = stage(lists.join(nodes.select("id", "point"), "id"), "members")
+    slim = stage(nodes.select("id", "row", "f1", "f2"), "slim")
+    discard(nodes)
+
+    links = tried = found = None
+    for most in NEAREST:
+        pairs = open_pairs(blocks, found, members, most)
+        pairs = stage(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        texts = stage(_texts(documents, slim, pairs, ranks), "texts")
+        new = stage(verified(pairs, texts, ranks), "links")
+        discard(texts)
+        links, tried = (new, pairs) if links is None else (links.unionByName(new), tried.unionByName(pairs))
+        found = components(links)
+    discard(members, blocks)
+    linked = told.join(found.withColumnRenamed("node", "id"), "id", "left")
+    return stage(linked.select("doc_id", "row", "n_shingles", F.coalesce("component_id", "id").alias("group")), "groups")
 
 
 def link_documents(documents: DataFrame) -> DataFrame:
