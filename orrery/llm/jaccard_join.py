@@ -13,9 +13,11 @@ points bounds their overlap from above.
    itself; pairs of nodes, then of points, are pruned by the sum of minima against the overlap that their sizes need. All
    candidates come from here. A pair is emitted only in the first of the blocks that its two sets share.
 3. Verification of the surviving pairs by their whole sets.
-4. Rounds. At first a point proposes only its NEAREST best pairs in a block and a tile meets only itself and its block's first tile, so
-   a group of copies yields about as many pairs as members. Links make components; the next rounds skip pairs within one
-   component, and the last takes all pairs that are left, with members outside a block's largest component as queries.
+4. Rounds. At first a point proposes its NEAREST best pairs in a block at most, and a tile meets only itself and its block's first tile,
+   so a group of copies yields about as many pairs as members. Best pairs are verified first, and their links make
+   components; of the others only pairs of different components are verified. Blocks that had more pairs or tiles come again, with
+   pairs within one component left out, and at last with all pairs that are left and members outside the block's largest
+   component as queries.
 
 Every link between different components is found, so components are exact. Equal sets (by 128 bits) are one node. Links within
 a component are not all enumerated, so the result names components and not numbers of links.
@@ -45,8 +47,8 @@ GROUPS = 256
 #: Points in a leaf of the tree, and sets in a tile of a block.
 LEAF = 16
 TILE = 1024
-#: Pairs that a set proposes in a block, by round; None is all.
-NEAREST = (1, 4, None)
+#: Pairs that a set proposes in a block at first.
+NEAREST = 4
 
 def raw_shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, shingle hashes, and row offsets into them."""
@@ -107,13 +109,22 @@ def flat_sets(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(points: np.ndarray) -> list[bytes]:
-    """Points as bytes: one for each coordinate, or four where a count is above 255."""
-    small = points.max(1) < 256 if len(points) else np.zeros(0, bool)
-    return [(p.astype(np.uint8) if s else p.astype("<u4")).tobytes() for p, s in zip(points, small, strict=True)]
+    """Points as bytes: half a byte for each coordinate, or one or four where a count needs them."""
+    most = points.max(1) if len(points) else np.zeros(0, int)
+    halves = (points[:, 0::2] << 4 | points[:, 1::2]).astype(np.uint8)
+    return [h.tobytes() if m < 16 else p.astype(np.uint8 if m < 256 else "<u4").tobytes() for p, h, m in zip(points, halves, most, strict=True)]
 
 
 def unpacked(column: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4") for p in column]).astype(np.int32) if column else np.zeros((0, GROUPS), np.int32)
+    out = np.zeros((len(column), GROUPS), np.int32)
+    size = np.array([len(p) for p in column], int)
+    small = np.flatnonzero(size == GROUPS // 2)
+    if len(small):
+        halves = np.frombuffer(b"".join([column[i] for i in small.tolist()]), np.uint8).reshape(len(small), -1)
+        out[small, 0::2], out[small, 1::2] = halves >> 4, halves & 15
+    for i in np.flatnonzero(size != GROUPS // 2).tolist():
+        out[i] = np.frombuffer(column[i], np.uint8 if size[i] == GROUPS else "<u4")
+    return out
 
 
 # --- the tree -------------------------------------------------------------------------------------
@@ -183,16 +194,16 @@ def tree_pairs(points: np.ndarray, query: np.ndarray, member: np.ndarray) -> Ite
 QUERY, MEMBER, BOTH, MEMBER_TOO = 0, 1, 2, 3
 
 
-def task_pairs(shingle: int, ids: np.ndarray, component: np.ndarray, side: np.ndarray, points: np.ndarray, lists: list[np.ndarray], most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b), a < b, of one tile task: the tree's, of different components, whose first shared block this is.
+def task_pairs(ids: np.ndarray, component: np.ndarray, side: np.ndarray, points: np.ndarray, earlier: list[np.ndarray], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(a, b, best, whole) of one tile task: pairs a < b of the tree, of different components, whose first shared block this is.
 
-    With most, only pairs among the most best of their query.
+    earlier are the smaller blocks that each row has: a pair with a common one is emitted there. With most, only pairs among the
+    most best of one of their ends; whole tells whether that left none out. best marks the best pair of either end.
     """
     query, member, also = (side == QUERY) | (side == BOTH), side != QUERY, side >= BOTH
     found = list(tree_pairs(points, query, member))
-    none = np.zeros(0, np.int64)
     if not found:
-        return none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), True
     i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
     forward = query[i] & member[j] & (~also[j] | (ids[i] < ids[j]))
     back = query[j] & member[i] & (~also[i] | (ids[j] < ids[i])) & ~forward
@@ -200,8 +211,6 @@ def task_pairs(shingle: int, ids: np.ndarray, component: np.ndarray, side: np.nd
     keep = (ids[i] != ids[j]) & (component[i] != component[j])
     i, j, score = i[keep], j[keep], score[keep]
     if len(i):
-        # smaller blocks that rows have: a pair with a common one is emitted there
-        earlier = [x[: np.searchsorted(x, shingle)] for x in lists]
         names, at = np.unique(np.concatenate(earlier), return_inverse=True)
         if len(names):
             held = np.zeros((len(ids), len(names)), np.float32)
@@ -209,11 +218,13 @@ def task_pairs(shingle: int, ids: np.ndarray, component: np.ndarray, side: np.nd
             common = held @ held.T > 0
             keep = ~common[i, j]
             i, j, score = i[keep], j[keep], score[keep]
+    whole = True
     if most is not None and len(i):
-        # a pair is among the best of either of its ends
         keep = _best(ids[i], score, ids[j], most) | _best(ids[j], score, ids[i], most)
-        i, j = i[keep], j[keep]
-    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        whole = bool(keep.all())
+        i, j, score = i[keep], j[keep], score[keep]
+    best = _best(ids[i], score, ids[j], 1) | _best(ids[j], score, ids[i], 1) if len(i) else np.zeros(0, bool)
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), best, whole
 
 
 def _best(node: np.ndarray, score: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
@@ -334,40 +345,55 @@ def _tasks(tile: str, tiles: str, full: bool) -> Column:
     return F.expr(f"if(qt is null, {rest}, concat({looks}, {met}))")
 
 
-def open_pairs(blocks: DataFrame, found: DataFrame | None, members: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from the trees of the blocks that join several components."""
-    if found is None:
-        dealt = blocks.withColumn("component", F.col("id"))
-    else:
-        labelled = blocks.join(found.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "size", F.coalesce("component_id", "id").alias("component"))
-        open_ = labelled.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
-        dealt = stage(labelled.join(open_, "shingle"), "open")
+def open_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """(shingle, id, size, component) of the blocks that join several components."""
+    labelled = blocks.join(found.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "size", F.coalesce("component_id", "id").alias("component"))
+    several = labelled.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("shingle")
+    return labelled.join(several, "shingle")
+
+
+def block_pairs(blocks: DataFrame, members: DataFrame, most: int | None) -> DataFrame:
+    """(a, b, best, rest) from the trees of the blocks (shingle, id, size, component).
+
+    Rows are candidate pairs of different components; a row without a and b names in rest a block that has more of them.
+    """
     tiles = F.ceil(F.col("size") / TILE).cast("bigint")
-    dealt = dealt.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("id"), tiles)})
+    dealt = blocks.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("id"), tiles)})
     if most is None:
         largest = dealt.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"))
         dealt = dealt.join(largest.select("shingle", "top.main", "top.n"), "shingle")
         qts = F.ceil((F.col("size") - F.col("n")) / TILE).cast("bigint")
         dealt = dealt.withColumn("qts", qts).withColumn("qt", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("qts"))))
-    dealt = dealt.select("shingle", "id", "component", F.explode(_tasks("tile", "tiles", most is None)).alias("task"))
+    split = (F.col("tiles") > 1) & F.lit(most is not None)
+    dealt = dealt.select("shingle", "id", "component", split.alias("split"), F.explode(_tasks("tile", "tiles", most is None)).alias("task"))
     keys = ["shingle", "q", "m"]
-    rows = dealt.select("shingle", "task.q", "task.m", "task.side", "id", "component").join(members, "id")
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "id", "component", "point", "shingles")
+    rows = dealt.select("shingle", "task.q", "task.m", "task.side", "split", "id", "component").join(members, "id")
+    rows = rows.withColumn("earlier", F.filter("shingles", lambda x: x < F.col("shingle")))
+    rows = rows.select(*keys, "side", "split", "id", "component", "point", "earlier").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([table.column(c).to_numpy() for c in keys])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(table)]
-            ids, component, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+            ids, component, side, split = (table.column(c).to_numpy() for c in ("id", "component", "side", "split"))
             points = unpacked(table.column("point").to_pylist())
-            lists = table.column("shingles").combine_chunks()
+            lists = table.column("earlier").combine_chunks()
             flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            left, right = [], []
+            found, rest = [], []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                a, b = task_pairs(key[0, i], ids[i:j], component[i:j], side[i:j], points[i:j], [flat[ends[k] : ends[k + 1]] for k in range(i, j)], most)
-                left.append(a)
-                right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                *part, whole = task_pairs(ids[i:j], component[i:j], side[i:j], points[i:j], [flat[ends[k] : ends[k + 1]] for k in range(i, j)], most)
+                found.append(part)
+                if split[i] or not whole:
+                    rest.append(int(key[0, i]))
+            a, b, best = (np.concatenate(x) for x in zip(*found, strict=True))
+            none = [None] * len(rest)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(a, pa.int64()), pa.array(none, pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), pa.array(none, pa.int64())]),
+                    pa.concat_arrays([pa.array(best, pa.bool_()), pa.array(none, pa.bool_())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(rest, pa.int64())]),
+                ],
+                names=["a", "b", "best", "rest"],
+            )
 
         held: list[pa.RecordBatch] = []  # the last task's rows so far, of three tiles at most
         for batch in batches:
@@ -385,7 +411,14 @@ def open_pairs(blocks: DataFrame, found: DataFrame | None, members: DataFrame, m
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint, best boolean, rest bigint")
+
+
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are of different components."""
+    side = lambda n: found.select(F.col("node").alias(n), F.col("component_id").alias(f"c{n}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def grouped(documents: DataFrame) -> DataFrame:
@@ -411,15 +444,28 @@ def grouped(documents: DataFrame) -> DataFrame:
     slim = stage(nodes.select("id", "row", "f1", "f2"), "slim")
     discard(nodes)
 
-    links = tried = found = None
-    for most in NEAREST:
-        pairs = open_pairs(blocks, found, members, most)
-        pairs = stage(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    def check(pairs: DataFrame) -> DataFrame:
         texts = stage(_texts(documents, slim, pairs, ranks), "texts")
         new = stage(verified(pairs, texts, ranks), "links")
         discard(texts)
-        links, tried = (new, pairs) if links is None else (links.unionByName(new), tried.unionByName(pairs))
-        found = components(links)
+        return new
+
+    first = stage(block_pairs(blocks.withColumn("component", F.col("id")), members, NEAREST), "pairs")
+    found_pairs = first.where("a is not null")
+    links = check(found_pairs.where("best").select("a", "b").distinct())
+    more = stage(across(found_pairs.where("not best").select("a", "b").distinct(), components(links)), "pairs")
+    links = links.unionByName(check(more))
+    tried = found_pairs.select("a", "b")
+    for most in (NEAREST, None):
+        rest = first.where("rest is not null").select(F.col("rest").alias("shingle")).distinct()
+        left = stage(open_blocks(blocks.join(rest, "shingle"), components(links)), "open")
+        if left.isEmpty():
+            break
+        again = block_pairs(left, members, most).where("a is not null").select("a", "b").distinct()
+        pairs = stage(again.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(check(pairs))
+        tried = tried.unionByName(pairs)
+    found = components(links)
     discard(members, blocks)
     linked = told.join(found.withColumnRenamed("node", "id"), "id", "left")
     return stage(linked.select("doc_id", "row", "n_shingles", F.coalesce("component_id", "id").alias("group")), "groups")
