@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
+from ..staging import stage
 
 MAG_ERROR = 1.0857362  # magnitudes per unit of relative flux error
 EPOCH_OFFSET = 55197.0  # days
@@ -99,11 +100,11 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """n draws of each group, a row number by hash for each; draw is its number. Rows are numbered by key, a group in one task: for pools of bounded size."""
+    """n draws of each group, a row number by hash for each; draw is its number. Rows are numbered in hash order, in two levels."""
     total = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
-    row = F.pmod(F.xxhash64(F.lit(seed), *by, "id"), F.greatest("_n", F.lit(1))).cast("int")
-    draws = total.crossJoin(df.sparkSession.range(n)).select(*by, F.col("id").alias("draw"), row.alias("_i"))
+    numbered = hash_ranks(df, hash_order(seed, key), by, "_i", [key])
+    row = F.pmod(F.xxhash64(F.lit(seed), *by, "draw"), F.greatest("_n", F.lit(1)))
+    draws = total.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).select(*by, "draw", row.alias("_i"))
     return draws.join(numbered, [*by, "_i"]).drop("_i")
 
 
@@ -117,14 +118,41 @@ def thin_random(obs: DataFrame, fraction: float, seed: int, floor: int = 6) -> D
 
 
 def permute_columns(df: DataFrame, key: str, columns: Sequence[str], seed: int, within: Sequence[str] = ()) -> DataFrame:
-    """Each column permuted by itself, within groups: values meet by rank of differing hash orders."""
-    by = lambda salt: F.row_number().over(Window.partitionBy(*within).orderBy(hash_order(f"{seed}-{salt}", key), key))
-    out = df.select(*within, key, by("rows").alias("_i"))
+    """Each column permuted by itself, within groups: values meet by rank of differing hash orders, ranked in two levels."""
+    ranked = lambda part, salt: hash_ranks(part, hash_order(f"{seed}-{salt}", key), within, "_i", [key])
+    out = ranked(df.select(*within, key), "rows")
     for c in columns:
-        out = out.join(df.select(*within, F.col(c), by(c).alias("_i")), [*within, "_i"])
+        out = out.join(ranked(df.select(*dict.fromkeys([*within, key, c])), c).select(*within, "_i", c), [*within, "_i"])
     return out.drop("_i")
 
 
+def places(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the order of the whole table: a range sort, then the lengths of its tasks as offsets."""
+    sort = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    ranged = stage(ranged.withColumns({"_task": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "places")
+    lengths = ranged.groupBy("_task").agg(F.count("*").alias("_n"))  # a row for each task of the sort
+    before = lengths.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_task").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_task", "_in", "_before", "_n")
+
+
+def hash_ranks(df: DataFrame, order: Column, by: Sequence[str], name: str, ties: Sequence[str], buckets: int = 256) -> DataFrame:
+    """Adds each row's rank, from 0, by a hexadecimal hash within groups, in two levels.
+
+    Rows are ranked within the first two digits of the hash; the counts of these buckets, of which a group has 256, give offsets. So
+    a group of any size is many tasks. buckets may be 1, 16 or 256.
+    """
+    digits = {1: 0, 16: 1, 256: 2}[buckets]
+    keyed = df.withColumns({"_h": order}).withColumn("_b", F.substring("_h", 1, digits))
+    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *ties)) - 1
+    counts = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    offsets = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
+    ranked = keyed.withColumn("_in", inner).alias("x")
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*by, "_b"]]
+    joined = ranked.join(offsets.alias("y"), same)
+    return joined.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("_before") + F.col("_in")).cast("bigint").alias(name))
+
+
 def align(*frames: DataFrame, key: str = "oid") -> DataFrame:
     """Inner join of all frames on the key."""
     return reduce(lambda a, b: a.join(b, key), frames)
@@ -146,6 +174,15 @@ def gap_histogram(obs: DataFrame, bins: int = 60, low: float = -5.0, high: float
     return gaps.groupBy(F.width_bucket(F.log10("gap"), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def count_histogram(obs: DataFrame, by: Sequence[str], bins: int = 50) -> DataFrame:
+    """(bin, n): groups by their number of rows, in even bins between the least and the most, the last bin closed."""
+    counts = obs.groupBy(*by).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy()
+    ends = counts.groupBy("_n").agg(F.count("*").alias("_k")).withColumns({"_lo": F.min("_n").over(whole), "_hi": F.max("_n").over(whole)})
+    place = F.floor((F.col("_n") - F.col("_lo")) * bins / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)))
+    return ends.groupBy(F.least(place, F.lit(bins - 1)).cast("bigint").alias("bin")).agg(F.sum("_k").alias("n"))
+
+
 def thin_blocked(obs: DataFrame, fraction: float, seed: int, floor: int = 6) -> DataFrame:
     """Each (oid, band) loses its surplus in up to three contiguous runs of the observations then left; at least floor stay.
 

@@ -120,21 +120,22 @@ def lead_lag(points: np.ndarray) -> np.ndarray:
     return np.hstack([points[(i + 1) // 2], points[i // 2]])
 
 
-def wide_signature(path: DataFrame, key: str, order: Sequence[str], channels: Sequence[str], depth: int, doubled: bool = False) -> DataFrame:
-    """(key, n_points, sig array<double>): all levels of each key's path, or of its lead-lag path, in one array.
+def wide_signature(path: DataFrame, keys: str | Sequence[str], order: Sequence[str], channels: Sequence[str], depth: int, doubled: bool = False) -> DataFrame:
+    """(keys, n_points, sig array<double>): all levels of each key's path, or of its lead-lag path, in one array.
 
     For signatures of hundreds of words, where a column per word would swamp the plan. A key's rows meet in one Python call;
     partial paths combine by :func:`chen` where they are too long for that.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
 
     def run(group: pa.Table) -> pa.Table:
         t = group.sort_by([(c, "ascending") for c in order])
         points = np.column_stack([t.column(c).to_numpy() for c in channels])
         levels = path_levels(lead_lag(points) if doubled else points, depth)
-        return pa.table({key: t.column(key)[:1], "n_points": pa.array([len(points)], pa.int64()), "sig": pa.array([np.concatenate(levels)], pa.list_(pa.float64()))})
+        return pa.table({**{k: t.column(k)[:1] for k in keys}, "n_points": pa.array([len(points)], pa.int64()), "sig": pa.array([np.concatenate(levels)], pa.list_(pa.float64()))})
 
-    kind = dict(path.dtypes)[key]
-    return path.select(key, *order, *channels).groupBy(key).applyInArrow(run, f"{key} {kind}, n_points bigint, sig array<double>")
+    kinds = ", ".join(f"{k} {dict(path.dtypes)[k]}" for k in keys)
+    return path.select(*keys, *order, *channels).groupBy(*keys).applyInArrow(run, f"{kinds}, n_points bigint, sig array<double>")
 
 
 def relative_difference(a: Column, b: Column) -> Column:

@@ -8,21 +8,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import hash_order
+from ..staging import stage
+from .relational import hash_order, hash_ranks
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int) -> DataFrame:
     """Adds fold: within each class rows are dealt in hash order, so fold sizes of a class differ by one at most."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key), key)) - 1
-    return df.withColumn("fold", (place % folds).cast("bigint"))
+    ranked = hash_ranks(df, hash_order(seed, key), [label], "_place", [key])
+    return ranked.withColumn("fold", (F.col("_place") % folds).cast("bigint")).drop("_place")
 
 
 def repeated_folds(df: DataFrame, label: str, key: str, folds: int, repeats: int, seed: int) -> DataFrame:
     """A row for each repeat, each with folds of its own."""
     many = df.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string")))
-    place = F.row_number().over(Window.partitionBy("repeat", label).orderBy(order, key)) - 1
-    return many.withColumn("fold", (place % folds).cast("bigint"))
+    ranked = hash_ranks(many, order, ["repeat", label], "_place", [key])
+    return ranked.withColumn("fold", (F.col("_place") % folds).cast("bigint")).drop("_place")
 
 
 def class_scores(predictions: DataFrame, by: Sequence[str], label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -96,12 +97,76 @@ def welch_t(df: DataFrame, value: str, side: str) -> DataFrame:
 
 
 def ks_statistic(df: DataFrame, value: str, side: str) -> DataFrame:
-    """One row: the largest gap between the two sides' distribution functions. Counts by distinct value come first; their running sums are one task's."""
-    counts = df.groupBy(value).agg(F.count_if(F.col(side)).alias("x"), F.count_if(~F.col(side)).alias("y"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.abs(F.sum("x").over(w) / F.sum("x").over(whole) - F.sum("y").over(w) / F.sum("y").over(whole))
-    return counts.select(gap.alias("g")).agg(F.max("g").alias("ks"))
+    """One row (ks, n1, n0): the largest gap between the two sides' distribution functions, and the sides' sizes.
+
+    Counts by distinct value are sorted by range; running sums within a task meet the totals of the tasks before it.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(side)).alias("x"), F.count_if(~F.col(side)).alias("y"))
+    ranged = stage(counts.repartitionByRange(value).withColumn("task", F.spark_partition_id()), "ks")
+    whole = Window.orderBy("task")  # a row for each task of the sort
+    tasks = ranged.groupBy("task").agg(F.sum("x").alias("tx"), F.sum("y").alias("ty"))
+    tasks = tasks.select("task", *[(F.sum(t).over(whole) - F.col(t)).alias(f"b{t}") for t in ("tx", "ty")], *[F.sum(t).over(Window.partitionBy()).alias(f"n{t}") for t in ("tx", "ty")])
+    w = Window.partitionBy("task").orderBy(value)
+    both = ranged.withColumns({"cx": F.sum("x").over(w), "cy": F.sum("y").over(w)}).join(F.broadcast(tasks), "task")
+    gap = F.abs((F.col("btx") + F.col("cx")) / F.col("ntx") - (F.col("bty") + F.col("cy")) / F.col("nty"))
+    return both.agg(F.max(gap).alias("ks"), F.max("ntx").alias("n1"), F.max("nty").alias("n0"))
+
+
+# --- tail probabilities, as columns -------------------------------------------------------------------
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function, by the continued fraction (Lentz) on the side where it converges fast."""
+    tiny = 1e-300
+    guard = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    flip = x > (a + 1.0) / (a + b + 2.0)
+    p, q, z = F.when(flip, b).otherwise(a), F.when(flip, a).otherwise(b), F.when(flip, 1.0 - x).otherwise(x)
+    start = F.struct(p.alias("p"), q.alias("q"), z.alias("z"), F.lit(1.0).alias("c"), (1.0 / guard(1.0 - (p + q) * z / (p + 1.0))).alias("d"))
+    state = lambda s, c, d, h: F.struct(s["p"].alias("p"), s["q"].alias("q"), s["z"].alias("z"), c.alias("c"), d.alias("d"), h.alias("h"))
+    first = F.struct(*[start[n].alias(n) for n in "pqzcd"], start["d"].alias("h"))
+
+    def half(s, coefficient):
+        c, d = guard(1.0 + coefficient / s["c"]), 1.0 / guard(1.0 + coefficient * s["d"])
+        return state(s, c, d, s["h"] * c * d)
+
+    def step(s, m):
+        even = half(s, m * (s["q"] - m) * s["z"] / ((s["p"] + 2.0 * m - 1.0) * (s["p"] + 2.0 * m)))
+        # bound in a one-element array, or each term would hold the one before it several times
+        return F.element_at(F.transform(F.array(even), lambda e: half(e, -(e["p"] + m) * (e["p"] + e["q"] + m) * e["z"] / ((e["p"] + 2.0 * m) * (e["p"] + 2.0 * m + 1.0)))), 1)
+
+    fraction = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda k: k.cast("double")), first, step, lambda s: s["h"])
+    front = F.exp(p * F.ln(z) + q * F.ln(1.0 - z) - log_beta(p, q)) / p
+    part = F.when(z <= 0.0, 0.0).otherwise(front * fraction)
+    return F.when(flip, 1.0 - part).otherwise(part)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for positive x: Stirling's series after a shift by 10."""
+    shift = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.ln(x + k)), F.lit(0.0), lambda s, v: s + v)
+    y = x + 10.0
+    series = 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * F.pow(y, F.lit(5.0))) - 1.0 / (1680.0 * F.pow(y, F.lit(7.0)))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2.0 * math.pi) + series - shift
+
+
+def log_beta(a: Column, b: Column) -> Column:
+    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with df degrees of freedom."""
+    return incomplete_beta(df / 2.0, F.lit(0.5), df / (df + t * t))
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided p of a standard normal: that of t with very many degrees of freedom."""
+    return t_tail(z, F.lit(1e9))
+
+
+def ks_tail(ks: Column, n1: Column, n0: Column, terms: int = 100) -> Column:
+    """Two-sided p of the two-sample statistic by Kolmogorov's limit law."""
+    x = ks * F.sqrt(n1 * n0 / (n1 + n0))
+    series = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x)), F.lit(0.0), lambda s, v: s + v)
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
 def bootstrap_means(diffs: DataFrame, resamples: int, seed: int, key: str = "fold") -> DataFrame:
@@ -147,6 +212,11 @@ def identity_verdicts(margins: DataFrame) -> DataFrame:
     return a.select("identity_holds", "sensitive", F.round(F.when(F.col("l") != 0, F.col("q") / F.when(F.col("l") != 0, F.col("l"))), 3).alias("fraction_recovered"), "spanning_zero")
 
 
+def first_depth(scores: DataFrame, by: Sequence[str], above: float = 0.75) -> DataFrame:
+    """(by, first_depth): the least depth whose score exceeds a bar, null if none does."""
+    return scores.groupBy(*by).agg(F.min(F.when(F.col("score") > above, F.col("depth"))).alias("first_depth"))
+
+
 def best_variant(results: DataFrame) -> DataFrame:
     """(mode, variant, score): the best of each mode; ties by name. results: mode, variant, score."""
     return results.groupBy("mode").agg(F.min(F.struct((-F.col("score")).alias("s"), "variant")).alias("b")).select("mode", F.col("b.variant").alias("variant"), (-F.col("b.s")).alias("score"))

@@ -1,18 +1,21 @@
 """Orbit streams: windows, thresholds, density-based consensus clusters, null models, excess and catalogue matching.
 
-Neighbour searches are equi-joins. Every criterion bounds the difference of two elements from below: |e1 - e2| and |q1 - q2| (or its
-ratio) never exceed the distance, so orbits within eps of each other lie in the same or in neighbouring cells of a grid on
-(q, e) of side eps, and each orbit is sent to its own cell and its neighbours.
+Neighbour searches are equi-joins. Every criterion bounds the differences of three elements: eccentricity, perihelion distance (as they are
+or as ratios) and inclination. So orbits within eps of each other lie in the same or in neighbouring cells of a grid, and each
+orbit is sent to its own cell and to half of the neighbours, so that cells meet once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.orbits import CRITERIA, ELEMENTS, is_valid, orbit, southworth_hawkins, unwhiten, whiten
+from ..functions.orbits import CRITERIA, ELEMENTS, is_valid, orbit, southworth_hawkins, unwhiten, valsecchi, whiten
 from ..functions.scalars import circular_difference, in_arc, separation, wrap
 from ..staging import stage
 from .relational import hash_order, permute_columns
@@ -27,38 +30,98 @@ def hop_windows(orbits: DataFrame, width: float, step: float) -> DataFrame:
     return rows.where(in_arc(F.col("sol_lon"), F.col("window_start"), F.pmod(F.col("window_start") + width, F.lit(360.0))))
 
 
-def neighbour_pairs(orbits: DataFrame, eps: float, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, d) of ordered pairs a <> b within eps (inclusive), by grid cells of (q, e)."""
-    # relative q in d_d and d_h: |q1 - q2| <= eps (q1 + q2) <= 4 eps as q is below 2 there; relative e in d_d likewise
-    side_q = eps if criterion == "d_sh" else 4 * eps
-    side_e = 4 * eps if criterion == "d_d" else eps
-    cell = lambda c, side: F.floor(F.col(c) / side)
-    home = orbits.withColumns({"cq": cell("q", side_q), "ce": cell("e", side_e)})
-    around = home
-    for c in ("cq", "ce"):
-        around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    keys = [*by, "cq", "ce"]
-    a, b = home.select(*keys, "traj_id", *ELEMENTS).alias("x"), around.select(*keys, "traj_id", *ELEMENTS).alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    d = CRITERIA[criterion](orbit("x"), orbit("y"))
-    out = a.join(b, same).where(F.col("x.traj_id") != F.col("y.traj_id"))
-    return out.select(*[F.col(f"x.{k}") for k in by], F.col("x.traj_id").alias("a"), F.col("y.traj_id").alias("b"), d.alias("d")).where(F.col("d") <= eps)
+def _cells(eps: float, criterion: str) -> dict[str, Column]:
+    """Coordinates scaled so that orbits within eps differ by 1 at most; null where no other orbit can be within eps."""
+    # |x1 - x2| <= eps (x1 + x2) as a difference of logarithms
+    log_side = math.log((1 + eps) / (1 - eps)) if eps < 1 else math.inf
+    ratio = lambda c: F.when(F.col(c) > 0, F.ln(c) / log_side).when(F.col(c) == 0, F.lit(-1e15))
+    plane = 180.0 * eps if criterion == "d_d" else math.degrees(2 * math.asin(min(1.0, eps / 2)))
+    return {
+        "cq": F.col("q") / eps if criterion == "d_sh" else ratio("q"),
+        "ce": ratio("e") if criterion == "d_d" else F.col("e") / eps,
+        "ci": F.col("i") / plane,
+    }
+
 
+#: Of the 26 neighbours of a cell the half that follows it, and the cell itself. A rule, not a choice: any half would do.
+_HALF = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
 
-def all_pairs(orbits: DataFrame, criterion: str, by: Sequence[str]) -> DataFrame:
-    """(by, a, b, d) for a < b within groups. Quadratic in a group: for thresholds over samples of bounded size only."""
-    a, b = orbits.alias("x"), orbits.alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in by]
+
+def close_pairs(orbits: DataFrame, eps: float, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, d) of pairs a < b within eps (inclusive), each once, by grid cells of (q, e, i).
+
+    Orbits with a null or non-finite element have no neighbours. Of d_d and d_h so have those with a negative q or e.
+    A large cell is a skewed key of the join, which adaptive execution splits.
+    """
+    if eps <= 0:
+        raise ValueError("eps must be positive")
+    axes = list(_cells(eps, criterion))
+    # a little wider than eps, so that rounding can't part two orbits by more than a cell
+    scaled = {k: F.floor(v * (1 - 1e-9)).cast("bigint") for k, v in _cells(eps, criterion).items()}
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in ELEMENTS]
+    i, n = F.radians("i"), F.radians("node")
+    pole = {"px": F.sin(i) * F.sin(n), "py": -F.sin(i) * F.cos(n), "pz": F.cos(i)}
+    home = orbits.where(reduce(and_, finite)).select(*by, "traj_id", *ELEMENTS, *[v.alias(k) for k, v in (pole | scaled).items()])
+    steps = F.array(*[F.struct(*[F.lit(k).cast("bigint").alias(c) for c, k in zip(axes, s, strict=True)]) for s in _HALF])
+    around = home.withColumn("_step", F.explode(steps)).withColumns({c: F.col(c) + F.col(f"_step.{c}") for c in axes})
+    around = around.withColumn("_own", reduce(and_, [F.col(f"_step.{c}") == 0 for c in axes])).drop("_step")
+    x, y = home.alias("x"), around.alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*by, *axes]]
+    once = ~F.col("y._own") | (F.col("x.traj_id") < F.col("y.traj_id"))
+    # the terms that need no trigonometry, before the whole distance
+    near = F.lit(0.0)
+    for term in {"d_sh": ("q", "e"), "d_h": ("e",), "d_d": ()}[criterion]:
+        near = near + (F.col(f"x.{term}") - F.col(f"y.{term}")) * (F.col(f"x.{term}") - F.col(f"y.{term}"))
+    if criterion != "d_d":
+        near = near + 2.0 - 2.0 * reduce(add, [F.col(f"x.{c}") * F.col(f"y.{c}") for c in pole])
+    limit = eps * eps * (1 + 1e-9) + 1e-12
     d = CRITERIA[criterion](orbit("x"), orbit("y"))
-    return a.join(b, [*same, F.col("x.traj_id") < F.col("y.traj_id")]).select(*[F.col(f"x.{k}") for k in by], F.col("x.traj_id").alias("a"), F.col("y.traj_id").alias("b"), d.alias("d"))
+    out = x.join(y, same).where(once & (F.col("x.traj_id") != F.col("y.traj_id")) & (near <= limit))
+    ids = (F.col("x.traj_id"), F.col("y.traj_id"))
+    out = out.select(*[F.col(f"x.{k}") for k in by], F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), d.alias("d"))
+    return out.where(F.col("d") <= eps)
+
+
+def neighbour_pairs(orbits: DataFrame, eps: float, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, d) of ordered pairs a <> b within eps (inclusive): both orders of close_pairs."""
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return close_pairs(orbits, eps, criterion, by).select(*by, both.alias("_p"), "d").select(*by, "_p.a", "_p.b", "d")
 
 
-def threshold(null: DataFrame, rate: float, criterion: str, by: Sequence[str], least: int = 50) -> DataFrame:
-    """(by, eps): the distance that a share rate of a null sample's pairs fall under; null for groups of fewer than least."""
-    big = null.groupBy(*by).count().where(F.col("count") >= least).select(*by)
-    pairs = all_pairs(null.join(big, list(by), "left_semi"), criterion, by)
-    eps = pairs.groupBy(*by).agg(F.percentile("d", F.lit(rate)).alias("eps"))
-    return null.select(*by).distinct().join(eps, list(by), "left")
+def close_invariants(radiants: DataFrame, eps: float) -> DataFrame:
+    """(a, b, d) of pairs a < b within eps by the geocentric criterion with unit weights, by grid cells of (u, cos_theta).
+
+    radiants: traj_id, u, cos_theta, phi, lam. Neither |u1 - u2| nor the difference of the cosines exceeds the distance.
+    """
+    axes = {"cu": "u", "cc": "cos_theta"}
+    columns = ["traj_id", "u", "cos_theta", "phi", "lam"]
+    home = radiants.dropna(subset=columns).select(*columns, *[F.floor(F.col(c) / eps * (1 - 1e-9)).cast("bigint").alias(k) for k, c in axes.items()])
+    steps = F.array(*[F.struct(F.lit(x).cast("bigint").alias("cu"), F.lit(y).cast("bigint").alias("cc")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    around = home.withColumn("_step", F.explode(steps)).withColumns({k: F.col(k) + F.col(f"_step.{k}") for k in axes})
+    around = around.withColumn("_own", (F.col("_step.cu") == 0) & (F.col("_step.cc") == 0)).drop("_step")
+    x, y = home.alias("x"), around.alias("y")
+    side = lambda n: {c: F.col(f"{n}.{c}") for c in columns[1:]}
+    ids = (F.col("x.traj_id"), F.col("y.traj_id"))
+    near = (F.abs(F.col("x.u") - F.col("y.u")) <= eps) & (F.abs(F.col("x.cos_theta") - F.col("y.cos_theta")) <= eps)
+    out = x.join(y, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in axes]).where((~F.col("y._own") | (ids[0] < ids[1])) & (ids[0] != ids[1]) & near)
+    return out.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), valsecchi(side("x"), side("y")).alias("d")).where(F.col("d") <= eps)
+
+
+def threshold(null: DataFrame, rate: float, criterion: str, by: Sequence[str], least: int = 50, most: int = 1000, seed: int = 0) -> DataFrame:
+    """(by, eps): the distance that a share rate of a null sample's pairs fall under; null for groups of fewer than least.
+
+    A sample of a group is its first most rows in hash order: the pairs grow with the square of a bound, not of the data.
+    """
+    keys = list(by)
+    ranked = null.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed, "traj_id"), "traj_id")))
+    sample = ranked.where(F.col("_r") <= most).select(*keys, "traj_id", *ELEMENTS)
+    big = sample.groupBy(*keys).count().where(F.col("count") >= least).select(*keys)
+    chosen = sample.join(big, keys, "left_semi")
+    x, y = chosen.alias("x"), chosen.alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    pairs = x.join(y, [*same, F.col("x.traj_id") < F.col("y.traj_id")]).select(*[F.col(f"x.{k}") for k in keys], CRITERIA[criterion](orbit("x"), orbit("y")).alias("d"))
+    eps = pairs.groupBy(*keys).agg(F.percentile("d", F.lit(rate)).alias("eps"))
+    return null.select(*keys).distinct().join(eps, keys, "left")
 
 
 def connected(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), rounds: int = 50) -> DataFrame:
@@ -240,6 +303,52 @@ def null_ratio(window: DataFrame, null: DataFrame, centres: DataFrame, radius: f
     return both.select("centre_id", F.col("n").alias("n_obs"), n_exp.alias("n_exp"), (n_exp / F.greatest("n", F.lit(1))).alias("ratio"))
 
 
+def window_centres(window: DataFrame, by: Sequence[str], regions: int = 25, least: int = 30, seed: int = 0, sporadic: str = "...") -> DataFrame:
+    """(by, centre_id, elements): in each window the median orbit of its commonest code, as 'stream', and regions sporadic orbits.
+
+    A code of fewer than least orbits is no stream; of equally common ones the least is taken. window: by, traj_id, iau_code, elements.
+    """
+    keys = list(by)
+    codes = window.where(F.col("iau_code") != sporadic).groupBy(*keys, "iau_code").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    top = codes.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), "iau_code")).alias("b")).select(*keys, F.col("b.iau_code").alias("iau_code"))
+    streams = centroids(window.join(top, [*keys, "iau_code"]), keys).withColumn("centre_id", F.lit("stream"))
+    ranked = window.where(F.col("iau_code") == sporadic).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed, "traj_id"), "traj_id")))
+    alone = ranked.where(F.col("_r") <= regions).withColumn("centre_id", F.col("traj_id").cast("string"))
+    columns = [*keys, "centre_id", *ELEMENTS]
+    return streams.select(*columns).unionByName(alone.select(*columns))
+
+
+def ball_ratios(window: DataFrame, null: DataFrame, centres: DataFrame, radius: float, by: Sequence[str]) -> DataFrame:
+    """(by, centre_id, n_obs, n_exp, ratio) of each centre within its window: what the null expects in the ball over what is there."""
+    keys = list(by)
+    c = centres.select(*keys, "centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
+
+    def inside(frame: DataFrame, n: str, total: str) -> DataFrame:
+        hit = F.count_if(southworth_hawkins(orbit(), orbit(suffix="_c")) <= radius)
+        return frame.select(*keys, *ELEMENTS).join(c, keys).groupBy(*keys, "centre_id").agg(hit.alias(n), F.count("*").alias(total))
+
+    both = inside(window, "n_obs", "_all").join(inside(null, "_m", "_t"), [*keys, "centre_id"], "left")
+    n_exp = F.coalesce(F.col("_m") / F.col("_t"), F.lit(0.0)) * F.col("_all")
+    return both.select(*keys, "centre_id", "n_obs", n_exp.alias("n_exp"), (n_exp / F.greatest("n_obs", F.lit(1))).alias("ratio"))
+
+
+def compare_nulls(window: DataFrame, nulls: dict[str, DataFrame], centres: DataFrame, radius: float, by: Sequence[str], least: int = 5) -> DataFrame:
+    """(by, null, sporadic_ratio, n_regions, stream_ratio): per window the median ratio over sporadic regions of least orbits or more, and the stream's."""
+    keys = list(by)
+    parts = [ball_ratios(window, null, centres, radius, by).withColumn("null", F.lit(name)) for name, null in nulls.items()]
+    stream = F.col("centre_id") == "stream"
+    region = ~stream & (F.col("n_obs") >= least)
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "null").agg(
+        F.percentile(F.when(region, F.col("ratio")), F.lit(0.5)).alias("sporadic_ratio"), F.count_if(region).alias("n_regions"), F.max(F.when(stream, F.col("ratio"))).alias("stream_ratio")
+    )
+
+
+def null_separation(compared: DataFrame) -> DataFrame:
+    """(null, sporadic_ratio, stream_ratio, separation): medians over windows, and the first over the second."""
+    mid = compared.groupBy("null").agg(F.percentile("sporadic_ratio", F.lit(0.5)).alias("sporadic_ratio"), F.percentile("stream_ratio", F.lit(0.5)).alias("stream_ratio"))
+    return mid.withColumn("separation", F.when(F.col("stream_ratio") > 0, F.col("sporadic_ratio") / F.when(F.col("stream_ratio") > 0, F.col("stream_ratio"))))
+
+
 # --- recurrence and catalogue -------------------------------------------------------------------------
 
 

@@ -275,12 +275,10 @@ def distinct_groups(spark, d):
     return g.withColumn("number", (F.dense_rank().over(Window.orderBy(*keys)) - 1).cast("bigint"))
 
 
-@query("SELECT * FROM (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 200")
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def multi_key_sort(spark, d):
-    from pyspark.sql import Window
-
-    top = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")).cast("bigint"))
+    """All orders with their place in a sort by several keys of both directions."""
+    return rel.places(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", F.desc("o_totalprice"), "o_orderkey")
 
 
 def _ranks(salt: str, value: str) -> str:

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digits, log_modulus
+from ..operators import convolution as cv
+from ..operators import experiments as ex
 from ..operators import features as ft
 from ..operators import paths as pt
 from ..operators import signature as sg
@@ -161,9 +163,9 @@ def sig_leadlag_d2(spark, d):
 
 @query()
 def sig_leadlag_d4(spark, d):
-    """340 words of the four-channel lead-lag path of each object's view band, in one array."""
-    obs = pt.normalise(observations(spark, d).where("band = 'view'"), ["oid"])
-    return sg.wide_signature(obs, "oid", ORDER, ["ct", "cm"], 4, doubled=True)
+    """340 words of the four-channel lead-lag path of each object and band, in one array."""
+    keys = ["oid", "band"]
+    return sg.wide_signature(pt.normalise(observations(spark, d), keys), keys, ORDER, ["ct", "cm"], 4, doubled=True)
 
 
 @query(f"WITH {OBS}, {norm_sql('raw_time')}, {steps_sql(['ct', 'cm'])} SELECT oid, band, round(sum(d_0 * d_0), 4) AS qtt, round(sum(d_1 * d_1), 4) AS qmm, round(sum(d_0 * d_1), 4) + 0e0 AS qtm FROM st GROUP BY oid, band")
@@ -181,7 +183,13 @@ def levy_area(spark, d):
     return s.select(*keys, digits(F.col("s_12") - F.col("s_21"), PLACES).alias("area"))
 
 
-@query(f"WITH {OBS} SELECT oid, band, 0e0 AS residual FROM obs GROUP BY oid, band")
+_PLAIN = _band_sql("unit_time", 2, places=12)
+_DOUBLED = signature_sql(LEADLAG, 4, 2, order="t, tie, half", places=12)
+_GAPS = ", ".join(f"abs(l.s_{x} - ({y}))" for i, j in itertools.product((1, 2), repeat=2) for x, y in ((f"{i}{j}", f"p.s_{i}{j}"), (f"{i + 2}{j + 2}", f"p.s_{i}{j}"), (f"{i}{j + 2}", f"p.s_{i}{j} + q_{i}{j} / 2"), (f"{i + 2}{j}", f"p.s_{i}{j} - q_{i}{j} / 2")))
+
+
+@query(f"""WITH l AS ({_DOUBLED}), p AS ({_PLAIN}), q AS (WITH {OBS}, {norm_sql('unit_time')}, {steps_sql(['ct', 'cm'])} SELECT oid, band, sum(d_0 * d_0) AS q_11, sum(d_0 * d_1) AS q_12, sum(d_1 * d_0) AS q_21, sum(d_1 * d_1) AS q_22 FROM st GROUP BY oid, band)
+    SELECT l.oid, l.band, round(greatest({_GAPS}), 6) + 0e0 AS residual FROM l JOIN p ON l.oid = p.oid AND l.band = p.band JOIN q ON l.oid = q.oid AND l.band = q.band""")
 def leadlag_identity_residual(spark, d):
     """Level 2 of the lead-lag path against its closed form in the path's own terms and quadratic variation: 0 to 6 places."""
     keys = ["oid", "band"]
@@ -197,22 +205,173 @@ def leadlag_identity_residual(spark, d):
     return wide.select(*keys, digits(gap, 6).alias("residual"))
 
 
-@query("""WITH g AS (SELECT unnest([16, 64, 256]) AS steps) SELECT CAST(steps AS BIGINT) AS steps, CAST(0 AS DOUBLE) AS level1, CAST(0 AS DOUBLE) AS plain_level2, true AS integral_differs FROM g""")
+def _bump(c: float, a: float) -> str:
+    return f"CASE WHEN abs((x - {c!r}::DOUBLE) / 15e-2) < 1 THEN {a!r}::DOUBLE * 5e-1 * (1 + cos(pi() * ((x - {c!r}::DOUBLE) / 15e-2))) ELSE 0e0 END"
+
+
+#: Both classes of the reflected pair on three grids, with the running trapezoid integral.
+REFLECTED = f"""g AS (SELECT unnest([16, 64, 256]) AS steps), j AS (SELECT steps, unnest(range(0, steps + 1)) AS tie FROM g), k AS (SELECT steps, tie, unnest([0, 1]) AS side FROM j),
+    x AS (SELECT steps, side, tie, tie / CAST(steps AS DOUBLE) AS t, CASE WHEN side = 0 THEN tie ELSE steps - tie END / CAST(steps AS DOUBLE) AS x FROM k), m AS (SELECT *, {_bump(0.3, 1.0)} + {_bump(0.7, 0.5)} AS mag FROM x),
+    ar AS (SELECT *, coalesce(5e-1 * (mag + lag(mag) OVER w) * (t - lag(t) OVER w), 0e0) AS area FROM m WINDOW w AS (PARTITION BY steps, side ORDER BY tie)),
+    nm AS (SELECT *, sum(area) OVER (PARTITION BY steps, side ORDER BY tie ROWS UNBOUNDED PRECEDING) AS integral FROM ar)"""
+
+
+def _reflected(channels: list[str]) -> str:
+    return signature_sql(f"WITH {REFLECTED}, {steps_sql(channels, 'steps, side', 'tie')}", len(channels), 2, "steps, side", "tie", places=15)
+
+
+_RANGE = lambda *names: "greatest(" + ", ".join(f"max(s_{n}) - min(s_{n})" for n in names) + ")"
+
+
+@query(f"""WITH p AS ({_reflected(['t', 'mag'])}), i AS ({_reflected(['t', 'mag', 'integral'])}), a AS (SELECT steps, round({_RANGE('1', '2')}, 9) AS level1, round({_RANGE('11', '12', '21', '22')}, 9) AS plain_level2 FROM p GROUP BY steps),
+    b AS (SELECT steps, {_RANGE('13', '31', '23', '32')} > 1e-3 AS integral_differs FROM i GROUP BY steps) SELECT CAST(a.steps AS BIGINT) AS steps, level1, plain_level2, integral_differs FROM a JOIN b ON a.steps = b.steps""")
 def reflection_blindness(spark, d):
-    """On exactly reflected pairs level 1 agrees, level 2 of (t, m) differs in its antisymmetric part only by sign of nothing: S12 = S21 = 0 gap; the integral channel tells the classes apart."""
+    """Two classes, one the other reversed on an even grid: levels 1 and 2 of (t, m) don't tell them apart, an integral channel does."""
     out = None
+    gap = lambda *names: F.greatest(*[F.max(f"s_{n}") - F.min(f"s_{n}") for n in names])
     for steps in (16, 64, 256):
         p = pt.cumulative_integral(sy.reflection_pair(spark, steps), ["oid"])
         s = sg.signature(sg.steps(p, ["oid"], ORDER, ["t", "mag"]), ["oid"], ORDER, 2, 2)
         i = sg.signature(sg.steps(p, ["oid"], ORDER, ["t", "mag", "integral"]), ["oid"], ORDER, 3, 2)
-        gap = lambda c: F.abs(F.max(c) - F.min(c))
-        a = s.agg(F.round(F.greatest(gap("s_1"), gap("s_2")), 9).alias("level1"), F.round(F.greatest(gap("s_11"), gap("s_22")), 9).alias("plain_level2"))
-        b = i.agg((F.greatest(gap("s_13"), gap("s_31"), gap("s_23"), gap("s_32")) > 1e-3).alias("integral_differs"))
-        one = a.crossJoin(b).withColumn("steps", F.lit(steps).cast("bigint"))
+        a = s.agg(F.round(gap("1", "2"), 9).alias("level1"), F.round(gap("11", "12", "21", "22"), 9).alias("plain_level2"))
+        one = a.join(i.agg((gap("13", "31", "23", "32") > 1e-3).alias("integral_differs"))).withColumn("steps", F.lit(steps).cast("bigint"))
         out = one if out is None else out.unionByName(one)
     return out.select("steps", "level1", "plain_level2", "integral_differs")
 
 
+def _gap_sql(names: list[str], level: int) -> str:
+    names = [n for n in names if len(n) == level]
+    scale = f"greatest({', '.join(f'max(abs(s_{n}))' for n in names)}, 0e0)"
+    return f"CASE WHEN {scale} < 1e-14 THEN 0e0 ELSE greatest({', '.join(f'max(s_{n}) - min(s_{n})' for n in names)}, 0e0) / {scale} END"
+
+
+def _converged_sql(name: str) -> str:
+    """Rows (augmentation, steps, level1, level2) of one augmentation of the reflected pair."""
+    channels, base, doubled = ex.AUGMENTATIONS[name]
+    columns = ["running" if c == "running" else c for c in channels]
+    source = f"WITH {REFLECTED}, rn AS (SELECT *, max(mag) OVER (PARTITION BY steps, side ORDER BY tie ROWS UNBOUNDED PRECEDING) AS running FROM nm), {steps_sql(columns, 'steps, side', 'tie', base, 'rn')}"
+    n, order = len(columns), "tie"
+    if doubled:
+        move = lambda lead: ", ".join([*[f"{f'd_{i}' if lead else '0e0'} AS d_{i}" for i in range(n)], *[f"{'0e0' if lead else f'd_{i}'} AS d_{n + i}" for i in range(n)]])
+        source = source.replace("st AS (", "s0 AS (") + f", st AS (SELECT steps, side, tie, 0 AS half, {move(True)} FROM s0 UNION ALL SELECT steps, side, tie, 1, {move(False)} FROM s0)"
+        n, order = 2 * n, "tie, half"
+    words = ["".join(map(str, w)) for k in (1, 2) for w in itertools.product(range(1, n + 1), repeat=k)]
+    return f"SELECT '{name}' AS augmentation, steps, {_gap_sql(words, 1)} AS level1, {_gap_sql(words, 2)} AS level2 FROM ({signature_sql(source, n, 2, 'steps, side', order, places=15)}) GROUP BY steps"
+
+
+CONVERGING = [n for n, (c, _, _) in ex.AUGMENTATIONS.items() if not {"ewma", "delayed"} & set(c)]
+
+
+@query(f"""WITH c AS ({' UNION ALL '.join(_converged_sql(n) for n in CONVERGING)}), e AS (SELECT augmentation, arg_max(level1, steps) AS l1, arg_max(level2, steps) AS l2, arg_min(level2, steps) AS f FROM c GROUP BY 1)
+    SELECT c.augmentation, CAST(steps AS BIGINT) AS steps, round(level1, 6) + 0e0 AS level1, round(level2, 6) + 0e0 AS level2, CASE WHEN l2 < 1e-10 THEN 'blind' WHEN l2 < 1e-3 AND l2 < f / 10 THEN 'residue' WHEN l1 > 1e-6 THEN 'visible_at_level_1' ELSE 'order_sensitive' END AS verdict
+    FROM c JOIN e ON c.augmentation = e.augmentation""")
+def convergence_table(spark, d):
+    """Class gaps by grid of every augmentation that SQL can follow, and what the finest says."""
+    t = ex.convergence_table(spark, (16, 64, 256), CONVERGING)
+    return t.select("augmentation", "steps", digits(F.col("level1"), 6).alias("level1"), digits(F.col("level2"), 6).alias("level2"), "verdict")
+
+
+@query()
+def convergence_of_memory(spark, d):
+    """The same for the delayed and the smoothed channel."""
+    return ex.convergence_table(spark, (16, 64, 256), [n for n in ex.AUGMENTATIONS if n not in CONVERGING])
+
+
+@query()
+def family_scores(spark, d):
+    return ex.family_scores(spark, 200, 3, 7)
+
+
+@query(f"""WITH a AS ({_band_sql('raw_time', 2, places=12)}), b AS ({_band_sql('unit_time', 2, places=12)}) SELECT a.oid, a.band, {', '.join(
+    f"round(CASE WHEN greatest({s}) < 1e-14 THEN 0e0 ELSE greatest({g}) / greatest({s}) END, 5) + 0e0 AS level{k}" for k, words in ((1, ('1', '2')), (2, ('11', '12', '21', '22')))
+    for s, g in ((', '.join(f'abs({t}.s_{w})' for t in 'ab' for w in words), ', '.join(f'abs(a.s_{w} - b.s_{w})' for w in words)),))} FROM a JOIN b ON a.oid = b.oid AND a.band = b.band""")
+def relative_difference(spark, d):
+    """Of each level, how far the signatures of raw and of scaled time are apart."""
+    keys, words = ["oid", "band"], {1: ["s_1", "s_2"], 2: ["s_11", "s_12", "s_21", "s_22"]}
+    arrays = lambda how, tag: sg.signature(sg.steps(pt.normalise(observations(spark, d), keys, how), keys, ORDER, ["ct", "cm"]), keys, ORDER, 2, 2).select(*keys, *[F.array(*w).alias(f"{tag}{k}") for k, w in words.items()])
+    both = arrays("raw_time", "a").join(arrays("unit_time", "b"), keys)
+    return both.select(*keys, *[digits(sg.relative_difference(F.col(f"a{k}"), F.col(f"b{k}"))).alias(f"level{k}") for k in words])
+
+
+@query()
+def convolution_features(spark, d):
+    """Shares of positive responses of random-free convolution kernels over the interpolated panel of each object."""
+    panel = pt.interpolated_panel(observations(spark, d), BANDS)
+    return cv.kernel_features(panel, BANDS, 64, features=2_000)
+
+
+# --- feature vectors and augmentations ------------------------------------------------------------------
+
+_LM = "(CASE WHEN {0} >= 0 THEN 1e0 ELSE -1e0 END * ln(1e0 + abs({0})))"
+
+
+def _vector_sql(signature: str, channels: int, depth: int, bands=BANDS) -> str:
+    """One row of log-moduli for each object, from the words of its bands or of its one path."""
+    words = ["s_" + "".join(map(str, w)) for k in range(1, depth + 1) for w in itertools.product(range(1, channels + 1), repeat=k)]
+    cells = [f"coalesce(max({w}) FILTER (band = '{b}'), 0e0)" for b in bands for w in words] if bands else [f"max({w})" for w in words]
+    return f"WITH sig AS ({signature}) SELECT oid, {', '.join(f'round({_LM.format(c)}, 5) + 0e0 AS f_{i}' for i, c in enumerate(cells))} FROM sig GROUP BY oid"
+
+
+def _vector(df):
+    return df.select("oid", *[digits(F.col(c)).alias(c) for c in df.columns if c != "oid"])
+
+
+@query(_vector_sql(_band_sql("raw_time", 2, places=12), 2, 2))
+def vector_per_band(spark, d):
+    """The feature vector of an object: its bands' signatures side by side, by log-modulus."""
+    return _vector(ex.feature_vector(observations(spark, d), BANDS, 2, "per_band", "raw_time"))
+
+
+@query(_vector_sql(signature_sql(LEADLAG, 4, 2, order="t, tie, half", places=12), 4, 2))
+def vector_lead_lag(spark, d):
+    return _vector(ex.feature_vector(observations(spark, d), BANDS, 2, "per_band", "unit_time", doubled=True))
+
+
+@query(_vector_sql(signature_sql(f"{JOINT}, {steps_sql(['ct', 'c_view', 'c_click'], 'oid', 't')}", 3, 2, "oid", "t", places=12), 3, 2, ()))
+def vector_joint(spark, d):
+    return _vector(ex.feature_vector(observations(spark, d), BANDS, 2, "joint"))
+
+
+_POINTS = f"WITH {OBS}, {norm_sql('unit_time')}"
+_CHANNEL = {
+    "integral": "ar AS (SELECT *, coalesce(5e-1 * (cm + lag(cm) OVER w) * (ct - lag(ct) OVER w), 0e0) AS area FROM nm WINDOW w AS (PARTITION BY oid, band ORDER BY ct, tie)), ch AS (SELECT *, sum(area) OVER (PARTITION BY oid, band ORDER BY ct, tie ROWS UNBOUNDED PRECEDING) AS cx FROM ar)",
+    "running": "ch AS (SELECT *, max(cm) OVER (PARTITION BY oid, band ORDER BY ct, tie ROWS UNBOUNDED PRECEDING) AS cx FROM nm)",
+    "delayed": """q AS (SELECT *, ct - 5e-2 AS x FROM nm), q0 AS (SELECT q.*, o.ct AS t0, o.cm AS m0 FROM q ASOF LEFT JOIN nm o ON q.oid = o.oid AND q.band = o.band AND q.x >= o.ct),
+        q1 AS (SELECT q0.*, o.ct AS t1, o.cm AS m1 FROM q0 ASOF LEFT JOIN nm o ON q0.oid = o.oid AND q0.band = o.band AND q0.x <= o.ct),
+        ch AS (SELECT *, CASE WHEN t0 IS NULL THEN m1 WHEN t1 IS NULL OR t1 = t0 THEN m0 ELSE m0 + (m1 - m0) * (x - t0) / (t1 - t0) END AS cx FROM q1)""",
+    "ewma": """n AS (SELECT *, row_number() OVER (PARTITION BY oid, band ORDER BY ct, tie) AS i FROM nm), r AS (SELECT oid, band, tie, ct, i, cm AS y FROM n WHERE i = 1 UNION ALL
+        SELECT n.oid, n.band, n.tie, n.ct, n.i, exp((r.ct - n.ct) / 5e-2) * r.y + (1 - exp((r.ct - n.ct) / 5e-2)) * n.cm FROM r JOIN n ON n.oid = r.oid AND n.band = r.band AND n.i = r.i + 1), ch AS (SELECT nm.*, r.y AS cx FROM nm JOIN r ON nm.oid = r.oid AND nm.band = r.band AND nm.tie = r.tie)""",
+}
+
+
+def _augmented_sql(name: str) -> str:
+    channels, base, doubled = ex.AUGMENTATIONS[name]
+    extra = next((c for c in channels if c in _CHANNEL), None)
+    columns = [{"t": "ct", "mag": "cm"}.get(c, "cx") for c in channels]
+    n = len(columns)
+    with_ = _POINTS.replace("WITH ", "WITH RECURSIVE ", 1) if extra == "ewma" else _POINTS
+    source = f"{with_}, {_CHANNEL[extra]}, {steps_sql(columns, source='ch', order='ct, tie', base=base)}" if extra else f"{with_}, {steps_sql(columns, order='ct, tie', base=base)}"
+    if not doubled:
+        return signature_sql(source, n, 2, order="ct, tie", places=FINE)
+    move = lambda lead: ", ".join([*[f"{f'd_{i}' if lead else '0e0'} AS d_{i}" for i in range(n)], *[f"{'0e0' if lead else f'd_{i}'} AS d_{n + i}" for i in range(n)]])
+    source = source.replace("st AS (", "s0 AS (") + f", st AS (SELECT oid, band, ct, tie, 0 AS half, {move(True)} FROM s0 UNION ALL SELECT oid, band, ct, tie, 1, {move(False)} FROM s0)"
+    return signature_sql(source, 2 * n, 2, order="ct, tie, half", places=FINE)
+
+
+def _augmentation(name: str):
+    def run(spark, d):
+        points = pt.normalise(observations(spark, d), KEYS, "unit_time").select(*KEYS, F.col("ct").alias("t"), F.col("cm").alias("mag"), "tie")
+        return _rounded(ex.augmented_signature(points, name, KEYS, 2), KEYS, places=FINE)
+
+    run.__doc__ = f"Depth-2 signature of the {name} path of each object and band."
+    return run
+
+
+KEYS = ["oid", "band"]
+for _name in ex.AUGMENTATIONS:
+    query(_augmented_sql(_name), "augment_" + _name.split("_")[0].lower() + "_" + "_".join(_name.replace(".", "").split("_")[1:]))(_augmentation(_name))
+
+
 # --- features -----------------------------------------------------------------------------------------
 
 _B = f"""WITH {OBS}, w AS (SELECT *, median(mag) OVER p AS med, avg(mag) OVER p AS mu, stddev_samp(mag) OVER p AS sd, CAST(count(*) OVER p AS DOUBLE) AS n, min(t) OVER p AS t0, t - lag(t) OVER o AS dt, mag - lag(mag) OVER o AS dm
@@ -269,10 +428,25 @@ def cross_band(spark, d):
     return f.select("oid", *[digits(F.col(c), 4).alias(c) for c in ("colour", "amp_ratio", "peak_offset")])
 
 
-@query()
+_EVERY = CORE | SHAPE | ORDERED
+_PLAIN_FEATURES = f"{_B}, f AS (SELECT oid, band, " + ", ".join(f"CASE WHEN count(*) < 2 THEN 0e0 ELSE coalesce({e}, 0e0) END AS {n}" for n, e in _EVERY.items()) + " FROM x GROUP BY oid, band)"
+_WIDE = f"{_PLAIN_FEATURES}, o AS (SELECT oid, " + ", ".join(f"coalesce(max({n}) FILTER (band = '{b}'), 0e0) AS {b}_{n}" for b in BANDS for n in _EVERY) + " FROM f GROUP BY oid)"
+_BLIND = [f"{b}_{n}" for b in BANDS for n in _EVERY if n in ex.ORDER_BLIND]
+
+
+@query(f"""{_WIDE} SELECT oid, {', '.join(f'round({b}_{n}, 4) + 0e0 AS {b}_{n}' for b in BANDS for n in _EVERY)}, round(view_median - click_median, 4) + 0e0 AS colour,
+    round(CASE WHEN click_amplitude > 0 THEN view_amplitude / click_amplitude ELSE 0e0 END, 4) + 0e0 AS amp_ratio, round(view_rise_frac - click_rise_frac, 4) + 0e0 AS peak_offset FROM o""")
 def object_feature_frame(spark, d):
     """All features of both bands and the cross-band terms, a row for each object; the invariant subset is a projection of it."""
-    return ft.object_features(observations(spark, d), BANDS)
+    f = ft.object_features(observations(spark, d), BANDS)
+    return f.select("oid", *[digits(F.col(c), 4).alias(c) for c in f.columns if c != "oid"])
+
+
+@query(f"{_WIDE} SELECT oid, {', '.join(f'round({c}, 4) + 0e0 AS {c}' for c in _BLIND)} FROM o")
+def order_blind_features(spark, d):
+    """Those features that the order of a light curve's points doesn't change."""
+    f = ex.order_blind(ft.object_features(observations(spark, d), BANDS), BANDS)
+    return f.select("oid", *[digits(F.col(c), 4).alias(c) for c in f.columns if c != "oid"])
 
 
 @query(f"""{_B} SELECT oid, band, {', '.join(f'CASE WHEN count(*) < 2 THEN 0e0 ELSE round(coalesce({({**CORE, **SHAPE, **ORDERED})[c]}, 0e0), 4) + 0e0 END AS {c}' for c in ('std', 'amplitude', 'skew', 'linear_trend', 'rise_frac'))} FROM x GROUP BY oid, band""")
@@ -285,7 +459,6 @@ def offset_invariant_features(spark, d):
 # --- ordered operators --------------------------------------------------------------------------------
 
 _W = "WINDOW o AS (PARTITION BY oid, band ORDER BY t, tie)"
-KEYS = ["oid", "band"]
 
 
 @query(f"WITH {OBS} SELECT oid, band, tie, round(t - lag(t) OVER o, 6) AS dt, round(mag - lag(mag) OVER o, 4) + 0e0 AS dm FROM obs {_W}")
@@ -351,13 +524,23 @@ def peak_swap_family(spark, d):
     return s.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("s_12", "s_21", "s_112", "s_121", "s_211")])
 
 
-@query()
+@query(f"""WITH p AS (SELECT oid, tie, cos(2 * pi() * tie / 2000 * CASE WHEN oid = 0 THEN 1 ELSE -1 END) AS t, sin(2 * pi() * tie / 2000 * CASE WHEN oid = 0 THEN 1 ELSE -1 END) AS mag FROM (SELECT unnest(range(0, 2001)) AS tie) CROSS JOIN (SELECT unnest([0, 1]) AS oid)),
+    nm AS (SELECT CAST(oid AS BIGINT) AS oid, tie, t, mag FROM p), x AS ({signature_sql(f"WITH {steps_sql(['t', 'mag'], 'oid', 'tie')}", 2, 2, 'oid', 'tie', places=12)}) SELECT oid, round((s_12 - s_21) / 2, 4) AS area FROM x""")
 def circle_area(spark, d):
     """Half of S12 - S21 over the unit circle, both ways round: pi and -pi."""
     s = sg.signature(sg.steps(sy.circle(spark), ["oid"], ["tie"], ["t", "mag"]), ["oid"], ["tie"], 2, 2)
     return s.select("oid", F.round((F.col("s_12") - F.col("s_21")) / 2, 4).alias("area"))
 
 
-@query()
+@query(f"WITH {OBS} SELECT oid, band, round(t, 6) AS t, mag, round(magerr, 4) AS magerr, tie, c_mktsegment AS label FROM obs JOIN customer ON c_custkey = oid")
 def labelled_observations(spark, d):
-    return labelled(spark, d)
+    return labelled(spark, d).select("oid", "band", F.round("t", 6).alias("t"), "mag", F.round("magerr", 4).alias("magerr"), "tie", "label")
+
+
+@query(f"""WITH {OBS}, c AS (SELECT oid, count(*) AS n FROM obs GROUP BY oid), e AS (SELECT n, min(n) OVER () AS lo, max(n) OVER () AS hi FROM c)
+    SELECT least(CAST(floor((n - lo) * 50 / CAST(greatest(hi - lo, 1) AS DOUBLE)) AS BIGINT), 49) AS bin, count(*) AS n FROM e GROUP BY 1""")
+def count_histogram(spark, d):
+    """Objects by their number of observations, in 50 bins."""
+    from ..operators.relational import count_histogram as histogram
+
+    return histogram(observations(spark, d), ["oid"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digits
+from ..operators import experiments as ex
 from ..operators import features as ft
 from ..operators import learning as ml
 from ..operators import stats as st
@@ -104,11 +105,11 @@ def ks_statistic(spark, d):
     return st.ks_statistic(c, "c_acctbal", "g").select(F.round("ks", 6).alias("ks"))
 
 
-@query(f"""WITH {PAIRED}, n AS (SELECT diff, row_number() OVER (ORDER BY repeat * 5 + fold) - 1 AS i FROM df), m AS (SELECT r, avg(n.diff) AS mean FROM (SELECT unnest(range(500)) AS r) CROSS JOIN (SELECT unnest(range(50)) AS k)
+@query(f"""WITH {PAIRED}, n AS (SELECT diff, row_number() OVER (ORDER BY repeat * 5 + fold) - 1 AS i FROM df), m AS (SELECT r, avg(n.diff) AS mean FROM (SELECT unnest(range(10000)) AS r) CROSS JOIN (SELECT unnest(range(50)) AS k)
     JOIN n ON n.i = CAST('0x' || substr(md5('21|' || r || '|' || k), 1, 8) AS BIGINT) % 50 GROUP BY r) SELECT round(quantile_cont(mean, 25e-3), 6) AS low, round(quantile_cont(mean, 975e-3), 6) AS high FROM m""")
 def bootstrap_ci(spark, d):
     x = _diffs(spark, d).withColumn("key", F.col("repeat") * 5 + F.col("fold"))
-    return st.bootstrap_interval(x, 500, 0.05, 21, "key").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return st.bootstrap_interval(x, 10_000, 0.05, 21, "key").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 #: Margins with intervals, as a comparison of blocks yields them; invented.
@@ -164,7 +165,7 @@ def random_projection(spark, d):
     return st.random_projection(f, [c for c in f.columns if c != "oid"], 6, 3)
 
 
-COLUMNS = [f"{b}_{f}" for b in BANDS for f in ("mean", "std", "skew", "rise_frac")]
+COLUMNS = [*[f"{b}_{f}" for b in BANDS for f in ft.FEATURES], "colour", "amp_ratio", "peak_offset"]
 
 
 @query()
@@ -174,4 +175,55 @@ def logreg_cv(spark, d):
 
 @query()
 def trees_cv(spark, d):
-    return st.class_scores(ml.cross_validate(_frame(spark, d), COLUMNS, 3, "trees"), ["fold"])
+    return st.class_scores(ml.cross_validate(_frame(spark, d), COLUMNS, 3, "boosting"), ["fold"])
+
+
+# --- p-values -----------------------------------------------------------------------------------------
+
+#: The density of t integrated from 0 to |t| by Simpson's rule.
+_T_TAIL = """k AS (SELECT unnest(range(0, 4001)) AS k), p AS (SELECT 1 - 2 * abs(any_value(t)) / 4000 / 3 * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+    * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * power(1 + power(t * k / 4e3, 2) / df, -(df + 1) / 2)) AS p FROM s CROSS JOIN k)"""
+
+
+@query(f"WITH {PAIRED}, s AS (SELECT avg(diff) * sqrt(count(*)) / stddev_samp(diff) AS t, CAST(count(*) - 1 AS DOUBLE) AS df FROM df), {_T_TAIL} SELECT round(p, 5) + 0e0 AS p FROM p")
+def paired_t_p(spark, d):
+    return st.paired_t(_diffs(spark, d)).select(digits(st.t_tail(F.col("t"), (F.col("n") - 1).cast("double"))).alias("p"))
+
+
+@query(f"""WITH c AS (SELECT c_acctbal AS v, c_nationkey < 10 AS g FROM customer), a AS (SELECT count(v) FILTER (g) AS n1, avg(v) FILTER (g) AS m1, var_samp(v) FILTER (g) AS v1, count(v) FILTER (NOT g) AS n0, avg(v) FILTER (NOT g) AS m0, var_samp(v) FILTER (NOT g) AS v0 FROM c),
+    s AS (SELECT (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)) AS df FROM a), {_T_TAIL} SELECT round(p, 5) + 0e0 AS p FROM p""")
+def welch_p(spark, d):
+    c = table(spark, d, "customer").select("c_acctbal", (F.col("c_nationkey") < 10).alias("g"))
+    return st.welch_t(c, "c_acctbal", "g").select(digits(st.t_tail(F.col("t"), F.col("df"))).alias("p"))
+
+
+@query("""WITH s AS (SELECT c_acctbal AS v, count(*) FILTER (c_nationkey < 10) AS x, count(*) FILTER (c_nationkey >= 10) AS y FROM customer GROUP BY 1), c AS (SELECT abs(sum(x) OVER (ORDER BY v) / CAST(sum(x) OVER () AS DOUBLE) - sum(y) OVER (ORDER BY v) / CAST(sum(y) OVER () AS DOUBLE)) AS g FROM s),
+    l AS (SELECT (SELECT max(g) FROM c) * sqrt(CAST(sum(x) AS DOUBLE) * sum(y) / (sum(x) + sum(y))) AS z FROM s)
+    SELECT round(CASE WHEN z < 2e-1 THEN 1e0 ELSE least(1e0, greatest(0e0, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END * exp(-2e0 * k * k * z * z)) FROM (SELECT unnest(range(1, 101)) AS k)))) END, 5) + 0e0 AS p FROM l""")
+def ks_p(spark, d):
+    c = table(spark, d, "customer").select("c_acctbal", (F.col("c_nationkey") < 10).alias("g"))
+    return st.ks_statistic(c, "c_acctbal", "g").select(digits(st.ks_tail(F.col("ks"), F.col("n1"), F.col("n0"))).alias("p"))
+
+
+# --- variants and ablations ---------------------------------------------------------------------------
+
+
+@query()
+def variant_grid(spark, d):
+    """Score of each signature variant (depth, time scaling, transform) on identical folds, and the difference to the best summary."""
+    return ex.variant_grid(labelled(spark, d), BANDS, depths=(1, 2), folds=3, seed=4)
+
+
+@query()
+def ablation_sweep(spark, d):
+    """Scores of representations on observations thinned at random and in blocks."""
+    return ex.ablation_sweep(labelled(spark, d), BANDS, fractions=(1.0, 0.5, 0.2), folds=3, seed=4)
+
+
+SWEEP = "SELECT l_returnflag AS block, l_linenumber AS depth, avg(l_quantity) / 50 AS score FROM lineitem GROUP BY 1, 2"
+
+
+@query(f"WITH s AS ({SWEEP}) SELECT block, min(depth) FILTER (score > 51e-2) AS first_depth FROM s GROUP BY block")
+def first_depth(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("block"), F.col("l_linenumber").alias("depth")).agg((F.avg("l_quantity") / 50.0).alias("score"))
+    return st.first_depth(s, ["block"], 0.51)

@@ -56,21 +56,28 @@ def dd_sql(a: str, b: str) -> str:
 
 
 DISTANCES = {"d_sh": dsh_sql, "d_h": dh_sql, "d_d": dd_sql}
-ARC = "sol_lon >= 100 AND sol_lon < 120"
+#: Each orbit once for each window of 20 degrees, every 10 degrees around the circle, that holds it.
+HOP = f"""{ORB_SQL}, s AS (SELECT CAST(unnest(range(0, 360, 10)) AS DOUBLE) AS window_start), w AS (SELECT window_start, orb.* FROM orb JOIN s ON (window_start + 20 <= 360 AND sol_lon >= window_start AND sol_lon < window_start + 20)
+    OR (window_start + 20 > 360 AND (sol_lon >= window_start OR sol_lon < window_start + 20 - 360)))"""
+
+
+def _circle(spark, d):
+    return st.hop_windows(orbits(spark, d), 20.0, 10.0)
 
 
 def _pairs_sql(criterion: str, eps: float) -> str:
     d = DISTANCES[criterion]("x", "y")
-    return f"WITH {ORB_SQL}, w AS (SELECT * FROM orb WHERE {ARC}) SELECT a, b, round(d, 5) + 0e0 AS d FROM (SELECT x.traj_id AS a, y.traj_id AS b, {d} AS d FROM w x JOIN w y ON x.traj_id < y.traj_id) WHERE d <= {eps!r}::DOUBLE"
+    return f"WITH {HOP} SELECT window_start, a, b, round(d, 5) + 0e0 AS d FROM (SELECT x.window_start, x.traj_id AS a, y.traj_id AS b, {d} AS d FROM w x JOIN w y ON x.window_start = y.window_start AND x.traj_id < y.traj_id) WHERE d <= {eps!r}::DOUBLE"
 
 
 def _pairs(spark, d, criterion, eps):
-    near = st.neighbour_pairs(orbits(spark, d).where(ARC), eps, criterion)
-    return near.where("a < b").select("a", "b", sc.digits(F.col("d")).alias("d"))
+    near = st.close_pairs(_circle(spark, d), eps, criterion, ["window_start"])
+    return near.select("window_start", "a", "b", sc.digits(F.col("d")).alias("d"))
 
 
 @query(_pairs_sql("d_sh", 0.08))
 def dsh_pairs(spark, d):
+    """Close pairs in every window of the circle."""
     return _pairs(spark, d, "d_sh", 0.08)
 
 
@@ -99,14 +106,11 @@ def geo_invariants(spark, d):
     return _geo(spark, d).select("traj_id", F.round("u", 5).alias("u"), sc.digits(F.col("cos_theta")).alias("cos_theta"), F.round("phi", 4).alias("phi"), F.round("lam", 4).alias("lam"))
 
 
-@query(f"""WITH {GEO}, a AS (SELECT * FROM geo WHERE traj_id < 200), p AS (SELECT x.traj_id AS a, y.traj_id AS b, radians(y.phi - x.phi) AS dp, radians(y.lam - x.lam) AS dl, y.u - x.u AS du, y.cos_theta - x.cos_theta AS dc FROM a x JOIN a y ON x.traj_id < y.traj_id)
-    SELECT a, b, round(sqrt(du * du + dc * dc + least(power(2e0 * sin(dp / 2e0), 2) + power(2e0 * sin(dl / 2e0), 2), power(2e0 * sin((dp + pi()) / 2e0), 2) + power(2e0 * sin((dl + pi()) / 2e0), 2))), 5) AS d FROM p""")
+@query(f"""WITH {GEO}, p AS (SELECT x.traj_id AS a, y.traj_id AS b, radians(y.phi - x.phi) AS dp, radians(y.lam - x.lam) AS dl, y.u - x.u AS du, y.cos_theta - x.cos_theta AS dc FROM geo x JOIN geo y ON x.traj_id < y.traj_id AND abs(x.u - y.u) <= 1e-2 AND abs(x.cos_theta - y.cos_theta) <= 1e-2)
+    SELECT a, b, round(d, 5) + 0e0 AS d FROM (SELECT a, b, sqrt(du * du + dc * dc + least(power(2e0 * sin(dp / 2e0), 2) + power(2e0 * sin(dl / 2e0), 2), power(2e0 * sin((dp + pi()) / 2e0), 2) + power(2e0 * sin((dl + pi()) / 2e0), 2))) AS d FROM p) WHERE d <= 1e-2""")
 def dn_pairs(spark, d):
-    """All pairs of a fixed set of 200 radiants by the geocentric criterion."""
-    g = _geo(spark, d).where("traj_id < 200")
-    side = lambda a: {c: F.col(f"{a}.{c}") for c in ("u", "cos_theta", "phi", "lam")}
-    p = g.alias("x").join(g.alias("y"), F.col("x.traj_id") < F.col("y.traj_id"))
-    return p.select(F.col("x.traj_id").alias("a"), F.col("y.traj_id").alias("b"), F.round(ob.valsecchi(side("x"), side("y")), 5).alias("d"))
+    """Close pairs of all radiants by the geocentric criterion."""
+    return st.close_invariants(_geo(spark, d), 0.01).select("a", "b", sc.digits(F.col("d")).alias("d"))
 
 
 @query(f"""WITH {ORB_SQL} SELECT traj_id, q <= 1.0167e0 AND q * (1 + e) / (1 - e) >= 983.3e-3 AS crosses, q <= 1.0167e0 AND q * (1 + e) / (1 - e) >= 983.3e-3 AND q > 0 AND i <= 180 AS valid, round(q * (1 + e) / (1 - e), 4) AS aphelion FROM orb""")
@@ -123,11 +127,16 @@ def whiten_round_trip(spark, d):
     return w.select("traj_id", *[F.round(back[c], p).alias(c) for c, p in (("q", 6), ("e", 6), ("i", 5), ("node", 5), ("peri", 5))])
 
 
-@query(f"""WITH {ORB_SQL}, w AS (SELECT *, CAST(floor(sol_lon / 20) AS BIGINT) AS win FROM orb WHERE sol_lon < 60), p AS (SELECT x.win, {dsh_sql('x', 'y')} AS d FROM w x JOIN w y ON x.win = y.win AND x.traj_id < y.traj_id)
-    SELECT win, round(quantile_cont(d, 5e-3), 5) AS eps FROM p GROUP BY win""")
+#: Orbits of a window's null sample at most.
+NULL_SAMPLE = 600
+
+
+@query(f"""WITH {HOP}, n AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY md5('7|' || traj_id), traj_id) AS r FROM w WHERE iau_code = '...'), t AS (SELECT * FROM n WHERE r <= {NULL_SAMPLE}),
+    p AS (SELECT x.window_start, {dsh_sql('x', 'y')} AS d FROM t x JOIN t y ON x.window_start = y.window_start AND x.traj_id < y.traj_id), q AS (SELECT window_start, quantile_cont(d, 5e-3) AS eps FROM p GROUP BY 1),
+    k AS (SELECT window_start, count(*) AS n FROM n GROUP BY 1) SELECT k.window_start, round(CASE WHEN n >= 50 THEN eps END, 5) AS eps FROM k LEFT JOIN q ON k.window_start = q.window_start""")
 def threshold_quantile(spark, d):
-    w = orbits(spark, d).where("sol_lon < 60").withColumn("win", F.floor(F.col("sol_lon") / 20))
-    return st.threshold(w, 0.005, "d_sh", ["win"]).select("win", F.round("eps", 5).alias("eps"))
+    null = _circle(spark, d).where("iau_code = '...'")
+    return st.threshold(null, 0.005, "d_sh", ["window_start"], most=NULL_SAMPLE, seed=7).select("window_start", F.round("eps", 5).alias("eps"))
 
 
 @query(f"""WITH {ORB_SQL}, s AS (SELECT CAST(unnest(range(0, 360, 10)) AS DOUBLE) AS s), h AS (SELECT s, traj_id FROM orb JOIN s ON (s + 20 <= 360 AND sol_lon >= s AND sol_lon < s + 20) OR (s + 20 > 360 AND (sol_lon >= s OR sol_lon < s + 20 - 360)))
@@ -137,11 +146,6 @@ def hop_windows(spark, d):
     return h.groupBy("window_start").agg(F.count("*").alias("n"), F.min("traj_id").alias("first_id"))
 
 
-def _circle(spark, d):
-    """Orbits once for each window of 20 degrees, every 10 degrees around the circle, that holds them."""
-    return st.hop_windows(orbits(spark, d), 20.0, 10.0)
-
-
 CENTRES = [5.0, 110.0, 200.0, 355.0]
 
 
@@ -163,7 +167,15 @@ def sideband_null(spark, d):
     return st.sideband_null(orbits(spark, d), _centres(spark), 200, 3).select("centre", "traj_id")
 
 
-@query()
+def _mixed_sql(source: str, seed: int, by: str) -> str:
+    """CTE mix: the elements of source, each in a hash order of its own within a window, where they make a valid orbit."""
+    rank = lambda salt, v: f"(SELECT {by}, {v}, row_number() OVER (PARTITION BY {by} ORDER BY md5('{seed}-{salt}|' || traj_id), traj_id) AS rk FROM {source})"
+    joins = " ".join(f"JOIN {rank(c, c)} {c}_ ON {c}_.{by} = r.{by} AND {c}_.rk = r.rk" for c in ob.ELEMENTS)
+    valid = "q <= 1.0167e0 AND CASE WHEN e < 1 THEN q * (1 + e) / greatest(1 - e, 1e-12) ELSE 1e300 END >= 983.3e-3 AND q > 0 AND e >= 0 AND e < 12e-1 AND i >= 0 AND i <= 180"
+    return f"mix AS (SELECT * FROM (SELECT r.{by}, r.traj_id, {', '.join(f'{c}_.{c} AS {c}' for c in ob.ELEMENTS)} FROM {rank('rows', 'traj_id')} r {joins}) WHERE {valid})"
+
+
+@query(f"WITH {HOP}, {_mixed_sql('w', 5, 'window_start')} SELECT * FROM mix")
 def permutation_null(spark, d):
     return st.permutation_null(_circle(spark, d), 5, ["window_start"]).select("window_start", "traj_id", *ob.ELEMENTS)
 
@@ -252,46 +264,113 @@ LEAST = 8
 
 
 def _dbscan_sql(criterion: str, tag: str) -> str:
-    return f"""p{tag} AS (SELECT x.traj_id AS a, y.traj_id AS b FROM w x JOIN w y ON x.traj_id <> y.traj_id AND {DISTANCES[criterion]('x', 'y')} <= {EPS[criterion]!r}::DOUBLE),
-    k{tag} AS (SELECT a AS id FROM p{tag} GROUP BY a HAVING count(*) + 1 >= {LEAST}), e{tag} AS (SELECT a, b FROM p{tag} WHERE a IN (SELECT id FROM k{tag}) AND b IN (SELECT id FROM k{tag})),
-    r{tag}(x, y) AS (SELECT id, id FROM k{tag} UNION SELECT r.x, e.b FROM r{tag} r JOIN e{tag} e ON r.y = e.a), c{tag} AS (SELECT x AS id, min(y) AS cluster FROM r{tag} GROUP BY x),
-    b{tag} AS (SELECT a AS id, min(cluster) AS cluster FROM p{tag} JOIN c{tag} ON b = c{tag}.id GROUP BY a)"""
-
-
-WIN = f"{ORB_SQL}, w AS (SELECT * FROM orb WHERE {ARC})"
+    return f"""p{tag} AS (SELECT x.window_start AS ws, x.traj_id AS a, y.traj_id AS b FROM w x JOIN w y ON x.window_start = y.window_start AND x.traj_id <> y.traj_id AND {DISTANCES[criterion]('x', 'y')} <= {EPS[criterion]!r}::DOUBLE),
+    k{tag} AS (SELECT ws, a AS id FROM p{tag} GROUP BY ws, a HAVING count(*) + 1 >= {LEAST}), e{tag} AS (SELECT ws, a, b FROM p{tag} WHERE (ws, a) IN (SELECT (ws, id) FROM k{tag}) AND (ws, b) IN (SELECT (ws, id) FROM k{tag})),
+    r{tag}(ws, x, y) AS (SELECT ws, id, id FROM k{tag} UNION SELECT r.ws, r.x, e.b FROM r{tag} r JOIN e{tag} e ON r.ws = e.ws AND r.y = e.a), c{tag} AS (SELECT ws, x AS id, min(y) AS cluster FROM r{tag} GROUP BY ws, x),
+    b{tag} AS (SELECT p.ws, p.a AS id, min(cluster) AS cluster FROM p{tag} p JOIN c{tag} c ON p.ws = c.ws AND p.b = c.id GROUP BY p.ws, p.a),
+    l{tag} AS (SELECT w.window_start, traj_id, c.id IS NOT NULL AS core, coalesce(c.cluster, b.cluster) AS cluster FROM w LEFT JOIN c{tag} c ON c.ws = w.window_start AND c.id = traj_id LEFT JOIN b{tag} b ON b.ws = w.window_start AND b.id = traj_id)"""
 
 
-@query(f"""WITH RECURSIVE {WIN}, {_dbscan_sql('d_sh', '1')} SELECT traj_id, c1.id IS NOT NULL AS core, coalesce(c1.cluster, b1.cluster) AS cluster FROM w LEFT JOIN c1 ON c1.id = traj_id LEFT JOIN b1 ON b1.id = traj_id""")
+@query(f"""WITH RECURSIVE {HOP}, {_dbscan_sql('d_sh', '1')} SELECT * FROM l1""")
 def dbscan(spark, d):
-    return st.dbscan(orbits(spark, d).where(ARC), EPS["d_sh"], LEAST)
+    return st.dbscan(_circle(spark, d), EPS["d_sh"], LEAST, by=["window_start"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {HOP}, {', '.join(_dbscan_sql(c, str(i)) for i, c in enumerate(EPS))},
+    t AS (SELECT l0.window_start, l0.traj_id, l0.cluster AS a, l1.cluster AS b, l2.cluster AS c FROM l0 JOIN l1 ON l0.window_start = l1.window_start AND l0.traj_id = l1.traj_id JOIN l2 ON l0.window_start = l2.window_start AND l0.traj_id = l2.traj_id
+        WHERE l0.cluster IS NOT NULL AND l1.cluster IS NOT NULL AND l2.cluster IS NOT NULL),
+    g AS (SELECT window_start, a, b, c, row_number() OVER (PARTITION BY window_start ORDER BY a, b, c) - 1 AS "group" FROM t GROUP BY window_start, a, b, c HAVING count(*) >= {LEAST})
+    SELECT t.window_start, traj_id, "group" FROM t JOIN g ON t.window_start = g.window_start AND t.a = g.a AND t.b = g.b AND t.c = g.c""")
 def consensus(spark, d):
     return st.consensus(_circle(spark, d), EPS, LEAST, ["window_start"])
 
 
-@query(f"""WITH {ORB_SQL}, s AS (SELECT unnest([100, 200, 300]) AS win), g AS (SELECT iau_code AS grp, win, q, e, i, node, peri FROM orb JOIN s ON sol_lon >= win AND sol_lon < win + 20 WHERE iau_code <> '...'),
-    wn AS (SELECT win, q, e, i, node, peri FROM orb JOIN s ON sol_lon >= win AND sol_lon < win + 20), nl AS (SELECT win, q, e, i, node, peri FROM orb JOIN s ON sol_lon >= win AND sol_lon < win + 20 WHERE iau_code = '...'),
+DENSITY = f"""WITH {HOP}, wn AS (SELECT window_start AS win, iau_code, q, e, i, node, peri FROM w), g AS (SELECT iau_code AS grp, win, q, e, i, node, peri FROM wn WHERE iau_code <> '...'), nl AS (SELECT * FROM wn WHERE iau_code = '...'),
     c AS (SELECT grp, win, median(q) AS q, median(e) AS e, median(i) AS i, median(node) AS node, median(peri) AS peri FROM g GROUP BY 1, 2),
     r AS (SELECT c.grp, c.win, quantile_cont({dsh_sql('g', 'c')}, 8e-1) AS r FROM g JOIN c ON g.grp = c.grp AND g.win = c.win GROUP BY 1, 2),
     o AS (SELECT c.grp, c.win, count(*) FILTER ({dsh_sql('w', 'c')} <= r.r) AS n_obs, count(*) AS n_window FROM wn w JOIN c ON w.win = c.win JOIN r ON r.grp = c.grp AND r.win = c.win GROUP BY 1, 2),
     l AS (SELECT c.grp, c.win, count(*) FILTER ({dsh_sql('w', 'c')} <= r.r) / CAST(count(*) AS DOUBLE) AS f FROM nl w JOIN c ON w.win = c.win JOIN r ON r.grp = c.grp AND r.win = c.win GROUP BY 1, 2)
-    SELECT grp, win, round(r, 5) AS radius, n_obs, round(f * n_window, 2) AS n_exp, round((n_obs - f * n_window) / sqrt(greatest(f * n_window, 1e0)), 2) + 0e0 AS z FROM r JOIN o USING (grp, win) JOIN l USING (grp, win)""")
-def density_excess(spark, d):
-    wins = spark.createDataFrame([(100,), (200,), (300,)], "win int")
-    o = orbits(spark, d).join(F.broadcast(wins), (F.col("sol_lon") >= F.col("win")) & (F.col("sol_lon") < F.col("win") + 20))
+    SELECT grp, win, round(r, 5) AS radius, n_obs, round(f * n_window, 2) AS n_exp, round((n_obs - f * n_window) / sqrt(greatest(f * n_window, 1e0)), 2) + 0e0 AS z FROM r JOIN o USING (grp, win) JOIN l USING (grp, win)"""
+
+
+def _excess(spark, d):
+    o = _circle(spark, d).withColumnRenamed("window_start", "win")
     x = st.density_excess(o.where("iau_code <> '...'").withColumnRenamed("iau_code", "grp"), o, o.where("iau_code = '...'"), "grp", "win")
     return x.select("grp", "win", "radius", "n_obs", "n_exp", (F.col("z") + 0.0).alias("z"))
 
 
-MERGE = """grp AS (SELECT l_suppkey AS g, CAST(count(*) AS DOUBLE) AS z, min(l_linenumber) AS ws, max(l_linenumber) AS we FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1), mem AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS t FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_linestatus = 'F')"""
+@query(DENSITY)
+def density_excess(spark, d):
+    """Excess of each code's orbits in every window of the circle."""
+    return _excess(spark, d)
+
+
+@query(f"SELECT * FROM ({DENSITY}) WHERE z >= 2 AND radius <= 15e-2 AND radius > 0")
+def significant_groups(spark, d):
+    """Groups of a clear excess in a ball that isn't large."""
+    return st.significant(_excess(spark, d), 2.0, 0.15)
+
+
+# --- comparison of nulls --------------------------------------------------------------------------------
+
+#: Windows that tile the circle; centres of their sidebands.
+TILES = [20.0 * k for k in range(18)]
+_HIT = lambda frame, n, t: f"SELECT x.window_start, x.centre_id, count(*) FILTER ({dsh_sql('w', 'x')} <= 1e-1) AS {n}, count(*) AS {t} FROM {frame} w JOIN cen x ON w.window_start = x.window_start GROUP BY 1, 2"
+COMPARED = f"""{ORB_SQL}, w AS (SELECT floor(sol_lon / 2e1) * 2e1 AS window_start, * FROM orb),
+    cd AS (SELECT window_start, iau_code, count(*) AS n FROM w WHERE iau_code <> '...' GROUP BY 1, 2 HAVING count(*) >= 30), tp AS (SELECT window_start, arg_min(iau_code, (-n, iau_code)) AS code FROM cd GROUP BY 1),
+    sp AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY md5('6|' || traj_id), traj_id) AS r FROM w WHERE iau_code = '...'),
+    cen AS (SELECT w.window_start, 'stream' AS centre_id, median(q) AS q, median(e) AS e, median(i) AS i, median(node) AS node, median(peri) AS peri FROM w JOIN tp ON w.window_start = tp.window_start AND iau_code = code GROUP BY 1
+        UNION ALL SELECT window_start, CAST(traj_id AS VARCHAR), q, e, i, node, peri FROM sp WHERE r <= 25),
+    {_mixed_sql('w', 5, 'window_start')}, c AS (SELECT CAST(unnest(range(10, 370, 20)) AS DOUBLE) AS centre), side AS (SELECT centre - 10 AS window_start, traj_id, q, e, i, (node + (((centre - sol_lon) % 36e1) + 36e1) % 36e1) % 36e1 AS node, peri FROM orb CROSS JOIN c WHERE {_BAND(-18)} OR {_BAND(8)}),
+    sn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY md5('5|' || traj_id), traj_id) AS r FROM side) WHERE r <= 2500),
+    ob AS ({_HIT('w', 'n_obs', 't_obs')}), n1 AS ({_HIT('mix', 'm', 't')}), n2 AS ({_HIT('sn', 'm', 't')}), nn AS (SELECT 'permutation' AS "null", * FROM n1 UNION ALL SELECT 'sideband', * FROM n2),
+    ra AS (SELECT nn."null", ob.window_start, ob.centre_id, n_obs, m / CAST(t AS DOUBLE) * t_obs / greatest(n_obs, 1) AS ratio FROM ob JOIN nn ON ob.window_start = nn.window_start AND ob.centre_id = nn.centre_id),
+    cmp AS (SELECT window_start, "null", median(ratio) FILTER (centre_id <> 'stream' AND n_obs >= 5) AS sporadic_ratio, count(*) FILTER (centre_id <> 'stream' AND n_obs >= 5) AS n_regions, max(ratio) FILTER (centre_id = 'stream') AS stream_ratio FROM ra GROUP BY 1, 2)"""
+
+
+def _compared(spark, d, kde=False):
+    o = orbits(spark, d)
+    w = o.withColumn("window_start", F.floor(F.col("sol_lon") / 20) * 20.0)
+    middles = spark.createDataFrame([(c + 10,) for c in TILES], "centre double")
+    side = st.sideband_null(o, middles, 2500, 5).withColumn("window_start", F.col("centre") - 10.0)
+    nulls = {"kde": st.kde_null(w, 2500, 5, by=["window_start"])} if kde else {"permutation": st.permutation_null(w, 5, ["window_start"]), "sideband": side}
+    return st.compare_nulls(w, nulls, st.window_centres(w, ["window_start"], seed=6), 0.10, ["window_start"])
+
+
+@query(f'WITH {COMPARED} SELECT window_start, "null", round(sporadic_ratio, 3) AS sporadic_ratio, n_regions, round(stream_ratio, 3) AS stream_ratio FROM cmp')
+def null_comparison(spark, d):
+    """What permuted and sideband nulls expect over what is there, at streams and at sporadic places of each window."""
+    c = _compared(spark, d)
+    return c.select("window_start", "null", F.round("sporadic_ratio", 3).alias("sporadic_ratio"), "n_regions", F.round("stream_ratio", 3).alias("stream_ratio"))
+
+
+@query(f'WITH {COMPARED}, md AS (SELECT "null", median(sporadic_ratio) AS a, median(stream_ratio) AS b FROM cmp GROUP BY 1) SELECT "null", round(a, 3) AS sporadic_ratio, round(b, 3) AS stream_ratio, round(CASE WHEN b > 0 THEN a / b END, 2) AS separation FROM md')
+def null_separation(spark, d):
+    s = st.null_separation(_compared(spark, d))
+    return s.select("null", F.round("sporadic_ratio", 3).alias("sporadic_ratio"), F.round("stream_ratio", 3).alias("stream_ratio"), F.round("separation", 2).alias("separation"))
+
+
+@query()
+def null_comparison_kde(spark, d):
+    return _compared(spark, d, kde=True)
+
+
+@query("SELECT o_orderkey, CAST(floor((CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) + 2440587.5e0 - 2451545e0) / 365.25e0 + 2e3) AS BIGINT) AS year FROM orders")
+def calendar_year(spark, d):
+    """Year of a Julian date."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double") + 2440587.5
+    return table(spark, d, "orders").select("o_orderkey", sc.calendar_year(day).alias("year"))
+
+
+#: Orders as groups, with the (part, supplier) pairs of their lines as members.
+MERGE = """grp AS (SELECT l_orderkey AS g, CAST(count(*) AS DOUBLE) AS z, min(l_linenumber) AS ws, max(l_linenumber) AS we FROM lineitem GROUP BY 1), mem AS (SELECT DISTINCT l_orderkey AS g, l_partkey * 100000 + l_suppkey AS t FROM lineitem)"""
 
 
 @query(f"""WITH RECURSIVE {MERGE}, e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM mem x JOIN mem y ON x.t = y.t), r(x, y) AS (SELECT g, g FROM grp UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), c AS (SELECT x AS g, min(y) AS structure FROM r GROUP BY x)
-    SELECT structure, arg_min(grp.g, (-z, grp.g)) AS best, max(z) AS z, count(*) AS n_windows, (SELECT count(DISTINCT t) FROM mem JOIN c c2 ON mem.g = c2.g WHERE c2.structure = c.structure) AS n_members, min(ws) AS first_start, max(we) AS last_end FROM grp JOIN c ON grp.g = c.g GROUP BY structure""")
+    , n AS (SELECT structure, count(DISTINCT t) AS n_members FROM mem JOIN c ON mem.g = c.g GROUP BY 1)
+    SELECT structure, arg_min(grp.g, (-z, grp.g)) AS best, max(z) AS z, count(*) AS n_windows, any_value(n_members) AS n_members, min(ws) AS first_start, max(we) AS last_end FROM grp JOIN c ON grp.g = c.g JOIN n USING (structure) GROUP BY structure""")
 def merge_groups(spark, d):
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R' and l_linestatus = 'F'")
-    groups = lines.groupBy(F.col("l_suppkey").alias("group")).agg(F.count("*").cast("double").alias("z"), F.min("l_linenumber").alias("window_start"), F.max("l_linenumber").alias("window_end"))
-    members = lines.select(F.col("l_suppkey").alias("group"), F.col("l_orderkey").alias("traj_id")).distinct()
+    lines = table(spark, d, "lineitem")
+    groups = lines.groupBy(F.col("l_orderkey").alias("group")).agg(F.count("*").cast("double").alias("z"), F.min("l_linenumber").alias("window_start"), F.max("l_linenumber").alias("window_end"))
+    members = lines.select(F.col("l_orderkey").alias("group"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("traj_id")).distinct()
     return st.merge_overlapping(groups, members)
