@@ -9,7 +9,7 @@ A task returns for each vector its number of links and one edge to its component
 group of m near copies costs m rows, not m squared.
 
 Edge cases: a null label, a null vector, a zero vector, and one with a null, NaN or infinite component link with nothing, as
-does a null vec_id. A vec_id that repeats within a label counts as one vector, the smallest of its embeddings; each of
+does a null vec_id. Components may be as large or small as doubles are. A vec_id that repeats within a label counts as one vector, the smallest of its embeddings; each of
 its rows gets the result. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -34,6 +34,11 @@ EXACT_DIMS = 1024
 SLACK = 1e-9
 
 
+def tamed(x: np.ndarray) -> np.ndarray:
+    """Rows over the power of two of their largest component: an exact change that keeps squares from overflowing or vanishing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes (int8), scales, norms of the coded vectors, norms of the errors, norms of the inputs, by row of x."""
     length = np.sqrt(np.einsum("ij,ij->i", x, x))
@@ -55,6 +60,7 @@ def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float):
     """Yields (rows of left, rows of right) of linked pairs; without right, pairs i < j within left."""
+    left, right = tamed(left), None if right is None else tamed(right)
     qa = quantise(left)
     x, y, qb = (left, left, qa) if right is None else (left, right, quantise(right))
     for i in range(0, len(x), ROWS):

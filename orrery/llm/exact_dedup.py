@@ -6,7 +6,8 @@ by itself; only its distinct digests meet the filters, and only those that a fil
 exact buckets. All rows of a group are compared byte for byte with the row that stays.
 
 Edge cases: null text is empty text; texts are equal when identical after each run of white space becomes one space. A
-null id never stays unless all ids of its group are null. Repeated rows with one id each give a row. Empty tables give
+null id never stays unless all ids of its group are null. Repeated rows with one id each give a row, and all of them are kept where
+that id is the one that stays. Empty tables give
 empty results. Other columns of the input are ignored.
 """
 
@@ -115,7 +116,8 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 def merge_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """Groups of snapshot and batch together: the next snapshot. Both are (sha, keep_id, n) with distinct sha."""
-    size = snapshot.count()
+    # a shard holds keys of both, so the larger decides
+    size = max(snapshot.count(), batch.count())
     shards = max(MIN_SHARDS, 1 << max(0, (size // SHARD_KEYS)).bit_length())
     screened = stage(screen(batch, snapshot_filters(snapshot, shards), shards), "screened")
     maybe = screened.where("maybe")
@@ -128,28 +130,24 @@ def merge_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 def dedup(documents: DataFrame, batches: int = 2) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of documents.
 
-    The rows arrive as ``batches`` ranges of ids in ascending order, each screened against the snapshot of those before
+    The rows arrive as ``batches`` ranges of ids in ascending order, of about as many rows each, each screened against the snapshot of those before
     it, so the smallest id of a group is in the snapshot when later copies come in.
     """
     rows = documents.select("doc_id", normalised(F.col("text")).alias("body"))
     digests = stage(rows.select("doc_id", F.unhex(F.sha2("body", 256)).alias("sha")), "digests")
-    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
+    cuts = digests.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / batches) for i in range(batches - 1)]), F.lit(1000))).first()[0] if batches > 1 else []
+    slot = sum((F.when(F.col("doc_id") <= c, 0).otherwise(1) for c in cuts or []), F.lit(0))
     snapshot = None
-    step = max(1, -(-(high - low + 1) // batches))
-    slot = F.coalesce(F.expr(f"least({batches - 1}L, (doc_id - {low}L) div {step}L)"), F.lit(batches - 1))
     for i in range(batches):
-        batch = group_digests(digests.where(slot == i))
-        snapshot = batch if snapshot is None else merge_batch(snapshot, batch)
-        snapshot = stage(snapshot, f"snapshot{i}")
+        batch = stage(group_digests(digests.where(slot == i)), f"batch{i}")
+        snapshot = batch if snapshot is None else stage(merge_batch(snapshot, batch), f"snapshot{i}")
     single = digests.join(snapshot.where("n = 1"), "sha").select("doc_id", "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), "sha")
 
     repeated = snapshot.where("n > 1")
     bits = bitmap(repeated.select(F.xxhash64("sha").alias("h")), "h")
     # the text travels only where its digest repeats
     texts = rows.withColumn("sha", F.unhex(F.sha2("body", 256))).where(in_bitmap(F.xxhash64("sha"), bits))
-    members = texts.join(repeated, "sha")
+    members = stage(texts.join(repeated, "sha"), "members")
     stays = members.where("doc_id <=> keep_id").groupBy("sha").agg(F.first("body").alias("stays"))
     same = members.join(stays, "sha").where(F.when(F.col("body") == F.col("stays"), True).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest"))))
     grouped = same.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")

@@ -31,7 +31,7 @@ from .url_filter import host_path
 
 #: Elements by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "math", "title", "head", "object", "select", "canvas", "video", "audio", "map", "datalist")
+RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "title", "head", "object", "select", "canvas", "video", "audio", "map", "datalist")
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -46,6 +46,8 @@ CHROME_NAME = re.compile(
     r"newsletter|subscribe|signup|sign-up|login|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|respond|replies|reply|widget|toolbar|pagination|pager|tags?-list|tag-cloud|skip-link|copyright|legal|disclaimer|alert)(?=$|[\s_-])",
     re.I,
 )
+#: Names that outside an article mark template, and within one may be its own sections.
+AMBIGUOUS_NAME = re.compile(r"^(?:legal|copyright|related|recommend\w*|disclaimer|alert|notice|banner|promo\w*|login|signup|sign-up|social|menu\w*|nav\w*|footer|reply|replies|respond|comment-(?!form|list|respond)\w+)$", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"[\s ]+")
@@ -53,12 +55,18 @@ _SPACE = re.compile(r"[\s ]+")
 BODY, ARTICLE, TEMPLATE = 0, 1, 2
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _names_chrome(value: str, zone: int) -> bool:
+    """Whether a class or id names template; within an article only by a name that can't be a section of its own."""
+    found = [m[0].strip(" \t\r\n\f_-") for m in CHROME_NAME.finditer(value)]
+    return any(zone != ARTICLE or not AMBIGUOUS_NAME.match(n) for n in found)
+
+
+def _is_chrome(tag: str, attributes: str, zone: int) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name == "role" and value.lower() in CHROME_ROLE or name in ("class", "id") and tag not in ("body", "html", "article", "main") and CHROME_NAME.search(value):
+        if name == "role" and value.lower() in CHROME_ROLE or name in ("class", "id") and tag not in ("body", "html", "article", "main") and _names_chrome(value, zone):
             return True
     return False
 
@@ -123,7 +131,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 del stack[inline - 1 :]
                 zone = stack[-1][1] if stack else BODY
         inside = zone
-        if tag in CHROME and not (tag == "header" and zone == ARTICLE) or _is_chrome(tag, m[2]):
+        if tag in CHROME and not (tag == "header" and zone == ARTICLE) or _is_chrome(tag, m[2], zone):
             inside = TEMPLATE
         elif tag in MAIN and zone != TEMPLATE:
             inside = ARTICLE

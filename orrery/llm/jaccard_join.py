@@ -483,7 +483,8 @@ def link_documents(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component, all columns: the smallest id's (nulls last, then by a hash of the row).
 
-    Identical repeated rows are one document; rows without words all stay otherwise.
+    Rows of one id and text are one document, whichever of them stays; rows without words all stay otherwise. Null ids and texts, empty
+    tables and very long texts are as in link_documents.
     """
     told = grouped(documents)
     order = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")
@@ -491,8 +492,10 @@ def keep_one(documents: DataFrame) -> DataFrame:
     gone = told.where("n_shingles > 0").join(best, ["group", "row"], "left_anti").select("row").distinct().withColumn("gone", F.lit(True))
     again = told.groupBy("row").count().where("count > 1").select("row", F.lit(False).alias("gone"))
     marked = stage(gone.unionByName(again).groupBy("row").agg(F.max("gone").alias("_gone")).withColumnRenamed("row", "_row"), "dropped")
-    touched = in_bitmap(F.col("_row"), bitmap(marked, "_row"))
-    keyed = documents.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    some = keyed.where(touched).join(marked, "_row", "left").where(~F.coalesce("_gone", F.lit(False)))
-    once = some.where("_gone is null").unionByName(some.where("_gone is not null").dropDuplicates(["_row"]))
-    return keyed.where(~touched).select(*documents.columns).unionByName(once.select(*documents.columns))
+    touched = in_bitmap(F.col("_key"), bitmap(marked, "_row"))
+    # the caller's columns travel in one struct, so no name of theirs can clash with ours
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_own")
+    keyed = documents.select(own, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("_key"))
+    some = keyed.where(touched).join(marked, F.col("_key") == F.col("_row"), "left").where(~F.coalesce("_gone", F.lit(False)))
+    once = some.where("_gone is null").unionByName(some.where("_gone is not null").dropDuplicates(["_key"]))
+    return keyed.where(~touched).select("_own.*").unionByName(once.select("_own.*"))

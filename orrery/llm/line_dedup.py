@@ -189,14 +189,14 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     return lines.join(some.select("h1", "h2", "place", "whole"), ["h1", "h2"]).where(F.col("whole").isNotNull() | ~first).select("row", "doc_id", "line_no").distinct()
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """All columns of documents with text less the lines that go, and n_removed int, the number of them.
+def dedup_lines(documents: DataFrame, count: str | None = "n_removed") -> DataFrame:
+    """All columns of documents with text less the lines that go, and in the column count (none with None) the number of them, an int.
 
     Only rows that lose lines are shuffled to meet them, as far as a bitmap of fixed size can tell.
     """
     lost = removed_lines(documents).groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
     gone = stage(lost, "removed")
-    columns = [c for c in documents.columns if c != "n_removed"]
+    columns = [c for c in documents.columns if c != count]
     # the caller's columns travel in one struct, so no name of theirs can clash with ours
     text = F.col("text").cast("string")
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("_own"), F.col("doc_id").alias("_id"), text.alias("_text"), F.xxhash64("doc_id", text).alias("_key"))
@@ -204,5 +204,5 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     some = keyed.where(touched).join(gone, (F.col("_key") == F.col("_row")) & F.col("_id").eqNullSafe(F.col("_doc")), "left")
     kept = F.filter(F.split("_text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
     some = some.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")))
-    out = lambda df, left, n: df.select(*[left.alias("text") if c == "text" else F.col("_own").getField(c).alias(c) for c in columns], n.cast("int").alias("n_removed"))
+    out = lambda df, left, n: df.select(*[left.alias("text") if c == "text" else F.col("_own").getField(c).alias(c) for c in columns], *([n.cast("int").alias(count)] if count else []))
     return out(keyed.where(~touched), F.col("_text"), F.lit(0)).unionByName(out(some, F.col("_left"), F.coalesce(F.size("_gone"), F.lit(0))))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WS, mix64, stage
+from .common import NON_WS, bitmap, in_bitmap, mix64, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -170,22 +170,31 @@ def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed:
     """The mix as documents: for each document, epoch and run of neighbouring blocks a row with the text of the words taken.
 
     Texts are slices of the original, white space between their words included; a document taken whole keeps its text as it is.
-    Columns as in documents, n_chars counted anew. A document taken in neither epoch is left out. Repeated rows (same id and
-    text) must have been removed before.
+    Columns as in documents, n_chars counted anew. A document taken in neither epoch is left out, as is one without words. Rows
+    of one id, text and source are mixed as rows of their own, but all carry the other columns of one of them. An empty table
+    gives an empty result.
     """
-    key = F.xxhash64("doc_id", F.col("text").cast("string"))
-    sized = stage(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("row")), "mix-sizes")
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    key = F.xxhash64("doc_id", text, source)
+    sized = stage(documents.select("doc_id", source.alias("source"), word_count(F.col("text")).alias("size"), key.alias("row")), "mix-sizes")
     rows, pieces, slots = plan(sized, block_words, seed)
     drawn = slots.join(pieces, ["source_id", "block"]).groupBy("source_id", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("word", "words"))).alias("_parts"))
     chosen = rows.where("size > 0").join(drawn, ["source_id", "start"]).select(F.col("row").alias("_row"), F.col("size").alias("_size"), _runs().alias("_runs"))
-    joined = documents.withColumn("_row", key).join(chosen, "_row")
+    # the caller's columns travel in one struct, so no name of theirs can clash with ours
+    columns = [c for c in documents.columns if c not in ("text", "n_chars")]
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_own"), text.alias("_text"), key.alias("_key"))
+    again = stage(sized.groupBy("row").count().where("count > 1").select("row"), "mix-again")
+    touched = in_bitmap(F.col("_key"), bitmap(again, "row"))
+    keyed = keyed.where(~touched).unionByName(keyed.where(touched).dropDuplicates(["_key"]))
+    joined = keyed.join(chosen, F.col("_key") == F.col("_row"))
     # the one-element array binds the words, which would else be split anew for each run
-    once = F.transform(F.array(F.regexp_extract_all(F.col("text"), F.lit(_UNIT), F.lit(0))), lambda units: F.transform("_runs", lambda r: _cut(units, r)))
+    once = F.transform(F.array(F.regexp_extract_all(F.col("_text"), F.lit(_UNIT), F.lit(0))), lambda units: F.transform("_runs", lambda r: _cut(units, r)))
     # unlike explode, explode_outer gets no filter that would cut all texts a second time; no row is without runs
-    out = joined.withColumn("text", F.explode_outer(F.element_at(once, 1)))
+    out = joined.select("_own", F.explode_outer(F.element_at(once, 1)).alias("_cut"))
+    made = {"text": F.col("_cut")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
-    return out.select(*documents.columns)
+        made["n_chars"] = F.length("_cut").cast(dict(documents.dtypes)["n_chars"])
+    return out.select(*[made[c].alias(c) if c in made else F.col("_own").getField(c).alias(c) for c in documents.columns])
 
 
 def _runs() -> Column:
@@ -201,4 +210,4 @@ def _cut(units: Column, run: Column) -> Column:
     """The text of a run; units are words with the white space after them, of which the last word's is left out."""
     first, n = (run["word"] + 1).cast("int"), run["words"].cast("int")
     body, last = F.array_join(F.slice(units, first, n - 1), ""), F.regexp_extract(F.get(units, first + n - 2), NON_WS, 0)
-    return F.when(run["words"] == F.col("_size"), F.col("text")).otherwise(F.concat(body, last))
+    return F.when(run["words"] == F.col("_size"), F.col("_text")).otherwise(F.concat(body, last))

@@ -129,7 +129,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
 
     scored = stage(rows.mapInArrow(run, "doc_id bigint, log_ratio double, ord bigint, label bigint"), "quality")
     if counts[1].any():
-        held = scored.where("label >= 0").select("doc_id", "log_ratio", "label").collect()  # MAX_LABELS at most
+        # one row for each labelled id, MAX_LABELS at most, however often an id is repeated
+        held = scored.where("label >= 0").groupBy("doc_id").agg(F.max("log_ratio").alias("log_ratio"), F.max("label").alias("label")).collect()
         model.threshold = best_threshold(held)
         if model.threshold is not None:
             model.cut = kth_largest(scored, scored.where(F.col("log_ratio") >= model.threshold).count())
