@@ -139,22 +139,28 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
 
 
 def token_sets(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(id, tokens) of the blocks' nodes, cut again from the line that each is first on."""
-    wanted = blocks.select("id", F.col("place.d").alias("doc"), F.col("place.r").alias("row"), F.col("place.l").alias("line_no")).distinct()
-    wanted = stage(wanted.withColumn("key", F.xxhash64("row", "line_no")), "wanted")
+    """(line, doc, tokens) of the lines that the blocks' nodes are first on, cut again; line is a struct of row and line_no.
+
+    Bitmaps of fixed size choose the lines, so a few others are there too. Repeated rows give a line more than once.
+    """
+    wanted = stage(blocks.select(F.col("place.r").alias("row"), F.col("place.l").alias("line_no")).distinct(), "wanted")
+    key = F.xxhash64("row", "line_no")
     rows = documents.where(in_bitmap(_row_key(), bitmap(wanted, "row")))
-    chosen = lines_of(rows).where(in_bitmap(F.xxhash64("row", "line_no"), bitmap(wanted, "key")))
-    cut = chosen.select("row", "doc_id", "line_no", F.array_distinct(_hashes(_words(F.col("line")))).alias("tokens"))
-    met = cut.join(wanted, ["row", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("doc")))
-    return stage(met.dropDuplicates(["id"]).select("id", "tokens"), "sets")
+    chosen = lines_of(rows).where(in_bitmap(key, bitmap(wanted.select(key.alias("key")), "key")))
+    sets = stage(chosen.select("row", "line_no", F.col("doc_id").alias("doc"), F.array_distinct(_hashes(_words(F.col("line")))).alias("tokens")), "sets")
+    discard(wanted)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose token sets have the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(shared >= _needed(F.size("x"), F.size("y"))).select("a", "b")
+    """The pairs (a, b) of nodes whose token sets have the similarity. pairs: a, b and their places x and y."""
+    out = pairs
+    for p in "xy":
+        side = sets.select(F.col("row").alias(f"{p}r"), F.col("line_no").alias(f"{p}l"), F.col("doc").alias(f"{p}d"), F.col("tokens").alias(f"{p}t"))
+        at = F.col(f"{p}.r"), F.col(f"{p}.l"), F.col(f"{p}.d")
+        out = out.join(side, (at[0] == F.col(f"{p}r")) & (at[1] == F.col(f"{p}l")) & at[2].eqNullSafe(F.col(f"{p}d")))
+    shared = F.size(F.array_intersect("xt", "yt"))
+    return out.where(shared >= _needed(F.size("xt"), F.size("yt"))).select("a", "b")
 
 
 def _passes(x: str, y: str) -> Column:
@@ -172,14 +178,15 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     sets = token_sets(documents, blocks)
 
     hubs = blocks.groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos")).alias("hub")).select("token", "hub.*")
-    x = blocks.select("token", "id", "n", "pos").alias("x")
-    tried = stage(x.join(hubs.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _passes("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "tried")
+    pair = F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.place").alias("x"), F.col("y.place").alias("y")
+    met = blocks.alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token")).where((F.col("x.id") != F.col("y.id")) & _passes("x", "y"))
+    tried = stage(met.select(*pair).distinct(), "tried")
     gone = stage(verified(tried, sets).select(F.col("a").alias("id")).distinct(), "gone")
 
     left = blocks.join(gone, "id", "left_anti")
     fits = (F.col("x.token") == F.col("y.token")) & (F.col("y.place") < F.col("x.place")) & _passes("x", "y")
-    pairs = left.alias("x").join(blocks.alias("y"), fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets).select(F.col("a").alias("id"))
+    pairs = left.select(*blocks.columns).alias("x").join(blocks.alias("y"), fits).select(*pair).distinct()
+    more = verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets).select(F.col("a").alias("id"))
     gone = stage(gone.unionByName(more).distinct().withColumn("whole", F.lit(True)), "gone")
     discard(sets, blocks, tried)
 
