@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,16 @@ CHUNK_BYTES = 1_000_000
 TEXT_BATCH_ROWS = 1000
 
 
+#: Bytes of an Arrow batch, for rows that are larger than usual.
+TEXT_BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to TEXT_BATCH_ROWS, unless they are smaller."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(key, "10000"))
-    if rows <= 0 or rows > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    """Set the session's Arrow batches to TEXT_BATCH_ROWS and TEXT_BATCH_BYTES, unless they are smaller."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        held = int(re.match("-?[0-9]*", spark.conf.get(key))[0] or 0)
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
 
 
 def dense(rows: DataFrame, size: int, at: str, value: str, default: int = 0) -> Column:

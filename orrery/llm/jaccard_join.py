@@ -46,7 +46,7 @@ BUCKETS = 1 << 16
 GROUPS = 256
 #: Points in a leaf of the tree, and sets in a tile of a block.
 LEAF = 16
-TILE = 1024
+TILE = 512
 #: Pairs that a set proposes in a block at first.
 NEAREST = 4
 
@@ -187,7 +187,7 @@ def tree_pairs(points: np.ndarray, query: np.ndarray, member: np.ndarray) -> Ite
                 good = np.triu(good, 1)
             u, v = np.nonzero(good)
             if len(u):
-                yield a[u], b[v], bound[u, v] / need[u, v]
+                yield a[u].astype(np.int32), b[v].astype(np.int32), (bound[u, v] / need[u, v]).astype(np.float32)
 
 
 #: Roles of a row in a tile task: it looks for members, is found, or both; a member that looks elsewhere too is met by smaller ids only.
@@ -211,10 +211,11 @@ def task_pairs(ids: np.ndarray, component: np.ndarray, side: np.ndarray, points:
     keep = (ids[i] != ids[j]) & (component[i] != component[j])
     i, j, score = i[keep], j[keep], score[keep]
     if len(i):
-        names, at = np.unique(np.concatenate(earlier), return_inverse=True)
-        if len(names):
-            held = np.zeros((len(ids), len(names)), np.float32)
-            held[np.repeat(np.arange(len(ids)), [len(x) for x in earlier]), at] = 1
+        names, at, many = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+        if (many > 1).any():
+            several = many[at] > 1
+            held = np.zeros((len(ids), int((many > 1).sum())), np.float32)
+            held[np.repeat(np.arange(len(ids)), [len(x) for x in earlier])[several], (np.cumsum(many > 1) - 1)[at[several]]] = 1
             common = held @ held.T > 0
             keep = ~common[i, j]
             i, j, score = i[keep], j[keep], score[keep]
