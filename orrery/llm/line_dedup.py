@@ -94,15 +94,6 @@ def _length_fits(m: Column, n: Column) -> Column:
     return F.least(m, n) * DENOMINATOR >= F.greatest(m, n) * NUMERATOR
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose token sets have the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= _needed(F.size("x"), F.size("y"))).select("a", "b")
-
-
 def nodes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, line_no, h1, h2) of every line with words, and nodes: (id, h1, h2, place, copies, n, prefix)."""
     # a subquery may not stand within a higher-order function; the optimiser puts it there, so no row carries it
