@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import vector_codes
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from .common import small_batches
@@ -89,7 +91,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_line_dedup, op4_embedding_dedup, op5_html_text, op6_jaccard_join, op7_url_filter, op8_mixing, op9_bpe, op10_exact_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import code_vectors
+
+    return code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_line_dedup, op4_embedding_dedup, op5_html_text, op6_jaccard_join, op7_url_filter, op8_mixing, op9_bpe, op10_exact_dedup, op11_vector_codes, op12_packing)}
 
 ORACLES = {
     "op4_embedding_dedup": """
@@ -106,4 +120,5 @@ ORACLES = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op11_vector_codes": vector_codes.sql(),
 }
