@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import discard, shared_dir, stage  # noqa: F401
+from .. import staging
+from ..staging import discard, shared_dir  # noqa: F401
 
 WS = "[\\x20\\x09-\\x0D]+"
 NON_WS = "[^\\x20\\x09-\\x0D]+"
@@ -34,6 +35,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def stage(df: DataFrame, name: str = "table") -> DataFrame:
+    """A working table as of staging.stage; then the driver's garbage is collected, as only that lets Spark drop the shuffle files of ended plans."""
+    out = staging.stage(df, name)
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    return out
+
+
 def dense(rows: DataFrame, size: int, at: str, value: str, default: int = 0) -> Column:
     """An array<bigint> of a fixed size as a scalar subquery: value at each position of rows, default elsewhere.
 
