@@ -30,12 +30,12 @@ def hop_windows(orbits: DataFrame, width: float, step: float) -> DataFrame:
     return rows.where(in_arc(F.col("sol_lon"), F.col("window_start"), F.pmod(F.col("window_start") + width, F.lit(360.0))))
 
 
-def _cells(eps: float, criterion: str) -> dict[str, Column]:
+def _cells(eps: Column, criterion: str) -> dict[str, Column]:
     """Coordinates scaled so that orbits within eps differ by 1 at most; null where no other orbit can be within eps."""
-    # |x1 - x2| <= eps (x1 + x2) as a difference of logarithms
-    log_side = math.log((1 + eps) / (1 - eps)) if eps < 1 else math.inf
+    # |x1 - x2| <= eps (x1 + x2) as a difference of logarithms; from an eps of 1 on all are within it
+    log_side = F.when(eps < 1, F.ln((1.0 + eps) / (1.0 - eps))).otherwise(F.lit(math.inf))
     ratio = lambda c: F.when(F.col(c) > 0, F.ln(c) / log_side).when(F.col(c) == 0, F.lit(-1e15))
-    plane = 180.0 * eps if criterion == "d_d" else math.degrees(2 * math.asin(min(1.0, eps / 2)))
+    plane = 180.0 * eps if criterion == "d_d" else F.degrees(2 * F.asin(F.least(F.lit(1.0), eps / 2)))
     return {
         "cq": F.col("q") / eps if criterion == "d_sh" else ratio("q"),
         "ce": ratio("e") if criterion == "d_d" else F.col("e") / eps,
@@ -47,21 +47,26 @@ def _cells(eps: float, criterion: str) -> dict[str, Column]:
 _HALF = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
 
 
-def close_pairs(orbits: DataFrame, eps: float, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
+def close_pairs(orbits: DataFrame, eps: float | str, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b, d) of pairs a < b within eps (inclusive), each once, by grid cells of (q, e, i).
 
+    eps is a number, or the name of a column that is the same for all orbits of a key of by: each key then has a grid of its own
+    width. Where it is null or not positive there are no pairs.
     Orbits with a null or non-finite element have no neighbours. Of d_d and d_h so have those with a negative q or e.
     A large cell is a skewed key of the join, which adaptive execution splits.
     """
-    if eps <= 0:
+    if not isinstance(eps, str) and eps <= 0:
         raise ValueError("eps must be positive")
-    axes = list(_cells(eps, criterion))
+    width = F.col(eps) if isinstance(eps, str) else F.lit(float(eps))
+    orbits = orbits.withColumn("_eps", width.cast("double")).where("_eps > 0")
+    cells = _cells(F.col("_eps"), criterion)
+    axes = list(cells)
     # a little wider than eps, so that rounding can't part two orbits by more than a cell
-    scaled = {k: F.floor(v * (1 - 1e-9)).cast("bigint") for k, v in _cells(eps, criterion).items()}
+    scaled = {k: F.floor(v * (1 - 1e-9)).cast("bigint") for k, v in cells.items()}
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in ELEMENTS]
     i, n = F.radians("i"), F.radians("node")
     pole = {"px": F.sin(i) * F.sin(n), "py": -F.sin(i) * F.cos(n), "pz": F.cos(i)}
-    home = orbits.where(reduce(and_, finite)).select(*by, "traj_id", *ELEMENTS, *[v.alias(k) for k, v in (pole | scaled).items()])
+    home = orbits.where(reduce(and_, finite)).select(*by, "traj_id", "_eps", *ELEMENTS, *[v.alias(k) for k, v in (pole | scaled).items()])
     steps = F.array(*[F.struct(*[F.lit(k).cast("bigint").alias(c) for c, k in zip(axes, s, strict=True)]) for s in _HALF])
     around = home.withColumn("_step", F.explode(steps)).withColumns({c: F.col(c) + F.col(f"_step.{c}") for c in axes})
     around = around.withColumn("_own", reduce(and_, [F.col(f"_step.{c}") == 0 for c in axes])).drop("_step")
@@ -69,20 +74,21 @@ def close_pairs(orbits: DataFrame, eps: float, criterion: str = "d_sh", by: Sequ
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*by, *axes]]
     once = ~F.col("y._own") | (F.col("x.traj_id") < F.col("y.traj_id"))
     # the terms that need no trigonometry, before the whole distance
-    near = F.lit(0.0)
-    for term in {"d_sh": ("q", "e"), "d_h": ("e",), "d_d": ()}[criterion]:
-        near = near + (F.col(f"x.{term}") - F.col(f"y.{term}")) * (F.col(f"x.{term}") - F.col(f"y.{term}"))
-    if criterion != "d_d":
-        near = near + 2.0 - 2.0 * reduce(add, [F.col(f"x.{c}") * F.col(f"y.{c}") for c in pole])
-    limit = eps * eps * (1 + 1e-9) + 1e-12
+    near = (2.0 - 2.0 * reduce(add, [F.col(f"x.{c}") * F.col(f"y.{c}") for c in pole])) / (math.pi**2 if criterion == "d_d" else 1.0)
+    for term in ("e", "q"):
+        u, v = F.col(f"x.{term}"), F.col(f"y.{term}")
+        gap = u - v if criterion == "d_sh" or (criterion, term) == ("d_h", "e") else (u - v) / (u + v + 1e-9)
+        near = near + gap * gap
+    reach = F.col("x._eps")
+    limit = reach * reach * (1 + 1e-9) + 1e-12
     d = CRITERIA[criterion](orbit("x"), orbit("y"))
     out = x.join(y, same).where(once & (F.col("x.traj_id") != F.col("y.traj_id")) & (near <= limit))
     ids = (F.col("x.traj_id"), F.col("y.traj_id"))
-    out = out.select(*[F.col(f"x.{k}") for k in by], F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), d.alias("d"))
-    return out.where(F.col("d") <= eps)
+    out = out.select(*[F.col(f"x.{k}") for k in by], F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), d.alias("d"), reach.alias("_eps"))
+    return out.where(F.col("d") <= F.col("_eps")).drop("_eps")
 
 
-def neighbour_pairs(orbits: DataFrame, eps: float, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
+def neighbour_pairs(orbits: DataFrame, eps: float | str, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b, d) of ordered pairs a <> b within eps (inclusive): both orders of close_pairs."""
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return close_pairs(orbits, eps, criterion, by).select(*by, both.alias("_p"), "d").select(*by, "_p.a", "_p.b", "d")
@@ -107,21 +113,61 @@ def close_invariants(radiants: DataFrame, eps: float) -> DataFrame:
     return out.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), valsecchi(side("x"), side("y")).alias("d")).where(F.col("d") <= eps)
 
 
-def threshold(null: DataFrame, rate: float, criterion: str, by: Sequence[str], least: int = 50, most: int = 1000, seed: int = 0) -> DataFrame:
-    """(by, eps): the distance that a share rate of a null sample's pairs fall under; null for groups of fewer than least.
+#: Orbits of a null whose pairs give a first guess of its quantile, and by how much the guess's rank exceeds the rank sought.
+GUESS_ORBITS = 250
+GUESS_RATIO = 1.5
+#: Bins of distances that are counted to find the one that holds a rank.
+BINS = 1024
 
-    A sample of a group is its first most rows in hash order: the pairs grow with the square of a bound, not of the data.
+
+def threshold(null: DataFrame, rate: float, criterion: str, by: Sequence[str], least: int = 50, most: int | None = None, seed: int = 0) -> DataFrame:
+    """(by, eps): the distance that a share rate of a null's pairs fall under; null for groups of fewer than least sound orbits.
+
+    The exact quantile over all pairs of a group, between neighbouring ranks by linear interpolation, without the triangle of pairs. A sample
+    of bounded size guesses a distance beyond it; the pairs within that distance, by grid cells, are counted in bins, and only those of
+    the bins that hold the ranks sought are sorted. Where the guess was too short it grows, for those groups alone. With
+    most, a group is its first most orbits in hash order.
     """
     keys = list(by)
-    ranked = null.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed, "traj_id"), "traj_id")))
-    sample = ranked.where(F.col("_r") <= most).select(*keys, "traj_id", *ELEMENTS)
-    big = sample.groupBy(*keys).count().where(F.col("count") >= least).select(*keys)
-    chosen = sample.join(big, keys, "left_semi")
-    x, y = chosen.alias("x"), chosen.alias("y")
+    sound = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in ELEMENTS])
+    rows = null.where(sound).select(*keys, "traj_id", *ELEMENTS)
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed, "traj_id"), "traj_id")))
+    rows = stage(ranked if most is None else ranked.where(F.col("_r") <= most), "null")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    # places of the quantile among the sorted distances, from 0
+    last = F.col("_n") * (F.col("_n") - 1) / 2 - 1
+    sought = stage(sizes.select(*keys, "_n", (last * rate).alias("_at"), F.floor(last * rate).cast("bigint").alias("_lo"), F.ceil(last * rate).cast("bigint").alias("_hi")), "ranks")
+
+    few = rows.where(F.col("_r") <= GUESS_ORBITS).join(sizes.select(*keys), keys, "left_semi")
+    x, y = few.alias("x"), few.alias("y")
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    pairs = x.join(y, [*same, F.col("x.traj_id") < F.col("y.traj_id")]).select(*[F.col(f"x.{k}") for k in keys], CRITERIA[criterion](orbit("x"), orbit("y")).alias("d"))
-    eps = pairs.groupBy(*keys).agg(F.percentile("d", F.lit(rate)).alias("eps"))
-    return null.select(*keys).distinct().join(eps, keys, "left")
+    some = x.join(y, [*same, F.col("x.traj_id") < F.col("y.traj_id")]).select(*[F.col(f"x.{k}") for k in keys], CRITERIA[criterion](orbit("x"), orbit("y")).alias("d"))
+    # of few distances the quantile is next to the smallest: at least the tenth is taken
+    ends = F.percentile("d", F.array(F.lit(min(1.0, GUESS_RATIO * rate)), F.lit(min(1.0, 20 / GUESS_ORBITS**2))))
+    guess = some.groupBy(*keys).agg(F.array_max(ends).alias("_g"))
+    todo = stage(sought.join(guess.select(*keys, (F.greatest("_g", F.lit(1e-6)) * 1.1).alias("_reach")), keys), "guess")
+    out = None
+    while True:
+        near = close_pairs(rows.drop("_r").join(todo.select(*keys, "_reach"), keys), "_reach", criterion, keys)
+        at = F.least(F.floor(F.col("d") / F.col("_reach") * BINS), F.lit(BINS - 1)).cast("int")
+        near = stage(near.join(todo.select(*keys, "_reach"), keys).select(*keys, "d", at.alias("_bin")), "near")
+        counts = near.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+        before = (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c")).alias("_before")
+        told = stage(counts.select(*keys, "_bin", "_c", before).join(todo, keys), "bins")
+        holds = lambda r: (F.col("_before") <= F.col(r)) & (F.col(r) < F.col("_before") + F.col("_c"))
+        whole = told.where(holds("_hi")).select(*keys)
+        bins = told.where(holds("_lo") | holds("_hi")).join(whole, keys, "left_semi").select(*keys, "_bin", "_before", "_at", "_lo", "_hi")
+        few = near.join(bins, [*keys, "_bin"])
+        rank = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("d")) - 1
+        ends = few.withColumn("_rank", rank).groupBy(*keys).agg(
+            F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("d"))).alias("_a"), F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("d"))).alias("_b"), F.max(F.col("_at") - F.col("_lo")).alias("_f")
+        )
+        done = ends.select(*keys, (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("eps"))
+        out = done if out is None else out.unionByName(done)
+        short = stage(todo.join(whole, keys, "left_anti").withColumn("_reach", F.col("_reach") * 1.6), "guess")
+        if short.isEmpty():
+            return null.select(*keys).distinct().join(out, keys, "left")
+        todo = short
 
 
 def connected(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), rounds: int = 50) -> DataFrame:
@@ -145,10 +191,10 @@ def connected(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), rounds
     raise RuntimeError("components did not settle")
 
 
-def dbscan(orbits: DataFrame, eps: float, least: int, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
+def dbscan(orbits: DataFrame, eps: float | str, least: int, criterion: str = "d_sh", by: Sequence[str] = ()) -> DataFrame:
     """(by, traj_id, core, cluster): cluster is the smallest core member's id, null for noise.
 
-    least counts the point itself. A border point joins the cluster with the smallest id among its core neighbours'.
+    eps is a number or a column, as in close_pairs. least counts the point itself. A border point joins the cluster with the smallest id among its core neighbours'.
     """
     keys = list(by)
     pairs = stage(neighbour_pairs(orbits, eps, criterion, by))
@@ -164,10 +210,10 @@ def dbscan(orbits: DataFrame, eps: float, least: int, criterion: str = "d_sh", b
     return out.select(*keys, F.col("node").alias("traj_id"), F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("cluster", "near").alias("cluster"))
 
 
-def consensus(orbits: DataFrame, eps: dict[str, float], least: int, by: Sequence[str] = ()) -> DataFrame:
+def consensus(orbits: DataFrame, eps: dict[str, float | str], least: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, traj_id, group): orbits that every criterion clusters, by tuple of clusters, in tuples of least members or more.
 
-    group numbers the tuples from 0 in their order.
+    eps maps each criterion to a number or a column, as in close_pairs. group numbers the tuples from 0 in their order.
     """
     keys = list(by)
     labels = None
@@ -180,6 +226,30 @@ def consensus(orbits: DataFrame, eps: dict[str, float], least: int, by: Sequence
     return labels.join(numbered, [*keys, *names]).select(*keys, "traj_id", "group")
 
 
+def calibrated(window: DataFrame, null: DataFrame, rate: float, by: Sequence[str], criteria: Sequence[str] = tuple(CRITERIA), least: int = 50) -> DataFrame:
+    """window with a column eps_<criterion> for each criterion: the threshold of the key's own null, null where that is too small."""
+    out = window
+    for c in criteria:
+        out = out.join(threshold(null, rate, c, by, least).withColumnRenamed("eps", f"eps_{c}"), list(by), "left")
+    return out
+
+
+def stream_groups(window: DataFrame, null: DataFrame, rate: float, least: int, by: str, least_z: float, most_radius: float) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of every window: calibrated thresholds, three clusterings, their consensus, and its excess over the null.
+
+    groups: by, group (a string of window and number), eps_<criterion>, n_members, radius, n_obs, n_exp, z of the groups with a clear excess
+    in a ball that isn't large. members: by, group, traj_id and the window's other columns.
+    """
+    set_up = stage(calibrated(window, null, rate, [by]), "calibrated")
+    found = consensus(set_up, {c: f"eps_{c}" for c in CRITERIA}, least, [by])
+    name = F.concat_ws("-", F.col(by).cast("int"), F.col("group"))
+    members = stage(set_up.join(found.select(by, "traj_id", name.alias("group")), [by, "traj_id"]), "members")
+    excess = density_excess(members.select("group", by, *ELEMENTS), window.select(by, *ELEMENTS), null.select(by, *ELEMENTS), "group", by)
+    told = members.groupBy(by, "group").agg(F.count("*").alias("n_members"), *[F.max(f"eps_{c}").alias(f"eps_{c}") for c in CRITERIA])
+    groups = stage(significant(told.join(excess, [by, "group"]), least_z, most_radius), "groups")
+    return groups, members.join(groups.select("group"), "group", "left_semi")
+
+
 def centroids(orbits: DataFrame, by: Sequence[str], circular: bool = False) -> DataFrame:
     """Medians of the elements by group; with circular, node and peri are medians of offsets from the circular mean."""
     if not circular:

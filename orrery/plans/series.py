@@ -429,6 +429,13 @@ def cross_band(spark, d):
 
 
 _EVERY = CORE | SHAPE | ORDERED
+
+
+def features_sql() -> str:
+    """All features by object and band."""
+    return _features_sql(_EVERY)
+
+
 _PLAIN_FEATURES = f"{_B}, f AS (SELECT oid, band, " + ", ".join(f"CASE WHEN count(*) < 2 THEN 0e0 ELSE coalesce({e}, 0e0) END AS {n}" for n, e in _EVERY.items()) + " FROM x GROUP BY oid, band)"
 _WIDE = f"{_PLAIN_FEATURES}, o AS (SELECT oid, " + ", ".join(f"coalesce(max({n}) FILTER (band = '{b}'), 0e0) AS {b}_{n}" for b in BANDS for n in _EVERY) + " FROM f GROUP BY oid)"
 _BLIND = [f"{b}_{n}" for b in BANDS for n in _EVERY if n in ex.ORDER_BLIND]

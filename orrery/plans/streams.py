@@ -65,9 +65,16 @@ def _circle(spark, d):
     return st.hop_windows(orbits(spark, d), 20.0, 10.0)
 
 
+def near_sql(criterion: str, eps: str) -> str:
+    """What the criterion implies of x and y within eps, without trigonometry, and a little wider against rounding."""
+    gap = lambda c, ratio: f"abs(x.{c} - y.{c}) <= {eps} * {f'(x.{c} + y.{c})' if ratio else '1e0'} * 1.000000001e0 + 1e-12"
+    return f"{gap('q', criterion != 'd_sh')} AND {gap('e', criterion == 'd_d')}"
+
+
 def _pairs_sql(criterion: str, eps: float) -> str:
     d = DISTANCES[criterion]("x", "y")
-    return f"WITH {HOP} SELECT window_start, a, b, round(d, 5) + 0e0 AS d FROM (SELECT x.window_start, x.traj_id AS a, y.traj_id AS b, {d} AS d FROM w x JOIN w y ON x.window_start = y.window_start AND x.traj_id < y.traj_id) WHERE d <= {eps!r}::DOUBLE"
+    near = near_sql(criterion, f"{eps!r}::DOUBLE")
+    return f"WITH {HOP}, n AS MATERIALIZED (SELECT x.window_start, x.traj_id AS a, y.traj_id AS b, {d} AS d FROM w x JOIN w y ON x.window_start = y.window_start AND x.traj_id < y.traj_id AND {near}) SELECT window_start, a, b, round(d, 5) + 0e0 AS d FROM n WHERE d <= {eps!r}::DOUBLE"
 
 
 def _pairs(spark, d, criterion, eps):
@@ -127,16 +134,17 @@ def whiten_round_trip(spark, d):
     return w.select("traj_id", *[F.round(back[c], p).alias(c) for c, p in (("q", 6), ("e", 6), ("i", 5), ("node", 5), ("peri", 5))])
 
 
-#: Orbits of a window's null sample at most.
-NULL_SAMPLE = 600
+def threshold_sql(source: str, criterion: str, rate: float) -> str:
+    """Rows (window_start, eps) from a CTE of null orbits: the quantile over all pairs of a window of 50 orbits or more."""
+    return f"""SELECT k.window_start, CASE WHEN n >= 50 THEN eps END AS eps FROM (SELECT window_start, count(*) AS n FROM {source} GROUP BY 1) k LEFT JOIN
+        (SELECT x.window_start, quantile_cont({DISTANCES[criterion]('x', 'y')}, {rate!r}::DOUBLE) AS eps FROM {source} x JOIN {source} y ON x.window_start = y.window_start AND x.traj_id < y.traj_id GROUP BY 1) q ON k.window_start = q.window_start"""
 
 
-@query(f"""WITH {HOP}, n AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY md5('7|' || traj_id), traj_id) AS r FROM w WHERE iau_code = '...'), t AS (SELECT * FROM n WHERE r <= {NULL_SAMPLE}),
-    p AS (SELECT x.window_start, {dsh_sql('x', 'y')} AS d FROM t x JOIN t y ON x.window_start = y.window_start AND x.traj_id < y.traj_id), q AS (SELECT window_start, quantile_cont(d, 5e-3) AS eps FROM p GROUP BY 1),
-    k AS (SELECT window_start, count(*) AS n FROM n GROUP BY 1) SELECT k.window_start, round(CASE WHEN n >= 50 THEN eps END, 5) AS eps FROM k LEFT JOIN q ON k.window_start = q.window_start""")
+@query(f"WITH {HOP}, n AS (SELECT * FROM w WHERE iau_code = '...') SELECT window_start, round(eps, 5) AS eps FROM ({threshold_sql('n', 'd_sh', 0.005)})")
 def threshold_quantile(spark, d):
+    """Over all pairs of each window's sporadic orbits."""
     null = _circle(spark, d).where("iau_code = '...'")
-    return st.threshold(null, 0.005, "d_sh", ["window_start"], most=NULL_SAMPLE, seed=7).select("window_start", F.round("eps", 5).alias("eps"))
+    return st.threshold(null, 0.005, "d_sh", ["window_start"]).select("window_start", F.round("eps", 5).alias("eps"))
 
 
 @query(f"""WITH {ORB_SQL}, s AS (SELECT CAST(unnest(range(0, 360, 10)) AS DOUBLE) AS s), h AS (SELECT s, traj_id FROM orb JOIN s ON (s + 20 <= 360 AND sol_lon >= s AND sol_lon < s + 20) OR (s + 20 > 360 AND (sol_lon >= s OR sol_lon < s + 20 - 360)))
@@ -263,23 +271,28 @@ EPS = {"d_sh": 0.06, "d_d": 0.025, "d_h": 0.06}
 LEAST = 8
 
 
-def _dbscan_sql(criterion: str, tag: str) -> str:
-    return f"""p{tag} AS (SELECT x.window_start AS ws, x.traj_id AS a, y.traj_id AS b FROM w x JOIN w y ON x.window_start = y.window_start AND x.traj_id <> y.traj_id AND {DISTANCES[criterion]('x', 'y')} <= {EPS[criterion]!r}::DOUBLE),
+def dbscan_sql(criterion: str, tag: str, eps: str | None = None) -> str:
+    """Clusters l{tag} of w. eps: SQL of the threshold, by columns of x; a constant where none is given."""
+    eps = eps or f"{EPS[criterion]!r}::DOUBLE"
+    return f"""p{tag} AS MATERIALIZED (SELECT x.window_start AS ws, x.traj_id AS a, y.traj_id AS b FROM w x JOIN w y ON x.window_start = y.window_start AND x.traj_id <> y.traj_id AND {near_sql(criterion, eps)} AND {DISTANCES[criterion]('x', 'y')} <= {eps}),
     k{tag} AS (SELECT ws, a AS id FROM p{tag} GROUP BY ws, a HAVING count(*) + 1 >= {LEAST}), e{tag} AS (SELECT ws, a, b FROM p{tag} WHERE (ws, a) IN (SELECT (ws, id) FROM k{tag}) AND (ws, b) IN (SELECT (ws, id) FROM k{tag})),
     r{tag}(ws, x, y) AS (SELECT ws, id, id FROM k{tag} UNION SELECT r.ws, r.x, e.b FROM r{tag} r JOIN e{tag} e ON r.ws = e.ws AND r.y = e.a), c{tag} AS (SELECT ws, x AS id, min(y) AS cluster FROM r{tag} GROUP BY ws, x),
     b{tag} AS (SELECT p.ws, p.a AS id, min(cluster) AS cluster FROM p{tag} p JOIN c{tag} c ON p.ws = c.ws AND p.b = c.id GROUP BY p.ws, p.a),
     l{tag} AS (SELECT w.window_start, traj_id, c.id IS NOT NULL AS core, coalesce(c.cluster, b.cluster) AS cluster FROM w LEFT JOIN c{tag} c ON c.ws = w.window_start AND c.id = traj_id LEFT JOIN b{tag} b ON b.ws = w.window_start AND b.id = traj_id)"""
 
 
-@query(f"""WITH RECURSIVE {HOP}, {_dbscan_sql('d_sh', '1')} SELECT * FROM l1""")
+@query(f"""WITH RECURSIVE {HOP}, {dbscan_sql('d_sh', '1')} SELECT * FROM l1""")
 def dbscan(spark, d):
     return st.dbscan(_circle(spark, d), EPS["d_sh"], LEAST, by=["window_start"])
 
 
-@query(f"""WITH RECURSIVE {HOP}, {', '.join(_dbscan_sql(c, str(i)) for i, c in enumerate(EPS))},
-    t AS (SELECT l0.window_start, l0.traj_id, l0.cluster AS a, l1.cluster AS b, l2.cluster AS c FROM l0 JOIN l1 ON l0.window_start = l1.window_start AND l0.traj_id = l1.traj_id JOIN l2 ON l0.window_start = l2.window_start AND l0.traj_id = l2.traj_id
+CONSENSUS_SQL = f"""t AS (SELECT l0.window_start, l0.traj_id, l0.cluster AS a, l1.cluster AS b, l2.cluster AS c FROM l0 JOIN l1 ON l0.window_start = l1.window_start AND l0.traj_id = l1.traj_id JOIN l2 ON l0.window_start = l2.window_start AND l0.traj_id = l2.traj_id
         WHERE l0.cluster IS NOT NULL AND l1.cluster IS NOT NULL AND l2.cluster IS NOT NULL),
-    g AS (SELECT window_start, a, b, c, row_number() OVER (PARTITION BY window_start ORDER BY a, b, c) - 1 AS "group" FROM t GROUP BY window_start, a, b, c HAVING count(*) >= {LEAST})
+    g AS (SELECT window_start, a, b, c, row_number() OVER (PARTITION BY window_start ORDER BY a, b, c) - 1 AS "group" FROM t GROUP BY window_start, a, b, c HAVING count(*) >= {LEAST})"""
+
+
+@query(f"""WITH RECURSIVE {HOP}, {', '.join(dbscan_sql(c, str(i)) for i, c in enumerate(EPS))},
+    {CONSENSUS_SQL}
     SELECT t.window_start, traj_id, "group" FROM t JOIN g ON t.window_start = g.window_start AND t.a = g.a AND t.b = g.b AND t.c = g.c""")
 def consensus(spark, d):
     return st.consensus(_circle(spark, d), EPS, LEAST, ["window_start"])

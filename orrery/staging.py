@@ -30,8 +30,6 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Spark drops the shuffle files of a plan that has ended only when the driver's garbage is collected
-    spark.sparkContext._jvm.java.lang.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

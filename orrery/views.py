@@ -17,11 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str, bands: tuple[str, ...] | None = BANDS) -> DataFrame:
-    """oid, band, t (days from 2024-01-01), mag, magerr, tie: a row for each observation."""
-    e = table(spark, sf_dir, "events")
-    if bands:
-        e = e.where(F.col("event_type").isin(*bands))
+def as_observations(events: DataFrame, bands: tuple[str, ...] | None = BANDS) -> DataFrame:
+    """oid, band, t (days from 2024-01-01), mag, magerr, tie: a row for each observation. events may be a stream."""
+    e = events.where(F.col("event_type").isin(*bands)) if bands else events
     k = F.regexp_extract("props", "[0-9]+", 0).cast("double")
     return e.select(
         F.col("user_id").alias("oid"), F.col("event_type").alias("band"), (F.expr(MICROS).cast("double") / 8.64e10 - 19723).alias("t"),
@@ -29,6 +27,10 @@ def observations(spark: SparkSession, sf_dir: str, bands: tuple[str, ...] | None
     )
 
 
+def observations(spark: SparkSession, sf_dir: str, bands: tuple[str, ...] | None = BANDS) -> DataFrame:
+    return as_observations(table(spark, sf_dir, "events"), bands)
+
+
 def labelled(spark: SparkSession, sf_dir: str, bands: tuple[str, ...] | None = BANDS) -> DataFrame:
     """Observations with label, the market segment of the customer of the same key."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("oid"), F.col("c_mktsegment").alias("label"))
