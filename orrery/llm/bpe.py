@@ -1,20 +1,23 @@
 """Byte-level BPE by a pair occurrence index, equal to the tokenizers library for the same vocabulary file.
 
-Texts are split into pre-tokens; those not seen before by this worker are laid out together as one array of symbols. An index
-holds, for every position of the array, the rank of the pair that begins there. Active ranks are applied in ascending order and
-the index entries next to each merge are updated. Pre-tokens don't touch each other, so a step takes the lowest active rank
-of every pre-token at once, at its leftmost position, in numpy; each pre-token gets what merging it alone gives.
+Texts are split into pre-tokens; those not seen before by this worker are laid out together as one chain of symbols, in which
+pre-tokens don't touch. An index maps each pair of symbols that has a rank to all its positions in the chain. The active ranks are
+applied in ascending order, each at all its positions from left to right, and a merge updates the lists of the two pairs next to it. A position
+whose pair has changed since it was listed is passed over. No rank below the one applied can appear, as a merge comes after those
+that make its parts, so each pre-token gets what merging it alone gives. Work is a few steps for each merge, however long a pre-token is.
 
 Edge cases: null and empty texts have no tokens. Strings of added tokens inside a text become those tokens. Texts are
-encoded whole. An empty table gives an empty result. The vocabulary's path must be readable on every executor.
+encoded whole. Repeated rows are rows of their own. An empty table gives an empty result. The vocabulary's path must be readable on every executor.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -55,9 +58,13 @@ class Codec:
         self.start = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32)
         parts = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.made = np.array([vocab[a + b] for a, b in parts], np.int32)
-        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in parts], np.int64)
-        self.key_ranks = np.argsort(keys, kind="stable")
-        self.keys = keys[self.key_ranks]
+        #: Rank of each pair, two symbols in one number.
+        self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in enumerate(parts)}
+        born = {m: r for r, m in enumerate(self.made.tolist())}
+        if any(max(born.get(vocab[a], -1), born.get(vocab[b], -1)) >= r for r, (a, b) in enumerate(parts)):
+            raise ValueError("a merge must come after those that make its parts")
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.key_ranks = np.array([self.rank[k] for k in self.keys.tolist()], np.int64)
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         #: Pre-tokens met lately, and those of the generation before, which are forgotten unless they are met again.
@@ -71,47 +78,67 @@ class Codec:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.key_ranks[at], NO_RANK)
 
+    def occurrences(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[int, array]]:
+        """Rank of the pair that begins at each position (NO_RANK for none), and by rank its positions, ranks and positions ascending."""
+        rank = np.full(len(symbols), NO_RANK, np.int32)
+        if len(symbols) > 1:
+            rank[:-1] = self.ranks(symbols[:-1], symbols[1:])
+        rank[ends - 1] = NO_RANK  # no pair goes beyond a pre-token
+        order = np.argsort(rank, kind="stable").astype(np.int32)
+        order = order[: np.searchsorted(rank[order], NO_RANK)]
+        cuts = [0, *(np.flatnonzero(np.diff(rank[order])) + 1).tolist(), len(order)]
+        return rank, {int(rank[order[i]]): array("i", order[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i}
+
+    def merge_all(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols after all merges, at the places of their first bytes, and which places are left."""
+        rank_at, index = self.occurrences(symbols, ends)
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        after[ends - 1] = -1
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
+        before[np.concatenate([[0], ends[:-1]])] = -1
+        text, right, left, at = (array("i", x.astype(np.int32).tobytes()) for x in (symbols, after, before, rank_at))
+        heap, look, made = list(index), self.rank.get, self.made.tolist()  # ascending, so a heap
+        while heap:
+            rank = heappop(heap)
+            new = made[rank]
+            for p in sorted(index.pop(rank)):
+                if at[p] != rank:
+                    continue
+                gone = right[p]
+                text[p], at[gone], text[gone] = new, NO_RANK, -1
+                far, near = right[gone], left[p]
+                right[p] = far
+                fresh = NO_RANK
+                if far >= 0:
+                    left[far] = p
+                    fresh = look(new << 32 | text[far], NO_RANK)
+                at[p] = fresh
+                if fresh != NO_RANK:
+                    if fresh in index:
+                        index[fresh].append(p)
+                    else:
+                        index[fresh] = array("i", (p,))
+                        heappush(heap, fresh)
+                if near >= 0:
+                    fresh = at[near] = look(text[near] << 32 | new, NO_RANK)
+                    if fresh != NO_RANK:
+                        if fresh in index:
+                            index[fresh].append(near)
+                        else:
+                            index[fresh] = array("i", (near,))
+                            heappush(heap, fresh)
+        out = np.frombuffer(text, np.int32)
+        return out, out >= 0
+
     def learn(self, words: list[str]) -> None:
         """Encode distinct pre-tokens together and remember their ids as little-endian 32-bit bytes."""
         raw = [w.encode("utf-8") for w in words]
-        size = np.array([len(x) for x in raw], np.int64)
-        symbols = self.start[np.frombuffer(b"".join(raw), np.uint8)]
-        word = np.arange(len(words))
-        rank = np.full(len(symbols), NO_RANK, np.int64)
-        if len(symbols) > 1:
-            rank[:-1] = self.ranks(symbols[:-1], symbols[1:])
-        rank[np.cumsum(size) - 1] = NO_RANK  # no pair goes beyond a pre-token
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(word):
-            first = np.cumsum(size) - size
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
-            active = best >> 32 < NO_RANK
-            if not active.all():
-                of = np.repeat(active, size)
-                done.append((word[~active], size[~active], symbols[~of]))
-                shift = np.cumsum(np.where(active, 0, size))[active]
-                word, size, symbols, rank, best = word[active], size[active], symbols[of], rank[of], best[active] - shift
-                if not len(word):
-                    break
-            at = best & 0xFFFFFFFF
-            symbols[at] = self.made[best >> 32]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            symbols, rank = symbols[keep], rank[keep]
-            size = size - 1
-            at -= np.arange(len(at))
-            last, first = np.cumsum(size) - 1, np.cumsum(size) - size
-            inner = at < last
-            rank[at[~inner]] = NO_RANK
-            i = at[inner]
-            rank[i] = self.ranks(symbols[i], symbols[i + 1])
-            i = at[at > first]
-            rank[i - 1] = self.ranks(symbols[i - 1], symbols[i])
-        word, size, flat = (np.concatenate(x) for x in zip(*done, strict=True))
-        ends = np.cumsum(size) * 4
-        data, young = flat.astype("<u4").tobytes(), self.young
-        for w, a, b in zip(word.tolist(), (ends - size * 4).tolist(), ends.tolist(), strict=True):
-            young[words[w]] = data[a:b]
+        ends = np.cumsum([len(x) for x in raw])
+        merged, there = self.merge_all(self.start[np.frombuffer(b"".join(raw), np.uint8)], ends)
+        data, young = merged[there].astype("<u4").tobytes(), self.young
+        cuts = np.concatenate([[0], np.cumsum(there)[ends - 1]]) * 4
+        for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            young[w] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""

@@ -67,7 +67,9 @@ _KINDS = np.array([0 if b <= 32 or b == 127 else 1 if b > 127 or chr(b).isalnum(
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+_STEP, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -79,15 +81,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64))
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string column; null counts as empty."""
     column = column.cast(pa.large_string())
@@ -113,7 +106,8 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the white-space separated words of all rows, in order, and n+1 word offsets by row.
 
-    With punctuation, runs of ASCII punctuation are words of their own.
+    Every 8 bytes of a word are mixed with their place, and the sum of these is mixed with the word's length: no polynomial, for which
+    words of equal hash can be made whatever its base. With punctuation, runs of ASCII punctuation are words of their own.
     """
     n = len(offsets) - 1
     if not len(data):
@@ -137,8 +131,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, punct
     at = np.flatnonzero(solid)
     word = np.cumsum(first)[at] - 1
     pos = at - starts[word]
-    value = _BYTE_CODE[data[at]] * _powers(int(pos.max()) + 1)[pos]
-    hashes = np.add.reduceat(value, np.searchsorted(at, starts))
+    place = pos & 7
+    value = data[at].astype(np.uint64) << (place << 3).astype(np.uint64)
+    block = np.flatnonzero(place == 0)  # the first byte of each 8
+    eight = np.add.reduceat(value, block)
+    mixed = mix64(eight ^ mix64((pos[block] >> 3).astype(np.uint64) * _STEP + _KEY))
+    begin = np.flatnonzero(pos[block] == 0)
+    length = np.diff(np.append(np.searchsorted(at, starts), len(at))).astype(np.uint64)
+    hashes = np.add.reduceat(mixed, begin) ^ length * _STEP
     return mix64(hashes), np.searchsorted(starts, offsets)
 
 

@@ -19,7 +19,8 @@ points bounds their overlap from above.
    pairs within one component left out, and at last with all pairs that are left and members outside the block's largest
    component as queries.
 
-Every link between different components is found, so components are exact. Equal sets (by 128 bits) are one node. Links within
+Every link between different components is found, so components are exact up to collisions of 64-bit shingle hashes, which are
+not polynomials of the text: two different shingles share one with a chance of 2^-64. Equal sets of hashes are one node. Links within
 a component are not all enumerated, so the result names components and not numbers of links.
 
 Edge cases: null or wordless text has an empty set, links with nothing, and is its own component. One to four words are one

@@ -1,5 +1,8 @@
 import hashlib
+import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -65,3 +68,37 @@ def test_documents(spark, smoke, library):
         ids = expected(library, text[r.doc_id])[0]
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
     assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_index_holds_every_occurrence():
+    codec = bpe.Codec(PATH)
+    words = ["aaaa", "abab", "ba", "zzb", "a", "é"]
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(x) for x in raw])
+    symbols = codec.start[np.frombuffer(b"".join(raw), np.uint8)]
+    rank, index = codec.occurrences(symbols, ends)
+    want = {}
+    for k, end in enumerate(ends.tolist()):
+        for p in range(end - len(raw[k]), end - 1):
+            r = codec.rank.get(int(symbols[p]) << 32 | int(symbols[p + 1]))
+            if r is not None:
+                want.setdefault(r, []).append(p)
+                assert rank[p] == r
+    assert {r: list(x) for r, x in index.items()} == want and list(index) == sorted(index)
+
+
+def test_random_words_equal_library(library):
+    r = random.Random(2)
+    codec = bpe.Codec(PATH)
+    texts = ["".join(r.choice(s) for _ in range(r.randint(1, 400))) for s in ("ab", "aA ", "etaoin ", "01", "é漢x", " \n", "'st ", "=-") for _ in range(30)]
+    for text, got in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == expected(library, text)[0]
+
+
+def test_a_word_of_a_million_letters_takes_seconds(library):
+    r = random.Random(3)
+    for text in ("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "ab" * 500_000):
+        start = time.perf_counter()
+        (got,) = bpe.Codec(PATH).encode([text])
+        assert time.perf_counter() - start < 10
+        assert np.frombuffer(got, "<u4").tolist() == expected(library, text)[0]

@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from orrery.llm import jaccard_join as j
 from orrery.llm import queries
+from orrery.llm.common import text_buffers, word_hashes
 from orrery.llm.graph import components
 
 
@@ -138,3 +139,19 @@ def test_sets_equal_plain_shingles():
     texts = ["a b c d e f a b c d e", None, "x", "A b C d e f"]
     got = j.shingle_sets(pa.array(texts), np.arange(j.BUCKETS, dtype=np.uint64))
     assert [len(s) for s in got] == [len(shingles(t)) for t in texts] and len(np.intersect1d(got[0], got[3])) == 2
+
+
+def thue_morse(n, first):
+    """A word over {a, b} that no polynomial hash modulo 2^64 tells from its complement, from 1,024 letters on."""
+    return "".join("ab"[(i.bit_count() + first) % 2] for i in range(n))
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark):
+    x, y = thue_morse(4096, 0), thue_morse(4096, 1)
+    rows = [(1, f"one two three four {x}"), (2, f"one two three four {y}"), (3, x), (4, y), (5, f"{x} {x} {y} {x} {y}"), (6, f"{x} {x} {y} {y} {x}")]
+    rows += [(10 + n, "a" * n) for n in (7, 8, 9, 15, 16, 17, 64)] + [(30, "aaaaaaaab"), (31, "baaaaaaaa"), (32, "aaaaaaaa b")]
+    out = j.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in out) and len(out) == len(rows)
+    data, offsets = text_buffers(pa.array([t for _, t in rows]))
+    hashes, _ = word_hashes(data, offsets)
+    assert len(set(hashes.tolist())) == len({w for _, t in rows for w in t.split()})
