@@ -31,7 +31,8 @@ from .url_filter import host_path
 
 #: Elements by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "title", "head", "object", "select", "canvas", "video", "audio", "map", "datalist")
+#: Elements whose content isn't text of the page: code, titles, and what forms hold.
+RAW = {"script", "style", "template", "textarea", "title", "head", "select", "datalist"}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -48,7 +49,10 @@ CHROME_NAME = re.compile(
 )
 #: Names that outside an article mark template, and within one may be its own sections.
 AMBIGUOUS_NAME = re.compile(r"^(?:legal|copyright|related|recommend\w*|disclaimer|alert|notice|banner|promo\w*|login|signup|sign-up|social|menu\w*|nav\w*|footer|reply|replies|respond|comment-(?!form|list|respond)\w+)$", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Tags of a page whose quotes don't close that are looked at to the page's end; after them a tag ends at the next >, quoted or not.
+OPEN_QUOTES = 8
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"[\s ]+")
 #: Zones of a line.
@@ -64,19 +68,88 @@ def _names_chrome(value: str, zone: int) -> bool:
 def _is_chrome(tag: str, attributes: str, zone: int) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if zone != ARTICLE and (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
         if name == "role" and value.lower() in CHROME_ROLE or name in ("class", "id") and tag not in ("body", "html", "article", "main") and _names_chrome(value, zone):
             return True
     return False
 
 
+def _tokens(html: str) -> Iterator[tuple[str, str, str | None, int]]:
+    """(kind, text, attributes, end) in order: kind is text, or open or close with the tag's name as text. Time is linear in the page.
+
+    The caller may send a place to go on from.
+    """
+    at, n, last, failed = 0, len(html), html.rfind(">"), 0
+    while at < n:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = n if end < 0 else end
+            sent = yield "text", html[at:end], None, end
+        elif html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        elif at > last:  # no tag ends any more
+            end = n
+            sent = yield "text", html[at:], None, end
+        elif html[at + 1] in "!?":
+            at = html.index(">", at) + 1
+            continue
+        else:
+            m = (_TAG if failed < OPEN_QUOTES else _PLAIN_TAG).match(html, at)
+            if m:
+                end = m.end()
+                sent = yield "close" if html[at + 1] == "/" else "open", m[1].lower(), m[2], end
+            else:
+                failed += html[at + 1 : at + 3].lstrip("/")[:1].isalpha()
+                end = at + 1
+                sent = yield "text", "<", None, end
+        at = end if sent is None else sent
+
+
+class _Open:
+    """The open elements, with the places of each tag and of blocks among them, so that no step searches the whole stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []  # tag, zone inside
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, zone: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, zone))
+
+    def cut(self, place: int) -> None:
+        """Close all elements from place on."""
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag: its last element closes with all in it; a stray inline end tag doesn't close blocks."""
+        own = self.places.get(tag)
+        if own and (tag in BLOCK or not self.blocks or self.blocks[-1] < own[-1]):
+            self.cut(own[-1])
+
+    def last_block(self) -> str | None:
+        return self.stack[self.blocks[-1]][0] if self.blocks else None
+
+    def zone(self) -> int:
+        return self.stack[-1][1] if self.stack else BODY
+
+
 def page_lines(html: str) -> tuple[list[str], list[int]]:
     """Text blocks of a page in order, and their zones."""
     lines: list[str] = []
     zones: list[int] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, zone inside, is article
+    elements = _Open()
     buffer: list[str] = []
+    unclosed: set[str] = set()  # raw elements of which no end tag is left
     zone = BODY
 
     def flush() -> None:
@@ -87,34 +160,30 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 lines.append(text)
                 zones.append(zone)
 
-    at, n = 0, len(html)
-    match = _TOKEN.match
-    while at < n:
-        m = match(html, at)
-        at = m.end()
-        tag = m[1]
-        if tag is None:
-            if html[m.start()] != "<" or at - m.start() == 1:
-                buffer.append(m[0])
+    tokens, to = _tokens(html), None
+    while True:
+        try:
+            kind, tag, attributes, at = tokens.send(to) if to is not None else next(tokens)
+        except StopIteration:
+            break
+        to = None
+        if kind == "text":
+            buffer.append(tag)
             continue
-        tag = tag.lower()
-        if html[m.start() + 1] == "/":
+        if kind == "close":
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    zone = stack[-1][1] if stack else BODY
-                    break
-                if stack[i][0] in BLOCK and tag not in BLOCK:
-                    break  # a stray inline end tag doesn't close blocks
+            elements.close(tag)
+            zone = elements.zone()
             continue
         if tag in RAW:
-            if tag == "head":
-                continue
-            if not m[2].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else n if tag in ("script", "style") else at
+            if tag != "head" and not attributes.rstrip().endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
+                if end:
+                    to = end.end()
+                else:
+                    unclosed.add(tag)
+                    to = len(html) if tag in ("script", "style") else None
             continue
         if tag in VOID:
             if tag == "hr":
@@ -124,18 +193,16 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             continue
         if tag in BLOCK:
             flush()
-            inline = len(stack)
-            while inline and stack[inline - 1][0] not in BLOCK:
-                inline -= 1
-            if tag in CLOSES_P and inline and stack[inline - 1][0] == "p" or tag in ("li", "td", "th", "tr", "dd", "dt", "option") and inline and stack[inline - 1][0] == tag:
-                del stack[inline - 1 :]
-                zone = stack[-1][1] if stack else BODY
+            outer = elements.last_block()
+            if tag in CLOSES_P and outer == "p" or tag in ("li", "td", "th", "tr", "dd", "dt", "option") and outer == tag:
+                elements.cut(elements.blocks[-1])
+                zone = elements.zone()
         inside = zone
-        if tag in CHROME and not (tag == "header" and zone == ARTICLE) or _is_chrome(tag, m[2], zone):
+        if tag in CHROME and not (tag == "header" and zone == ARTICLE) or _is_chrome(tag, attributes, zone):
             inside = TEMPLATE
         elif tag in MAIN and zone != TEMPLATE:
             inside = ARTICLE
-        stack.append((tag, inside, tag in MAIN))
+        elements.push(tag, inside)
         if inside != zone and tag not in BLOCK:
             flush()
         zone = inside

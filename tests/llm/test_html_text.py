@@ -1,3 +1,4 @@
+import time
 import itertools
 import os
 import re
@@ -120,3 +121,34 @@ def test_pages_without_article_are_decided_by_differencing(spark):
         assert out[i].n_shared == 3 and not any(w in out[i].text for w in ("menu", "home", "rights")) and out[i].text
         lines, zones = h.page_lines(dict((p[0], p[2]) for p in pages)[i])
         assert h.main_text(lines, zones, np.zeros(len(lines), bool)) != out[i].text
+
+
+def test_broken_pages_take_linear_time():
+    mega = 1 << 20
+    pages = [
+        '<a "' * (mega // 4), "<!" * (mega // 2), "<" * mega, "<b>x" * (mega // 8) + "</i>" * (mega // 8), "<i><div>" + "<b>x" * (mega // 8) + "</i>" * (mega // 8),
+        "<select>x" * (mega // 9), "<div>" * (mega // 10) + "</div>" * (mega // 11), "<p>x" * (mega // 4), "<!--" * (mega // 4), "<a href='" * (mega // 9) + ">",
+        f"<div class='{'nav_' * (mega // 4)}.'>x", "x&amp;" * (mega // 6), f"<p {'id ' * (mega // 3)}>y</p>",
+    ]
+    for page in pages:
+        start = time.perf_counter()
+        h.page_lines(page)
+        assert time.perf_counter() - start < 2, page[:20]
+
+
+def test_only_code_and_forms_lose_their_text():
+    page = (
+        "<article><p>a</p><noscript><p>b</p></noscript><object>c</object><svg><text>d</text></svg><p hidden>e</p><p aria-hidden='true'>f</p><p style='display:none'>g</p>"
+        "<video>h</video><script>no</script><style>no</style><textarea>no</textarea><select><option>no</select><form>no</form></article><p hidden>no</p>"
+    )
+    lines, zones = h.page_lines(page)
+    text = h.main_text(lines, zones, np.zeros(len(lines), bool))
+    assert "no" not in text.replace("noscript", "") and [c for c in text if c.isalpha()] == list("abcdefgh")
+
+
+def test_end_tags():
+    line = lambda page: h.page_lines(page)[0]
+    assert line("<p>a<b>b<p>c</b>d</p>e") == ["ab", "cd", "e"]
+    assert line("<ul><li>a<li>b</ul>c") == ["a", "b", "c"]
+    assert line("a < b <3 c <a title='x>y'>d</a> <!-- e --> <a title='f>g") == ["a < b <3 c d <a title='f>g"]
+    assert line("<div><i>a</div></i>b") == ["a", "b"] and line("<title>x</title><head>y</head>z <textarea>w") == ["yz w"]
