@@ -5,11 +5,18 @@ Observations are rows (oid, band, t, mag, tie); tie orders equal times. Channels
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+from .runs import affine_scan, in_order, pieces
+
 ORDER = ("t", "tie")
 NORMALISATIONS = ("unit_time", "raw_time", "raw")
 
@@ -83,23 +90,51 @@ def running_max(df: DataFrame, keys: Sequence[str], m: str = "mag", order: Seque
     return df.withColumn("running", F.max(m).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def ewma(df: DataFrame, tau: float, keys: Sequence[str], t: str = "t", m: str = "mag") -> DataFrame:
-    """(keys, tie, ewma): y = a y' + (1 - a) m with a = exp(-dt / tau), folded over each key's ordered points.
+def ewma(df: DataFrame, tau: float, keys: Sequence[str], t: str = "t", m: str = "mag", parts: int | None = None) -> DataFrame:
+    """(keys, tie, ewma): y = a y' + (1 - a) m with a = exp(-dt / tau), over each key's points in order; the first y is m.
 
-    The recursion isn't a window function, so a key's points are one array; a fold keeps it in the JVM.
+    A scan in two levels over the affine maps y' -> a y' + (1 - a) m. Rows are sorted over all tasks by key and order; a task scans its
+    batches, and knows all but the value at its first row if that row's key began in a task before. Those values, one for each task,
+    follow from the tasks' ends in turn. No key is collected, and no term grows with a path's length.
     """
-    points = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), "tie", F.col(m).alias("m"))))
-    folded = df.groupBy(*keys).agg(points.alias("_p"))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("y"), F.array().cast("array<double>").alias("ys"))
-
-    def step(s, p):
-        a = F.exp((s["t"] - p["t"]) / tau)
-        y = F.coalesce(a * s["y"] + (1.0 - a) * p["m"], p["m"])
-        return F.struct(p["t"].alias("t"), y.alias("y"), F.array_append(s["ys"], y).alias("ys"))
-
-    values = F.aggregate("_p", start, step, lambda s: s["ys"])
-    rows = folded.select(*keys, F.explode(F.arrays_zip(F.col("_p.tie").alias("tie"), values.alias("ewma"))).alias("_r"))
-    return rows.select(*keys, F.col("_r.tie").alias("tie"), F.col("_r.ewma").alias("ewma"))
+    keys = list(keys)
+    rows = in_order(df.select(*keys, F.col(t).cast("double").alias("_t"), "tie", F.col(m).cast("double").alias("_m")), keys, ["_t", "tie"], parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, runs, at = TaskContext.get().partitionId(), 0, 0
+        before = (0.0, 0.0, 0.0)  # time and map (from the value at the run's first row) of the row before
+        for piece, fresh in pieces(batches, keys):
+            times, value = (piece.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_t", "_m"))
+            runs += fresh
+            last = times[0] if fresh else before[0]
+            keep = np.exp((np.concatenate([[last], times[:-1]]) - times) / tau)
+            gain = (1.0 - keep) * value
+            if fresh:  # the first row's value stands for itself: unknown in a task's first run, m in the others
+                keep[0], gain[0] = (1.0, 0.0) if runs == 1 else (0.0, value[0])
+            scale, shift = affine_scan(keep, gain)
+            if not fresh:
+                scale, shift = scale * before[1], scale * before[2] + shift
+            before = (times[-1], scale[-1], shift[-1])
+            n = len(piece)
+            more = [pa.array(scale), pa.array(shift), pa.array(np.full(n, task)), pa.array(np.arange(at, at + n))]
+            at += n
+            yield pa.RecordBatch.from_arrays([*piece.columns, *more], names=[*piece.schema.names, "_a", "_b", "_task", "_at"])
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    scanned = stage(rows.mapInArrow(run, f"{kinds}, _a double, _b double, _task bigint, _at bigint"), "ewma")
+    row = F.struct(F.struct(*keys).alias("key"), "_t", "_m", "_a", "_b")
+    ends = scanned.groupBy("_task").agg(F.min_by(row, "_at").alias("first"), F.max_by(row, "_at").alias("last")).orderBy("_task")
+    start, carry = [], None
+    for r in ends.collect():  # a row for each task of the sort
+        first, last = r["first"], r["last"]
+        y = first._m
+        if carry is not None and carry[0] == first.key:
+            a = math.exp((carry[1] - first._t) / tau)
+            y = a * carry[2] + (1.0 - a) * first._m
+        start.append((r._task, y))
+        carry = (last.key, last._t, last._a * y + last._b)
+    known = df.sparkSession.createDataFrame(start, "_task bigint, _y double")
+    return scanned.join(F.broadcast(known), "_task").select(*keys, "tie", (F.col("_a") * F.col("_y") + F.col("_b")).alias("ewma"))
 
 
 def _bracket(df: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:

@@ -5,20 +5,23 @@ identity gives the step's share of level k as the sum over j = 1..k of P[k-j] (x
 of its shares, over the same partitions and order for each level, so the plan has one exchange whatever the depth.
 
 Words are tuples of channel numbers; the column of word (0, 1) is ``s_12``. Wide signatures (hundreds of words) use
-:func:`wide_signature`, the same sums in numpy by group.
+:func:`wide_signature`, the same sums in numpy by task, whose parts are folded by Chen's product.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import in_order, pieces
+
 Word = tuple[int, ...]
 
 
@@ -120,22 +123,56 @@ def lead_lag(points: np.ndarray) -> np.ndarray:
     return np.hstack([points[(i + 1) // 2], points[i // 2]])
 
 
-def wide_signature(path: DataFrame, keys: str | Sequence[str], order: Sequence[str], channels: Sequence[str], depth: int, doubled: bool = False) -> DataFrame:
+def wide_signature(path: DataFrame, keys: str | Sequence[str], order: Sequence[str], channels: Sequence[str], depth: int, doubled: bool = False, parts: int | None = None) -> DataFrame:
     """(keys, n_points, sig array<double>): all levels of each key's path, or of its lead-lag path, in one array.
 
-    For signatures of hundreds of words, where a column per word would swamp the plan. A key's rows meet in one Python call;
-    partial paths combine by :func:`chen` where they are too long for that.
+    For signatures of hundreds of words, where a column per word would swamp the plan. A scan in two levels: rows are sorted over
+    all tasks by key and order, a task folds its batches of a key's path by :func:`chen`, and the parts of a key, one for each task that
+    it reaches into, are folded in order with the steps between them. So a key of any length is many tasks, and no task holds one.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-
-    def run(group: pa.Table) -> pa.Table:
-        t = group.sort_by([(c, "ascending") for c in order])
-        points = np.column_stack([t.column(c).to_numpy() for c in channels])
-        levels = path_levels(lead_lag(points) if doubled else points, depth)
-        return pa.table({**{k: t.column(k)[:1] for k in keys}, "n_points": pa.array([len(points)], pa.int64()), "sig": pa.array([np.concatenate(levels)], pa.list_(pa.float64()))})
-
-    kinds = ", ".join(f"{k} {dict(path.dtypes)[k]}" for k in keys)
-    return path.select(*keys, *order, *channels).groupBy(*keys).applyInArrow(run, f"{kinds}, n_points bigint, sig array<double>")
+    levels_of = lambda points: path_levels(lead_lag(points) if doubled else points, depth)
+    split = np.cumsum([(len(channels) * (2 if doubled else 1)) ** k for k in range(1, depth + 1)])[:-1]
+    kinds = ", ".join(f"`{k}` {dict(path.dtypes)[k]}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        done: list[tuple] = []
+        state: list = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.concat_arrays([d[0].column(k) for d in done]) for k in keys]
+            rest = [pa.array([task] * len(done), pa.int64()), pa.array([d[1] for d in done], pa.int64()), *[pa.array([np.asarray(d[i], float) for d in done], pa.list_(pa.float64())) for i in (2, 3, 4)]]
+            done.clear()
+            return pa.RecordBatch.from_arrays([*columns, *rest], names=[*keys, "_task", "n_points", "_first", "_last", "sig"])
+
+        for piece, fresh in pieces(batches, keys):
+            points = np.column_stack([piece.column(c).to_numpy(zero_copy_only=False) for c in channels]).astype(float)
+            if fresh:
+                if state:
+                    done.append((*state[:4], np.concatenate(state[4])))
+                    if len(done) * len(done[-1][4]) >= 1 << 18:
+                        yield flush()
+                state = [piece.slice(0, 1), len(points), points[0], points[-1], levels_of(points)]
+            else:
+                state[4] = chen(state[4], levels_of(np.vstack([state[3], points])))
+                state[1], state[3] = state[1] + len(points), points[-1]
+        if state:
+            done.append((*state[:4], np.concatenate(state[4])))
+            yield flush()
+
+    def fold(group: pa.Table) -> pa.Table:
+        t = group.sort_by("_task")
+        first, last, sig = (t.column(c).to_pylist() for c in ("_first", "_last", "sig"))
+        whole = np.split(np.array(sig[0]), split)
+        for i in range(1, len(t)):
+            whole = chen(chen(whole, levels_of(np.array([last[i - 1], first[i]]))), np.split(np.array(sig[i]), split))
+        n = sum(t.column("n_points").to_pylist())
+        return pa.table({**{k: t.column(k)[:1] for k in keys}, "n_points": pa.array([n], pa.int64()), "sig": pa.array([np.concatenate(whole)], pa.list_(pa.float64()))})
+
+    rows = in_order(path.select(*dict.fromkeys([*keys, *order, *channels])), keys, order, parts)
+    partial = rows.mapInArrow(run, f"{kinds}, _task bigint, n_points bigint, _first array<double>, _last array<double>, sig array<double>")
+    return partial.groupBy(*keys).applyInArrow(fold, f"{kinds}, n_points bigint, sig array<double>")
 
 
 def relative_difference(a: Column, b: Column) -> Column:
