@@ -366,7 +366,7 @@ def sideband_null(orbits: DataFrame, centres: DataFrame, size: int, seed: int, g
 
 def null_ratio(window: DataFrame, null: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
     """(centre_id, n_obs, n_exp, ratio): what a null expects in a ball around each centre over what is there. centres is a small frame."""
-    c = F.broadcast(centres.select("centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS]))
+    c = centres.select("centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
     near = lambda f: f.select(*ELEMENTS).crossJoin(c).withColumn("d", southworth_hawkins(orbit(), orbit(suffix="_c"))).groupBy("centre_id").agg(F.count_if(F.col("d") <= radius).alias("n"), F.count("*").alias("total"))
     both = near(window).join(near(null).select("centre_id", F.col("n").alias("m"), F.col("total").alias("t")), "centre_id")
     n_exp = F.col("m") / F.col("t") * F.col("total")
@@ -424,7 +424,7 @@ def null_separation(compared: DataFrame) -> DataFrame:
 
 def year_excess(window: DataFrame, null: DataFrame, centre: DataFrame, radius: float) -> DataFrame:
     """(centre_id, year, n_year, n_obs, n_exp, z): each year's excess in the ball; the null's share is taken once for all years."""
-    c = F.broadcast(centre.select("centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS]))
+    c = centre.select("centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
     hit = F.count_if(southworth_hawkins(orbit(), orbit(suffix="_c")) <= radius)
     share = null.crossJoin(c).groupBy("centre_id").agg((hit / F.count("*")).alias("share"))
     per = window.crossJoin(c).groupBy("centre_id", "year").agg(F.count("*").alias("n_year"), hit.alias("n_obs")).join(share, "centre_id")
@@ -442,16 +442,35 @@ def recurrence(per_year: DataFrame, least_z: float = 2.0) -> DataFrame:
     return a.select("centre_id", "years_z", "years_present", (F.col("top") / F.greatest("all", F.lit(1))).alias("top_share"), "median_z", "years")
 
 
+def sky_cells(ra: Column, dec: Column, far: float) -> tuple[Column, Column]:
+    """(cell, cells): the zone cell that a place lies in, and an array of all cells with places within far degrees of it.
+
+    Zones are bands of declination, far degrees high, cut along right ascension into equal cells of far degrees or a little more. Places
+    within far of one at declination d differ from it by asin(sin far / cos d) in right ascension at most; next to a pole by anything.
+    """
+    n = max(1, int(360 / far))
+    wide, reach = 360.0 / n, far * (1 + 1e-9) + 1e-9
+    cell = lambda band, k: band * n + F.pmod(k, F.lit(n))
+    place = lambda x, side: F.floor(x / side).cast("bigint")
+    pole = F.abs(dec) + reach >= 90
+    spread = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(reach)) / F.cos(F.radians(dec))))) + 1e-9
+    along = F.when(pole | (spread >= 180), F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).otherwise(F.sequence(place(ra - spread, wide), place(ra + spread, wide)))
+    bands = F.sequence(place(dec - reach, far), place(dec + reach, far))
+    return cell(place(dec, far), place(ra, wide)), F.array_distinct(F.flatten(F.transform(bands, lambda b: F.transform(along, lambda k: cell(b, k)))))
+
+
 def match_catalogue(radiants: DataFrame, catalogue: DataFrame, far: float = 8.0, speed: float = 0.15, arc: float = 12.0) -> DataFrame:
     """(traj_id, list, code, sep): the nearest entry of each list within far degrees, speed relative and arc degrees of solar longitude.
 
-    An entry without solar longitude passes that test; one without speed is left out. The catalogue is a small published table
-    and is broadcast; of equal separations the least code is taken.
+    An entry without solar longitude passes that test; one without speed is left out, as is one or a radiant without a place. Entries and
+    radiants meet by cells of the sky, an equi-join, so the catalogue may be large; of equal separations the least code is taken.
     """
-    c = F.broadcast(catalogue.where("vg is not null").select("code", "list", F.col("ra").alias("cra"), F.col("dec").alias("cdec"), F.col("vg").alias("cvg"), F.col("lo_s_max").alias("clo")))
+    c = catalogue.where("vg is not null and ra is not null and dec is not null").select("code", "list", F.col("ra").alias("cra"), F.col("dec").alias("cdec"), F.col("vg").alias("cvg"), F.col("lo_s_max").alias("clo"))
+    c = c.withColumn("_cell", F.explode(sky_cells(F.col("cra"), F.col("cdec"), far)[1]))
+    placed = radiants.where("ra is not null and dec is not null").withColumn("_cell", sky_cells(F.col("ra"), F.col("dec"), far)[0])
     sep = separation(F.col("ra"), F.col("dec"), F.col("cra"), F.col("cdec"))
     fits = (F.abs(F.col("vg") - F.col("cvg")) <= speed * F.greatest("vg", F.lit(1e-6))) & (F.col("clo").isNull() | (F.abs(circular_difference(F.col("sol_lon"), F.col("clo"))) <= arc))
-    near = radiants.join(c, fits).withColumn("sep", sep).where(F.col("sep") <= far)
+    near = placed.join(c, "_cell").where(fits).withColumn("sep", sep).where(F.col("sep") <= far)
     best = near.groupBy("traj_id", "list").agg(F.min(F.struct("sep", "code")).alias("b"))
     return best.select("traj_id", "list", F.col("b.code").alias("code"), F.col("b.sep").alias("sep"))
 
