@@ -49,37 +49,67 @@ def paired_differences(scores: DataFrame, a: str, b: str, keys: Sequence[str] =
     return x.join(y, list(keys)).select(*keys, (F.col("_b") - F.col("_a")).alias("diff"))
 
 
-def average_ranks(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Adds rank: ties share their mean rank. Without by, one task ranks all rows: for score vectors."""
-    w = Window.partitionBy(*by).orderBy("_v")
-    ties = Window.partitionBy(*by, "_v")
-    return df.withColumn("_v", value).withColumn("rank", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0).drop("_v")
+def tied_ranks(diffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, size, n, n_plus, rank) of each size of the nonzero differences: how many have it, how many of them are positive, their mean rank.
+
+    Sizes are sorted by range over all tasks; counts within a task meet those of the tasks before it. Null and NaN differences are left out.
+    """
+    keys, size = list(by), F.abs("diff")
+    sizes = diffs.where((F.col("diff") != 0) & ~F.isnan("diff")).groupBy(*keys, size.alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("n_plus"))
+    ranged = stage(sizes.repartitionByRange(*keys, "size").withColumn("_task", F.spark_partition_id()), "ranks")
+    parts = ranged.groupBy(*keys, "_task").agg(F.sum("n").alias("_t"))  # a row for each key and task that holds it
+    parts = parts.select(*keys, "_task", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_task")) - F.col("_t")).alias("_base"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "_task").orderBy("size"))
+    ranked = ranged.withColumn("_upto", upto).join(parts, [*keys, "_task"])
+    return ranked.select(*keys, "size", "n", "n_plus", (F.col("_base") + F.col("_upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def wilcoxon_statistic(diffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, w_plus, w_minus, statistic, z): zeros dropped; z is the normal approximation without continuity correction."""
-    ranked = average_ranks(diffs.where(F.col("diff") != 0), F.abs("diff"), by)
-    plus = F.coalesce(F.sum(F.when(F.col("diff") > 0, F.col("rank"))), F.lit(0.0))
-    minus = F.coalesce(F.sum(F.when(F.col("diff") < 0, F.col("rank"))), F.lit(0.0))
-    a = ranked.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.sum(F.col("rank") * F.col("rank")).alias("sq"))
+    return _signed_ranks(tied_ranks(diffs, by), by)
+
+
+def _signed_ranks(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+    r, n, plus = F.col("rank"), F.col("n"), F.col("n_plus")
+    a = ranked.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(r * plus).alias("w_plus"), F.sum(r * (n - plus)).alias("w_minus"), F.sum(n * r * r).alias("sq"))
+    a = a.where("n > 0")
     w = F.least("w_plus", "w_minus")
     # the variance of the signed-rank sum under ties is the sum of squared ranks / 4
     z = (w - (F.col("w_plus") + F.col("w_minus")) / 2.0) / F.sqrt(F.col("sq") / 4.0)
     return a.select(*by, "n", "w_plus", "w_minus", w.alias("statistic"), z.alias("z"))
 
 
-def wilcoxon_p(ranks: Sequence[float], statistic: float) -> float:
-    """Exact two-sided p of a signed-rank sum, by counting sign patterns over doubled ranks. For score vectors on the driver."""
-    doubled = [round(2 * r) for r in ranks]
-    counts = {0: 1}
-    for r in doubled:
-        grown: dict[int, int] = {}
-        for s, n in counts.items():
-            grown[s] = grown.get(s, 0) + n
-            grown[s + r] = grown.get(s + r, 0) + n
-        counts = grown
-    below = sum(n for s, n in counts.items() if s <= round(2 * statistic))
-    return min(1.0, 2 * below / 2 ** len(doubled))
+#: Up to this many differences sign patterns are counted, in doubles that hold the counts exactly; beyond it p is the normal tail's.
+EXACT_SIGNS = 50
+
+
+def wilcoxon_test(diffs: DataFrame, by: Sequence[str] = (), most: int = EXACT_SIGNS) -> DataFrame:
+    """(by, n, statistic, z, p, exact): two-sided p of the signed-rank sum, exact in groups of most nonzero differences or fewer.
+
+    Exact p counts the sign patterns of each rank sum, over doubled ranks so that ties count right. Groups without nonzero differences are left out.
+    """
+    if not 0 < most <= EXACT_SIGNS:
+        raise ValueError(f"most must be from 1 to {EXACT_SIGNS}")
+    keys = list(by)
+    ranked = stage(tied_ranks(diffs, keys), "tied")
+    told = _signed_ranks(ranked, keys)
+    small = told.where(F.col("n") <= most).select(*keys, F.lit(True).alias("exact"))
+    # a group's ranks are collected only where there are few of them
+    few = _with_keys(ranked, small, keys).groupBy(*keys).agg(F.collect_list(F.array_repeat((2 * F.col("rank")).cast("int"), F.col("n").cast("int"))).alias("_r"))
+    out = _with_keys(told, few.withColumn("_r", F.flatten("_r")), keys, "left")
+    total = (2 * (F.col("w_plus") + F.col("w_minus"))).cast("int")
+    start = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate("_r", start, lambda acc, r: F.transform(acc, lambda v, s: v + F.when(s >= r, F.get(acc, s - r)).otherwise(0.0)))
+    below = F.aggregate(F.slice(counts, 1, (2 * F.col("statistic")).cast("int") + 1), F.lit(0.0), lambda acc, v: acc + v)
+    p = F.when(F.col("_r").isNotNull(), F.least(F.lit(1.0), 2.0 * below / F.pow(F.lit(2.0), F.col("n")))).otherwise(normal_tail(F.col("z")))
+    return out.select(*keys, "n", "statistic", "z", p.alias("p"), F.col("_r").isNotNull().alias("exact"))
+
+
+def _with_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys; without keys, other is a row at most."""
+    if keys:
+        return df.join(other, list(keys), how)
+    return df.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
 
 
 def paired_t(diffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

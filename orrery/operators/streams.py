@@ -15,7 +15,7 @@ from operator import add, and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.orbits import CRITERIA, ELEMENTS, is_valid, orbit, southworth_hawkins, unwhiten, valsecchi, whiten
+from ..functions.orbits import CRITERIA, ELEMENTS, is_valid, orbit, unwhiten, valsecchi, whiten
 from ..functions.scalars import circular_difference, in_arc, separation, wrap
 from ..staging import stage
 from .relational import hash_order, permute_columns
@@ -269,6 +269,53 @@ def distance_to(frame: DataFrame, centre: DataFrame, on: Sequence[str], criterio
     return frame.join(c, list(on)).withColumn("d", CRITERIA[criterion](orbit(), orbit(suffix="_c"))).drop(*[f"{x}_c" for x in ELEMENTS])
 
 
+#: Balls of a smaller radius are sought in cells of this size, lest rounding in the distance outweigh a cell.
+_LEAST_CELL = 2.0**-9
+
+
+def in_balls(frame: DataFrame, balls: DataFrame, radius: float | str, by: Sequence[str] = (), criterion: str = "d_sh") -> DataFrame:
+    """frame's rows, once for each ball of their key that holds them (radius inclusive), with the ball's other columns and d.
+
+    balls: by, elements of the centre, other columns. radius is a number or the name of a column of balls, which needs keys in by.
+    An equi-join: a ball is sent to the 27 cells around its centre, of a width that is its radius rounded up to a power of 2, and a row
+    to its own cell of each width in its key. So rows meet only the balls near them, and many balls or rows are many tasks.
+    Rows and balls with a null or non-finite element meet nothing, and neither does a ball of null or negative radius.
+    """
+    keys = list(by)
+    sized = isinstance(radius, str)
+    if sized and not keys:
+        raise ValueError("a radius for each ball needs keys")
+    level = lambda r: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(r, F.lit(_LEAST_CELL)))))
+    finite = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)) for c in ELEMENTS])
+    places = {k: F.floor(v * (1 - 1e-9)).cast("bigint") for k, v in _cells(F.col("_w"), criterion).items()}
+    r = F.col(radius) if sized else F.lit(float(radius))
+    wide = balls.where(finite & (r >= 0) & ~F.isnan(r)).withColumn("_r", r.cast("double")).withColumn("_w", level(F.col("_r")))
+    rows = frame.where(finite)
+    rows = rows.join(wide.select(*keys, "_w").distinct(), keys) if sized else rows.withColumn("_w", level(r))
+    rows = rows.withColumns(places)
+    steps = {k: F.sequence(v - 1, v + 1) for k, v in places.items()}
+    cells = wide.select(*[F.col(c) for c in balls.columns if c not in ELEMENTS], "_r", "_w", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS], *[v.alias(k) for k, v in steps.items()])
+    for k in steps:
+        cells = cells.withColumn(k, F.explode(k))
+    met = rows.join(cells, [*keys, "_w", *steps]).withColumn("d", CRITERIA[criterion](orbit(), orbit(suffix="_c"))).where(F.col("d") <= F.col("_r"))
+    return met.drop("_w", "_r", *steps, *[f"{x}_c" for x in ELEMENTS])
+
+
+def ball_counts(frame: DataFrame, balls: DataFrame, radius: float | str, names: Sequence[str], by: Sequence[str], n: str, total: str, criterion: str = "d_sh") -> DataFrame:
+    """(names, by, n, total): rows of the ball's key within it, and all rows of the key. Balls of keys without rows are left out.
+
+    names are the columns that tell balls of a key apart.
+    """
+    keys = list(by)
+    told = [*names, *keys]
+    hits = in_balls(frame.select(*keys, *ELEMENTS), balls, radius, keys, criterion).groupBy(*told).agg(F.count("*").alias(n))
+    if keys:
+        out = balls.select(*told).join(frame.groupBy(*keys).agg(F.count("*").alias(total)), keys)
+    else:
+        out = balls.select(*told).withColumn(total, frame.agg(F.count("*")).scalar()).where(F.col(total) > 0)
+    return out.join(hits, told, "left").na.fill(0, [n]).select(*told, n, total)
+
+
 def density_excess(members: DataFrame, window: DataFrame, null: DataFrame, group: str, by: str, criterion: str = "d_sh") -> DataFrame:
     """(group, by, radius, n_obs, n_exp, z): members' ball against the window and against a null scaled to the window's size.
 
@@ -276,15 +323,10 @@ def density_excess(members: DataFrame, window: DataFrame, null: DataFrame, group
     """
     centre = centroids(members, [group, by])
     own = distance_to(members, centre, [group, by], criterion).groupBy(group, by).agg(F.percentile("d", F.lit(0.8)).alias("r"))
-    ball = centre.join(own, [group, by])
-    total = window.groupBy(by).agg(F.count("*").alias("n_window"))
-
-    def inside(frame: DataFrame, name: str) -> DataFrame:
-        c = ball.select(group, by, "r", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
-        hit = frame.join(c, by).withColumn("d", CRITERIA[criterion](orbit(), orbit(suffix="_c")))
-        return hit.groupBy(group, by).agg(F.count_if(F.col("d") <= F.col("r")).alias(name), F.count("*").alias(f"all_{name}"))
-
-    out = ball.select(group, by, "r").join(total, by).join(inside(window, "n_obs"), [group, by]).join(inside(null, "n_null"), [group, by], "left")
+    balls = stage(centre.join(own, [group, by]), "balls")
+    seen = ball_counts(window, balls, "r", [group], [by], "n_obs", "n_window", criterion)
+    expected = ball_counts(null, balls, "r", [group], [by], "n_null", "all_n_null", criterion)
+    out = balls.select(group, by, "r").join(seen, [group, by]).join(expected, [group, by], "left")
     n_exp = F.coalesce(F.col("n_null") / F.col("all_n_null"), F.lit(0.0)) * F.col("n_window")
     z = (F.col("n_obs") - n_exp) / F.sqrt(F.greatest(n_exp, F.lit(1.0)))
     return out.select(group, by, F.round("r", 5).alias("radius"), "n_obs", F.round(n_exp, 2).alias("n_exp"), F.round(z, 2).alias("z"))
@@ -365,10 +407,9 @@ def sideband_null(orbits: DataFrame, centres: DataFrame, size: int, seed: int, g
 
 
 def null_ratio(window: DataFrame, null: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
-    """(centre_id, n_obs, n_exp, ratio): what a null expects in a ball around each centre over what is there. centres is a small frame."""
-    c = centres.select("centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
-    near = lambda f: f.select(*ELEMENTS).crossJoin(c).withColumn("d", southworth_hawkins(orbit(), orbit(suffix="_c"))).groupBy("centre_id").agg(F.count_if(F.col("d") <= radius).alias("n"), F.count("*").alias("total"))
-    both = near(window).join(near(null).select("centre_id", F.col("n").alias("m"), F.col("total").alias("t")), "centre_id")
+    """(centre_id, n_obs, n_exp, ratio): what a null expects in a ball around each centre over what is there. An empty window or null gives no rows."""
+    c = stage(centres.select("centre_id", *ELEMENTS), "centres")
+    both = ball_counts(window, c, radius, ["centre_id"], [], "n", "total").join(ball_counts(null, c, radius, ["centre_id"], [], "m", "t"), "centre_id")
     n_exp = F.col("m") / F.col("t") * F.col("total")
     return both.select("centre_id", F.col("n").alias("n_obs"), n_exp.alias("n_exp"), (n_exp / F.greatest("n", F.lit(1))).alias("ratio"))
 
@@ -391,13 +432,8 @@ def window_centres(window: DataFrame, by: Sequence[str], regions: int = 25, leas
 def ball_ratios(window: DataFrame, null: DataFrame, centres: DataFrame, radius: float, by: Sequence[str]) -> DataFrame:
     """(by, centre_id, n_obs, n_exp, ratio) of each centre within its window: what the null expects in the ball over what is there."""
     keys = list(by)
-    c = centres.select(*keys, "centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
-
-    def inside(frame: DataFrame, n: str, total: str) -> DataFrame:
-        hit = F.count_if(southworth_hawkins(orbit(), orbit(suffix="_c")) <= radius)
-        return frame.select(*keys, *ELEMENTS).join(c, keys).groupBy(*keys, "centre_id").agg(hit.alias(n), F.count("*").alias(total))
-
-    both = inside(window, "n_obs", "_all").join(inside(null, "_m", "_t"), [*keys, "centre_id"], "left")
+    seen = ball_counts(window, centres, radius, ["centre_id"], keys, "n_obs", "_all")
+    both = seen.join(ball_counts(null, centres, radius, ["centre_id"], keys, "_m", "_t"), [*keys, "centre_id"], "left")
     n_exp = F.coalesce(F.col("_m") / F.col("_t"), F.lit(0.0)) * F.col("_all")
     return both.select(*keys, "centre_id", "n_obs", n_exp.alias("n_exp"), (n_exp / F.greatest("n_obs", F.lit(1))).alias("ratio"))
 
@@ -405,6 +441,7 @@ def ball_ratios(window: DataFrame, null: DataFrame, centres: DataFrame, radius:
 def compare_nulls(window: DataFrame, nulls: dict[str, DataFrame], centres: DataFrame, radius: float, by: Sequence[str], least: int = 5) -> DataFrame:
     """(by, null, sporadic_ratio, n_regions, stream_ratio): per window the median ratio over sporadic regions of least orbits or more, and the stream's."""
     keys = list(by)
+    centres = stage(centres, "centres")
     parts = [ball_ratios(window, null, centres, radius, by).withColumn("null", F.lit(name)) for name, null in nulls.items()]
     stream = F.col("centre_id") == "stream"
     region = ~stream & (F.col("n_obs") >= least)
@@ -424,10 +461,13 @@ def null_separation(compared: DataFrame) -> DataFrame:
 
 def year_excess(window: DataFrame, null: DataFrame, centre: DataFrame, radius: float) -> DataFrame:
     """(centre_id, year, n_year, n_obs, n_exp, z): each year's excess in the ball; the null's share is taken once for all years."""
-    c = centre.select("centre_id", *[F.col(x).alias(f"{x}_c") for x in ELEMENTS])
-    hit = F.count_if(southworth_hawkins(orbit(), orbit(suffix="_c")) <= radius)
-    share = null.crossJoin(c).groupBy("centre_id").agg((hit / F.count("*")).alias("share"))
-    per = window.crossJoin(c).groupBy("centre_id", "year").agg(F.count("*").alias("n_year"), hit.alias("n_obs")).join(share, "centre_id")
+    c = stage(centre.select("centre_id", *ELEMENTS), "centres")
+    share = ball_counts(null, c, radius, ["centre_id"], [], "m", "t").select("centre_id", (F.col("m") / F.col("t")).alias("share"))
+    # every centre has a row for every year; the years are few
+    years = window.groupBy("year").agg(F.count("*").alias("n_year")).agg(F.collect_list(F.struct("year", "n_year"))).scalar()
+    per = c.select("centre_id", F.explode(years).alias("y")).select("centre_id", "y.year", "y.n_year")
+    hits = in_balls(window, c, radius).groupBy("centre_id", "year").agg(F.count("*").alias("n_obs"))
+    per = per.join(hits, ["centre_id", "year"], "left").na.fill(0, ["n_obs"]).join(share, "centre_id")
     n_exp = F.col("share") * F.col("n_year")
     return per.select("centre_id", "year", "n_year", "n_obs", n_exp.alias("n_exp"), ((F.col("n_obs") - n_exp) / F.sqrt(F.greatest(n_exp, F.lit(1.0)))).alias("z"))
 

@@ -86,6 +86,29 @@ def wilcoxon_stat(spark, d):
     return st.wilcoxon_statistic(_diffs(spark, d)).select("n", "w_plus", "w_minus", "statistic", F.round("z", 5).alias("z"))
 
 
+@query(f"""WITH RECURSIVE {PAIRED}, r AS (SELECT 2 * rank() OVER (ORDER BY abs(diff)) + count(*) OVER (PARTITION BY abs(diff)) - 1 AS d, diff FROM df WHERE diff <> 0), k AS (SELECT d, row_number() OVER (ORDER BY d, diff) AS k FROM r),
+    c(k, s, n) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1e0 UNION ALL SELECT k, s, sum(n) FROM (SELECT k.k, c.s + CASE WHEN u.u = 1 THEN k.d ELSE 0 END AS s, c.n FROM c JOIN k ON k.k = c.k + 1 CROSS JOIN (SELECT unnest(range(2)) AS u) u) GROUP BY k, s),
+    w AS (SELECT count(*) AS n, least(sum(d) FILTER (diff > 0), sum(d) FILTER (diff < 0)) AS w FROM r)
+    SELECT any_value(w.n) AS n, any_value(w.w) / 2e0 AS statistic, round(least(1e0, 2 * sum(c.n) / power(2e0, any_value(w.n))), 9) AS p, true AS exact FROM c JOIN w ON c.k = w.n AND c.s <= w.w""")
+def wilcoxon_p(spark, d):
+    """Exact two-sided p of the paired scores' signed ranks."""
+    return st.wilcoxon_test(_diffs(spark, d)).select("n", "statistic", F.round("p", 9).alias("p"), "exact")
+
+
+SEGMENTS = """sg AS (SELECT c_nationkey, (c_custkey // 2) AS pair, c_custkey % 2 AS side, CAST(floor(c_acctbal / 5e2) AS DOUBLE) AS v FROM customer), pd AS (SELECT x.c_nationkey, y.v - x.v AS diff FROM sg x JOIN sg y ON x.pair = y.pair AND x.side = 0 AND y.side = 1)"""
+
+
+@query(f"""WITH {SEGMENTS}, r AS (SELECT c_nationkey, diff, rank() OVER (PARTITION BY c_nationkey ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY c_nationkey, abs(diff)) - 1) / 2e0 AS r FROM pd WHERE diff <> 0),
+    w AS (SELECT c_nationkey, count(*) AS n, coalesce(sum(r) FILTER (diff > 0), 0) AS p, coalesce(sum(r) FILTER (diff < 0), 0) AS m, sum(r * r) AS q FROM r GROUP BY 1)
+    SELECT c_nationkey, n, p AS w_plus, m AS w_minus, least(p, m) AS statistic, round((least(p, m) - (p + m) / 2) / sqrt(q / 4), 5) + 0e0 AS z FROM w""")
+def wilcoxon_by_nation(spark, d):
+    """Signed ranks of neighbouring customers' balances, rounded so that many tie, by the first one's nation."""
+    c = table(spark, d, "customer").select("c_nationkey", F.expr("c_custkey div 2").alias("pair"), (F.col("c_custkey") % 2).alias("side"), F.floor(F.col("c_acctbal") / 500.0).cast("double").alias("v"))
+    x, y = c.where("side = 0").drop("side"), c.where("side = 1").select("pair", F.col("v").alias("w"))
+    pairs = x.join(y, "pair").select("c_nationkey", (F.col("w") - F.col("v")).alias("diff"))
+    return st.wilcoxon_statistic(pairs, ["c_nationkey"]).withColumn("z", digits(F.col("z")))
+
+
 @query(f"WITH {PAIRED} SELECT count(*) AS n, round(avg(diff), 6) AS mean_diff, round(avg(diff) * sqrt(count(*)) / stddev_samp(diff), 4) AS t FROM df")
 def paired_t(spark, d):
     return st.paired_t(_diffs(spark, d)).select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"))

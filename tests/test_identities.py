@@ -15,7 +15,6 @@ from orrery.operators import streams as st
 from orrery.operators import synthetic as sy
 from orrery.operators import topology as tp
 from orrery.operators.relational import thin_blocked, thin_random
-from orrery.operators.stats import wilcoxon_p
 from orrery.streaming.signatures import running_signatures, update
 
 
@@ -153,10 +152,6 @@ def test_thinning_keeps_counts(spark):
         assert {r.oid: r["count"] for r in thin(obs, 0.5, 3).groupBy("oid").count().collect()} == {0: 5, 1: 12, 2: 22}
 
 
-def test_wilcoxon_exact_p():
-    assert wilcoxon_p([1, 2, 3, 4, 5], 0) == 0.0625 and wilcoxon_p([1, 2], 1) == 1.0
-
-
 def test_reflection_pair_is_exact(spark):
     with pytest.raises(ValueError):
         sy.reflection_pair(spark, 10)
