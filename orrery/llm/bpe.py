@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: The split pattern of byte-level BPE. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens of a generation; a worker remembers two, which bounds its memory.
@@ -209,7 +211,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for batch in batches:
+        for batch in thrifty(batches):
             for start, texts in _blocks(batch.column("_text")):
                 ids = bpe.encode(texts)
                 columns = {

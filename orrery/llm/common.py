@@ -42,6 +42,19 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, with Arrow's unused memory handed back after each.
+
+    Python workers live on from stage to stage, and Arrow's pool would keep the peak of every task that they ever ran.
+    """
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+    pool.release_unused()
+
+
 def dense(rows: DataFrame, size: int, at: str, value: str, default: int = 0) -> Column:
     """An array<bigint> of a fixed size as a scalar subquery: value at each position of rows, default elsewhere.
 

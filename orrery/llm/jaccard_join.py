@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, chunks, discard, in_bitmap, mix64, shingle_hashes, stage, text_buffers, word_hashes
+from .common import bitmap, chunks, discard, in_bitmap, mix64, shingle_hashes, stage, text_buffers, thrifty, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -71,7 +71,7 @@ def shingle_sets(texts: pa.Array, ranks: np.ndarray) -> list[np.ndarray]:
 def rarity_ranks(documents: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in thrifty(batches):
             for _, s, _ in raw_shingles(batch.column("text")):
                 counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(counts)
@@ -246,7 +246,7 @@ def document_sets(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(doc_id, row, n_shingles, f1, f2, prefix, point) of every row; row is a hash of id and text, f1 and f2 the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             flat, offsets = flat_sets(batch.column("text"), ranks)
             size = np.diff(offsets)
             first = size - (size * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + (size > 0)
@@ -284,7 +284,7 @@ def verified(pairs: DataFrame, texts: DataFrame, ranks: np.ndarray) -> DataFrame
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 ids = np.concatenate([part.column("a").to_numpy(), part.column("b").to_numpy()])
@@ -306,7 +306,7 @@ def _texts(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, ranks: np.n
     keyed = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             f1, f2 = fingerprints(*flat_sets(batch.column("text"), ranks))
             same = (f1 == batch.column("f1").to_numpy()) & (f2 == batch.column("f2").to_numpy())
             yield batch.select(["id", "text"]).filter(pa.array(same))
@@ -398,7 +398,7 @@ def block_pairs(blocks: DataFrame, members: DataFrame, most: int | None) -> Data
             )
 
         held: list[pa.RecordBatch] = []  # the last task's rows so far, of three tiles at most
-        for batch in batches:
+        for batch in thrifty(batches):
             if not len(batch):
                 continue
             last = [batch.column(c)[len(batch) - 1].as_py() for c in keys]

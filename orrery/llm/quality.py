@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, stage, text_buffers, word_hashes
+from .common import chunks, mix64, stage, text_buffers, thrifty, word_hashes
 
 #: Labelled rows used at most, the smallest by a hash of their id. The model's size and the driver's memory follow from this.
 MAX_LABELS = 20_000
@@ -96,7 +96,7 @@ def _count_models(rows: DataFrame, known: np.ndarray, quality: np.ndarray) -> np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, size), np.int64)
-        for batch in batches:
+        for batch in thrifty(batches):
             good = _labels_of(batch.column("doc_id"), known[train], quality[train]) > 0
             for first, row, bucket in n_gram_buckets(batch.column("text")):
                 counts[0] += np.bincount(bucket, minlength=size)
@@ -122,7 +122,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     model = Model(np.log(share[1]) - np.log(share[0]) if counts[1].any() else np.zeros(1 << BUCKETS_LOG2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             ids = batch.column("doc_id")
             w = model.weights(batch.column("text"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(w), pa.array(model.keys(ids, w)), pa.array(_labels_of(ids, known, quality))], names=["doc_id", "log_ratio", "ord", "label"])
@@ -189,7 +189,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         return documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             ids = batch.column("doc_id").cast(pa.int64())
             keep = model.keys(ids, model.weights(batch.column("text"))) >= model.cut
             yield batch.filter(pa.array(keep))
