@@ -15,8 +15,8 @@ from ..staging import discard, shared_dir  # noqa: F401
 
 WS = "[\\x20\\x09-\\x0D]+"
 NON_WS = "[^\\x20\\x09-\\x0D]+"
-#: numpy works on texts in pieces of about this many bytes, so a task's memory doesn't follow the batch.
-CHUNK_BYTES = 1_000_000
+#: numpy works on texts in pieces of about this many bytes, so a task's memory doesn't follow the batch. Hashing takes about 100 times a piece.
+CHUNK_BYTES = 1 << 18
 
 
 #: Rows of an Arrow batch, so that a batch of long texts stays a few MB in the JVM and in Python.
