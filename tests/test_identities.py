@@ -14,6 +14,7 @@ from orrery.operators import signature as sg
 from orrery.operators import streams as st
 from orrery.operators import synthetic as sy
 from orrery.operators import topology as tp
+from orrery.operators.bottleneck import bottleneck
 from orrery.operators.relational import thin_blocked, thin_random
 from orrery.streaming.signatures import running_signatures, update
 
@@ -133,7 +134,7 @@ def test_persistence():
 
 def test_bottleneck_distance():
     a, b = np.array([[0, 4.0], [1, 2]]), np.array([[0, 5.0]])
-    assert tp.bottleneck(a, b) == 1.0 and tp.bottleneck(a, a) == 0 and tp.bottleneck(a, np.zeros((0, 2))) == 2.0 and tp.bottleneck([], []) == 0
+    assert bottleneck(a, b) == 1.0 and bottleneck(a, a) == 0 and bottleneck(a, np.zeros((0, 2))) == 2.0 and bottleneck([], []) == 0
     rng = np.random.default_rng(2)
     for _ in range(20):
         x, y = (np.sort(rng.integers(0, 9, (n, 2)), axis=1) + [0, 1.0] for n in (3, 3))
@@ -143,7 +144,7 @@ def test_bottleneck_distance():
             for i, j in enumerate(perm):
                 cost = max(cost, np.abs(x[i] - y[j]).max() if i < 3 and j < 3 else (x[i][1] - x[i][0]) / 2 if i < 3 else (y[j][1] - y[j][0]) / 2 if j < 3 else 0)
             best = min(best, cost)
-        assert math.isclose(tp.bottleneck(x, y), best)
+        assert math.isclose(bottleneck(x, y), best)
 
 
 def test_thinning_keeps_counts(spark):
