@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import orbits as ob
 from ..functions import scalars as sc
 from ..operators import relational as rel
+from ..operators.quantiles import exact_quantiles
 from ..sources import text as src
 from ..views import BANDS, BANDS3, CAT_SQL, ORB_SQL, catalogue, labelled, obs_sql, observations, orbits, table
 
@@ -97,6 +98,14 @@ def describe_sample(spark, d):
     return n.groupBy("label").agg(F.count("*").alias("n_objects"), q(0.5).alias("median_n"), F.round(q(0.1), 5).alias("p10"), F.round(q(0.9), 5).alias("p90"), F.round(F.stddev_samp("n") / F.avg("n"), 5).alias("cv"), F.round(q(0.9) / q(0.1), 5).alias("p90_over_p10"))
 
 
+@query("""SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 5e-3), 6) AS q005, round(quantile_cont(l_extendedprice, 5e-1), 6) AS q500, round(quantile_cont(l_extendedprice, 995e-3), 6) AS q995
+    FROM lineitem GROUP BY l_returnflag""")
+def large_group_quantiles(spark, d):
+    """Exact quantiles of few groups of many rows."""
+    q = exact_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.005, 0.5, 0.995])
+    return q.select("l_returnflag", "n", *[F.round(f"q_{i}", 6).alias(name) for i, name in enumerate(("q005", "q500", "q995"))])
+
+
 @query("""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7|' || c_custkey), c_custkey) AS rank FROM customer)
     SELECT c_custkey, c_mktsegment, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 40""")
 def stratified_cap(spark, d):
