@@ -57,3 +57,50 @@ def test_radii_by_window_equal_runs_of_their_own(spark, rows):
         assert {p for p in pairs if p[0] == w} == {(r.w, r.a, r.b) for r in st.close_pairs(own, e, "d_h", ["w"]).collect()}
         assert {p for p in noise if p[0] == w} == {(r.w, r.traj_id, r.core, r.cluster) for r in st.dbscan(own, e, 4, "d_h", ["w"]).collect()}
     assert st.close_pairs(both.withColumn("eps", F.lit(None).cast("double")), "eps", "d_sh", ["w"]).count() == 0
+
+
+def _copies(spark, smoke, times):
+    o = _circle(spark, smoke).where("window_start in (0, 10)").withColumnRenamed("window_start", "w")
+    return o.withColumn("traj_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: F.col("traj_id") + k * 100_000)))
+
+
+@pytest.mark.parametrize("criterion", CRITERIA)
+def test_copies_of_orbits_count_as_orbits(spark, smoke, criterion):
+    """Orbits of equal elements are one in the grid, and still each its own in what comes out."""
+    few = _copies(spark, smoke, 3)
+    x, y = few.alias("x"), few.alias("y")
+    d = st.CRITERIA[criterion](st.orbit("x"), st.orbit("y"))
+    every = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.traj_id") < F.col("y.traj_id"))).select("x.w", F.col("x.traj_id").alias("a"), F.col("y.traj_id").alias("b"), d.alias("d"))
+    want = sorted((r.w, r.a, r.b) for r in every.where("d <= 0.06").collect())
+    assert sorted((r.w, r.a, r.b) for r in st.close_pairs(few, 0.06, criterion, ["w"]).collect()) == want
+    near = {}
+    for w, a, b in want:
+        near.setdefault((w, a), set()).add((w, b))
+        near.setdefault((w, b), set()).add((w, a))
+    core = {k for k, v in near.items() if len(v) + 1 >= 7}
+    label = {}
+    for k in sorted(core):  # the smallest core that isn't reached yet names its cluster
+        todo = [] if k in label else [k]
+        while todo:
+            n = todo.pop()
+            if n not in label:
+                label[n] = k[1]
+                todo += near[n] & core
+    got = {(r.w, r.traj_id): (r.core, r.cluster) for r in st.dbscan(few, 0.06, 7, criterion, ["w"]).collect()}
+    assert got == {(r.w, r.traj_id): ((k := (r.w, r.traj_id)) in core, label[k] if k in core else min((label[n] for n in near.get(k, set()) & core), default=None)) for r in few.collect()}
+    told = {r.w: r.eps for r in st.threshold(few, 0.01, criterion, ["w"]).collect()}
+    for w, v in triangle(spark, few, criterion).items():
+        assert told[w] == pytest.approx(np.quantile(v, 0.01), rel=1e-9)
+
+
+def test_many_copies_make_no_pairs_in_clusters(spark):
+    # 200,000 equal orbits would be twenty billion pairs
+    df = spark.range(200_000).selectExpr("id as traj_id", "1 as w", "0.5D as q", "0.5D as e", "10D as i", "1D as node", "2D as peri")
+    assert st.dbscan(df, 0.05, 8, "d_sh", ["w"]).where("core and cluster = 0").count() == 200_000
+    assert st.threshold(df, 0.01, "d_sh", ["w"]).first().eps == pytest.approx(0.0, abs=1e-7)
+
+
+def test_components_of_a_chain(spark):
+    chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    rows = st.connected(chain, spark.range(303).selectExpr("id as node")).collect()
+    assert {r.node: r.component for r in rows} == {k: 0 if k <= 300 else k for k in range(303)}
