@@ -120,6 +120,7 @@ def thin_random(obs: DataFrame, fraction: float, seed: int, floor: int = 6) -> D
 def permute_columns(df: DataFrame, key: str, columns: Sequence[str], seed: int, within: Sequence[str] = ()) -> DataFrame:
     """Each column permuted by itself, within groups: values meet by rank of differing hash orders, ranked in two levels."""
     ranked = lambda part, salt: hash_ranks(part, hash_order(f"{seed}-{salt}", key), within, "_i", [key])
+    df = stage(df.select(*dict.fromkeys([*within, key, *columns])), "rows")  # it is read twice for each column
     out = ranked(df.select(*within, key), "rows")
     for c in columns:
         out = out.join(ranked(df.select(*dict.fromkeys([*within, key, c])), c).select(*within, "_i", c), [*within, "_i"])
@@ -143,12 +144,18 @@ def hash_ranks(df: DataFrame, order: Column, by: Sequence[str], name: str, ties:
     a group of any size is many tasks. buckets may be 1, 16 or 256.
     """
     digits = {1: 0, 16: 1, 256: 2}[buckets]
-    keyed = df.withColumns({"_h": order}).withColumn("_b", F.substring("_h", 1, digits))
-    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *ties)) - 1
-    counts = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    offsets = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
+    # windows normalise floating-point keys, so rows shuffled by such a column would be shuffled again; its text is the same key
+    floats = [c for c, kind in df.dtypes if c in by and kind in ("float", "double")]
+    own = {c: f"_k{i}" if c in floats else c for i, c in enumerate(by)}
+    groups = list(own.values())
+    bucketed = df.withColumns({"_b": F.substring(order, 1, digits)} | {own[c]: (F.col(c) + 0.0).cast("string") for c in floats})
+    # the hash is made again after the shuffle, so that it needn't travel
+    keyed = bucketed.repartition(*groups, "_b").withColumn("_h", order)
+    inner = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h", *ties)) - 1
+    counts = bucketed.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    offsets = counts.select(*groups, "_b", (F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b")) - F.col("_n")).alias("_before"))
     ranked = keyed.withColumn("_in", inner).alias("x")
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*by, "_b"]]
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*groups, "_b"]]
     joined = ranked.join(offsets.alias("y"), same)
     return joined.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("_before") + F.col("_in")).cast("bigint").alias(name))
 
