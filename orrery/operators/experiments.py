@@ -134,7 +134,8 @@ def _columns(df: DataFrame) -> list[str]:
 
 
 def _score(features: DataFrame, labels: DataFrame, folds: int, seed: int, learner: str) -> DataFrame:
-    data = stratified_folds(features.join(labels, "oid"), "label", "oid", folds, seed)
+    # labels are a row for each object: shuffled, as a broadcast would pass them all through the driver, once for each run
+    data = stratified_folds(features.join(labels.hint("merge"), "oid"), "label", "oid", folds, seed)
     scores = class_scores(ml.cross_validate(data, _columns(features), folds, learner, seed), ["fold"])
     return scores.agg(F.avg("balanced_accuracy").alias("score"), F.stddev_pop("balanced_accuracy").alias("spread"), F.count("*").alias("n_folds"))
 
@@ -156,7 +157,8 @@ def variant_grid(obs: DataFrame, bands: Sequence[str], depths: Sequence[int], fo
     The variant 'summary' is the hand-made features; over_summary is a variant's score less its. obs: oid, band, t, mag, magerr,
     tie, label.
     """
-    labels = obs.groupBy("oid").agg(F.min("label").alias("label"))
+    obs = stage(obs, "observations")
+    labels = stage(obs.groupBy("oid").agg(F.min("label").alias("label")), "labels")
     schema = {"mode": "string", "norm": "string", "augment": "string", "depth": "int", "width": "int"}
     summary = ft.object_features(obs, bands)
     runs = [(("summary", "", "", 0, len(_columns(summary))), summary)]
@@ -173,7 +175,8 @@ def variant_grid(obs: DataFrame, bands: Sequence[str], depths: Sequence[int], fo
 
 def ablation_sweep(obs: DataFrame, bands: Sequence[str], fractions: Sequence[float], folds: int, seed: int, learner: str = "logistic", depth: int = 2) -> DataFrame:
     """(regime, fraction, representation, score, spread, n_folds): observations thinned at random or in blocks, all on the same folds."""
-    labels = obs.groupBy("oid").agg(F.min("label").alias("label"))
+    obs = stage(obs, "observations")
+    labels = stage(obs.groupBy("oid").agg(F.min("label").alias("label")), "labels")
     thin = {"random": thin_random, "blocked": thin_blocked}
     schema = {"regime": "string", "fraction": "double", "representation": "string"}
     runs = []

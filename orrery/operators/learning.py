@@ -47,9 +47,10 @@ def cross_validate(features: DataFrame, columns: Sequence[str], folds: int, lear
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 
-    indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(features)
+    held = stage(features.select("oid", "fold", "label", *columns), "features")
+    indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(held)
     ends = [VectorAssembler(inputCols=list(columns), outputCol="v"), StandardScaler(inputCol="v", outputCol="x", withMean=True)], [IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)]
-    data = indexer.transform(stage(features.select("oid", "fold", "label", *columns), "features"))
+    data = indexer.transform(held)
 
     def predicted(fold: int) -> DataFrame:
         model = Pipeline(stages=[*ends[0], _learner(learner, seed, rounds), *ends[1]]).fit(balanced_weights(data.where(F.col("fold") != fold)))
