@@ -4,10 +4,12 @@ A line's tokens are its distinct runs of five words; a line of one to four words
 sets have a Jaccard similarity of 0.8 or more match, and of matching lines the later one (by document id, then place) goes. Lines
 without words have no token and always stay.
 
-1. Rarity: all tokens of all lines are counted in 65,536 hash buckets. A token's top 16 bits are its bucket's rank by count, so
-   sorting a line's tokens orders them by rarity, and equal sets are equal arrays.
-2. Equal sets become one node, with the place of its first line; its later lines go.
-3. Prefix filter: two sets of n tokens can reach 0.8 only if they share one of their first n - ceil(0.8 n) + 1 tokens. Prefix
+1. A line's tokens are sorted by hash, so equal sets are equal arrays. Equal sets become one node, with the place of its first line;
+   its later lines go.
+2. Prefix filter: whatever the order of tokens, two sets of n tokens can reach 0.8 only if they share one of their first
+   n - ceil(0.8 n) + 1. Nodes that share none of these by hash order match nothing, and are left out; the tokens of all others are staged.
+3. Rarity: the tokens of the nodes left are counted in 65,536 hash buckets, and each node's are sorted anew by their bucket's rank by
+   count. The prefix filter is applied again in this order, in which a passage that many unlike lines share comes last. Prefix
    tokens that only one node has are dropped; of tokens that the same nodes have, the first stands for all.
 4. First pass: every node is held against the earliest node (the hub) of each shared token, under the length and the
    positional filter. Near copies of an earlier line fall here, without pairs inside their group.
@@ -51,17 +53,12 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return documents.select(_row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
 
 
-def rarity_ranks(documents: DataFrame) -> Column:
-    """Of each hash bucket the rank by count over all tokens of all lines, in a token's top 16 bits. A scalar subquery."""
-    # generators keep the work in compiled code: first a line's words, then a row for each token
-    words = lines_of(documents).select(F.explode(F.array(_words(F.col("line")))).alias("words"))
-    each = words.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
-    at = lambda j: F.col("i") + j
-    # of a line of white space the one row has no words, and its bucket is counted for nothing
-    token = F.xxhash64(*[F.when(at(j) < F.size("words"), F.xxhash64(F.get("words", at(j)))) for j in range(SHINGLE)])
-    found = each.groupBy(F.shiftrightunsigned(token, 48).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
+def rarity_ranks(sets: DataFrame) -> Column:
+    """Of each hash bucket the rank by count over the tokens of all sets, in a token's top 16 bits. A scalar subquery."""
+    each = sets.select(F.explode("tokens").alias("token"))
+    found = each.groupBy(F.shiftrightunsigned("token", 48).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
     counts = dense(stage(found, "rarity"), BUCKETS, "bucket", "n")
-    one = documents.sparkSession.range(1).select(counts.alias("counts")).select(F.array_sort(F.transform("counts", lambda n, i: F.struct(n.alias("n"), i.cast("bigint").alias("i")))).alias("order"))
+    one = sets.sparkSession.range(1).select(counts.alias("counts")).select(F.array_sort(F.transform("counts", lambda n, i: F.struct(n.alias("n"), i.cast("bigint").alias("i")))).alias("order"))
     ranked = one.select(F.posexplode("order").alias("rank", "x")).select(F.col("x.i").alias("bucket"), F.shiftleft(F.col("rank").cast("bigint") - BUCKETS // 2, 48).alias("top"))
     return dense(stage(ranked, "ranks"), BUCKETS, "bucket", "top")
 
@@ -84,6 +81,12 @@ def _by_rarity(tokens: Column, ranks: Column) -> Column:
     return F.array_distinct(F.sort_array(F.element_at(F.transform(F.array(ranks), ranked), 1)))
 
 
+def _prefix(tokens: Column) -> Column:
+    """The first tokens of a set, of which a set with the similarity shares one at least with its own first ones."""
+    n = F.size(tokens)
+    return F.slice(tokens, F.lit(1), (n - F.floor((n * NUMERATOR + (DENOMINATOR - 1)) / DENOMINATOR) + 1).cast("int"))
+
+
 def _needed(m: Column, n: Column) -> Column:
     """Smallest overlap of sets of m and n tokens with the similarity: ceil(t (m + n) / (1 + t))."""
     d = NUMERATOR + DENOMINATOR
@@ -96,13 +99,9 @@ def _length_fits(m: Column, n: Column) -> Column:
 
 def nodes_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, line_no, h1, h2) of every line with words, and nodes: (id, h1, h2, place, copies, n, prefix)."""
-    # a subquery may not stand within a higher-order function; the optimiser puts it there, so no row carries it
-    tokens = lines_of(documents).select("row", "doc_id", "line_no", "line", rarity_ranks(documents).alias("ranks"))
-    tokens = tokens.select("row", "doc_id", "line_no", _by_rarity(_hashes(_words(F.col("line"))), F.col("ranks")).alias("tokens"))
-    n = F.size("tokens")
-    prefix = (n - F.floor((n * NUMERATOR + (DENOMINATOR - 1)) / DENOMINATOR) + 1).cast("int")
+    tokens = lines_of(documents).select("row", "doc_id", "line_no", F.array_distinct(F.sort_array(_hashes(_words(F.col("line"))))).alias("tokens"))
     whole = stage(
-        tokens.select("row", "doc_id", "line_no", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), n.alias("n"), F.slice("tokens", F.lit(1), prefix).alias("prefix")),
+        tokens.select("row", "doc_id", "line_no", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), F.size("tokens").alias("n"), _prefix(F.col("tokens")).alias("prefix")),
         "lines",
     )
     found = whole.where("n > 0")
@@ -129,25 +128,47 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
     return blocks
 
 
-def token_sets(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(line, doc, tokens) of the lines that the blocks' nodes are first on, cut again; line is a struct of row and line_no.
+def near_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, n, place) of the nodes that share a token of their prefixes with another."""
+    entries = nodes.select("id", F.explode("prefix").alias("token"))
+    tokens = stage(entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "tokens")
+    some = entries.where(in_bitmap(F.col("token"), bitmap(tokens, "token"))).join(tokens, "token").select("id").distinct()
+    near = stage(nodes.select("id", "n", "place").join(some, "id"), "near")
+    discard(tokens)
+    return near
+
+
+def token_sets(documents: DataFrame, near: DataFrame) -> DataFrame:
+    """(row, line_no, doc, tokens) of the lines that the nodes are first on, cut again.
 
     Bitmaps of fixed size choose the lines, so a few others are there too. Repeated rows give a line more than once.
     """
-    wanted = stage(blocks.select(F.col("place.r").alias("row"), F.col("place.l").alias("line_no")).distinct(), "wanted")
+    wanted = near.select(F.col("place.r").alias("row"), F.col("place.l").alias("line_no"))
     key = F.xxhash64("row", "line_no")
     rows = documents.where(in_bitmap(_row_key(), bitmap(wanted, "row")))
     chosen = lines_of(rows).where(in_bitmap(key, bitmap(wanted.select(key.alias("key")), "key")))
-    sets = stage(chosen.select("row", "line_no", F.col("doc_id").alias("doc"), F.array_distinct(_hashes(_words(F.col("line")))).alias("tokens")), "sets")
-    discard(wanted)
-    return sets
+    return stage(chosen.select("row", "line_no", F.col("doc_id").alias("doc"), F.array_distinct(_hashes(_words(F.col("line")))).alias("tokens")), "sets")
+
+
+def by_rarity(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes (id, n, place) with their prefixes in the order of rarity over the sets, which hold each node's."""
+    # a subquery may not stand within a higher-order function; the optimiser puts it there, so no row carries it
+    ranked = sets.select("row", "line_no", "doc", "tokens", rarity_ranks(sets).alias("ranks"))
+    ranked = ranked.select("row", "line_no", "doc", _by_rarity(F.col("tokens"), F.col("ranks")).alias("tokens")).select("row", "line_no", "doc", _prefix(F.col("tokens")).alias("prefix"))
+    at = (F.col("place.r") == F.col("row")) & (F.col("place.l") == F.col("line_no")) & F.col("place.d").eqNullSafe(F.col("doc"))
+    # repeated rows give a set more than once; by the keys of the join the groups need no further exchange
+    return stage(near.join(ranked, at).groupBy("row", "line_no", "id", "n", "place").agg(F.min("prefix").alias("prefix")).select("id", "n", "place", "prefix"), "ranked")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose token sets have the similarity. pairs: a, b and their places x and y."""
+    """The pairs (a, b) of nodes whose token sets have the similarity. pairs: a, b and their places x and y, staged.
+
+    Only sets that the pairs name are shuffled, as far as bitmaps of fixed size can tell.
+    """
     out = pairs
     for p in "xy":
-        side = sets.select(F.col("row").alias(f"{p}r"), F.col("line_no").alias(f"{p}l"), F.col("doc").alias(f"{p}d"), F.col("tokens").alias(f"{p}t"))
+        named = bitmap(pairs.select(F.xxhash64(f"{p}.r", f"{p}.l").alias("key")), "key")
+        side = sets.where(in_bitmap(F.xxhash64("row", "line_no"), named)).select(F.col("row").alias(f"{p}r"), F.col("line_no").alias(f"{p}l"), F.col("doc").alias(f"{p}d"), F.col("tokens").alias(f"{p}t"))
         at = F.col(f"{p}.r"), F.col(f"{p}.l"), F.col(f"{p}.d")
         out = out.join(side, (at[0] == F.col(f"{p}r")) & (at[1] == F.col(f"{p}l")) & at[2].eqNullSafe(F.col(f"{p}d")))
     shared = F.size(F.array_intersect("xt", "yt"))
@@ -165,8 +186,11 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     """(row, doc_id, line_no) of every line that goes."""
     documents = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     lines, nodes = nodes_of(documents)
-    blocks = shared_prefixes(nodes)
-    sets = token_sets(documents, blocks)
+    near = near_nodes(nodes)
+    sets = token_sets(documents, near)
+    ranked = by_rarity(near, sets)
+    blocks = shared_prefixes(ranked)
+    discard(near, ranked)
 
     hubs = blocks.groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos")).alias("hub")).select("token", "hub.*")
     pair = F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.place").alias("x"), F.col("y.place").alias("y")
@@ -177,9 +201,10 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     left = blocks.join(gone, "id", "left_anti")
     fits = (F.col("x.token") == F.col("y.token")) & (F.col("y.place") < F.col("x.place")) & _passes("x", "y")
     pairs = left.select(*blocks.columns).alias("x").join(blocks.alias("y"), fits).select(*pair).distinct()
-    more = verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets).select(F.col("a").alias("id"))
+    untried = stage(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "untried")
+    more = verified(untried, sets).select(F.col("a").alias("id"))
     gone = stage(gone.unionByName(more).distinct().withColumn("whole", F.lit(True)), "gone")
-    discard(sets, blocks, tried)
+    discard(sets, blocks, tried, untried)
 
     # nodes of one line that stays need no look at their lines
     some = nodes.select("id", "h1", "h2", "place", "copies").join(gone, "id", "left").where("copies > 1 or whole")
