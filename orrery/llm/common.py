@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -42,10 +43,14 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+#: glibc's malloc_trim; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task, with Arrow's unused memory handed back after each.
+    """The batches of a task, with Arrow's unused memory handed back after each, and the C library's at the end.
 
-    Python workers live on from stage to stage, and Arrow's pool would keep the peak of every task that they ever ran.
+    Python workers live on from stage to stage, and either would keep the peak of every task that they ever ran.
     """
     pool = pa.default_memory_pool()
     for batch in batches:
@@ -53,6 +58,8 @@ def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del batch
         pool.release_unused()
     pool.release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def dense(rows: DataFrame, size: int, at: str, value: str, default: int = 0) -> Column:

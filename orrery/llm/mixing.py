@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,10 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     goal = targets(sizes)
     blocks = np.array([-(-sizes[s] // block_words) for s in order], np.int64)
     quotas = np.array([min(2 * int(b), round(goal[s] * int(b) / sizes[s])) if sizes[s] else 0 for s, b in zip(order, blocks, strict=True)], np.int64)
-    catalogue = spark.createDataFrame([(s, i, sizes[s], float(goal[s])) for i, s in enumerate(order)], "s string, source_id int, source_size bigint, target double")
+    # from Arrow tables: rows would go through Python workers of a kind of their own, which live on beside the others
+    catalogue = spark.createDataFrame(
+        pa.table({"s": pa.array(order, pa.string()), "source_id": pa.array(range(len(order)), pa.int32()), "source_size": pa.array([sizes[s] for s in order], pa.int64()), "target": pa.array([goal[s] for s in order], pa.float64())})
+    )
 
     buckets = int(min(MAX_BUCKETS, max(1, -(-sum(r.n for r in found) // BUCKET_ROWS))))
     rows = sized.join(F.broadcast(catalogue), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -130,8 +134,9 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
 
     drawn = draw_shards(quotas, seed) if quotas.sum() else np.zeros((0, len(order)), np.int64)
     first = np.cumsum(drawn, axis=0) - drawn
-    cells = [(int(i), int(j), int(drawn[i, j]), int(first[i, j]), int(blocks[j])) for i, j in zip(*np.nonzero(drawn), strict=True)]
-    table = spark.createDataFrame(cells, "shard int, source_id int, n bigint, first bigint, blocks bigint").repartition(max(8, min(len(cells), 512)), "shard", "source_id")
+    i, j = np.nonzero(drawn)
+    cells = pa.table({"shard": i.astype(np.int32), "source_id": j.astype(np.int32), "n": drawn[i, j], "first": first[i, j], "blocks": blocks[j]})
+    table = spark.createDataFrame(cells).repartition(max(8, min(len(cells), 512)), "shard", "source_id")
     # in two steps, so no array is longer than _STEP
     slots = table.withColumn("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(_STEP).cast("bigint"))))
     slots = slots.withColumn("i", F.explode(F.sequence("a", F.least(F.col("a") + _STEP, "n") - 1)))

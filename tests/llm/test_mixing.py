@@ -58,3 +58,16 @@ def test_mixed_documents_hold_the_words_taken(spark):
         assert set(r.text.split()) == {f"t{r.doc_id}"} and r.n_chars == len(r.text)
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
     assert got == {i: n for i, n in taken.items() if n}
+
+
+def test_plan_has_no_rows_from_python(spark):
+    """Rows that createDataFrame gets as Python objects go through Python workers of a second kind, which live on beside the first."""
+    sized = spark.createDataFrame([(i, "ab"[i % 2], 50) for i in range(40)], "doc_id bigint, source string, size bigint").selectExpr("*")
+    seen, make = [], spark.createDataFrame
+    spark.createDataFrame = lambda *a, **b: seen.append(out := make(*a, **b)) or out
+    try:
+        rows, _, slots = m.plan(sized)
+    finally:
+        del spark.createDataFrame
+    assert len(seen) == 2 and all("LogicalRDD" not in d._jdf.queryExecution().analyzed().toString() for d in seen)
+    assert rows.count() == 40 and slots.count()
