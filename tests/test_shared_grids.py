@@ -63,3 +63,13 @@ def test_pairs_of_thresholds_are_compiled(spark, recurring):
     once = recurring.drop("eps", "traj_id").distinct().withColumn("_w", F.lit(1).cast("bigint"))
     todo = recurring.select("w", F.col("eps").alias("_eps"), F.lit(0.05).alias("_floor")).distinct()
     assert largest_method(st._weighed(once, todo, "d_sh", ["w"])) < 8000
+
+
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_thresholds_by_bins_are_those_of_sorting(spark, recurring, monkeypatch, most):
+    monkeypatch.setattr(st, "SORTED", most)
+    x, y = recurring.alias("x"), recurring.alias("y")
+    d = st.CRITERIA["d_h"](st.orbit("x"), st.orbit("y"))
+    want = {r.w: r.q for r in x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.traj_id") < F.col("y.traj_id"))).groupBy("x.w").agg(F.percentile(d, F.lit(0.02)).alias("q")).collect()}
+    got = {r.w: r.eps for r in st.threshold(recurring, 0.02, "d_h", ["w"]).collect()}
+    assert len(got) == 9 and got == pytest.approx(want, rel=1e-9)
